@@ -19,8 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folio.llm.common import small_batches
+
 #: Bounds of what a worker remembers, and the bytes read before tokens are emitted (more where the vocabulary needs it).
-MAX_STATES, MAX_PIECES, MAX_PAIRS, LOOK = 300_000, 300_000, 400_000, 48
+MAX_STATES, MAX_PIECES, MAX_PAIRS, LOOK = 150_000, 120_000, 150_000, 48
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -267,6 +269,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "token_ids", out: str = "d
 
 def digests(df: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded text of each row's whole text."""
+    small_batches(df.sparkSession)
     coded = decode(encode(df.select("doc_id", "text"), vocabulary, pattern), vocabulary)
     return coded.select(
         "doc_id",

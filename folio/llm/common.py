@@ -81,3 +81,10 @@ def bucket_of(doc_id: Column, n: int) -> Column:
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; it counts no further than that."""
     return df.limit(rows + 1).count() <= rows
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Let a Python worker hold few texts at once; texts may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))

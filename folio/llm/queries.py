@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import bpe, decontam
+from folio.llm import bpe, decontam, secrets
 from folio.llm.common import table
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -21,10 +25,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_scan": op2_secret_scan,
     "op5_byte_bpe": op5_byte_bpe,
     "op9_decontamination": op9_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_secret_scan": secrets.SQL,
     "op9_decontamination": decontam.SQL,
 }
