@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import bpe, decontam, secrets
+from folio.llm import bpe, decontam, secrets, urls
 from folio.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.report(spark, table(spark, sf_dir, "pages"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -26,11 +30,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
+    "op4_url_filter": op4_url_filter,
     "op5_byte_bpe": op5_byte_bpe,
     "op9_decontamination": op9_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_secret_scan": secrets.SQL,
+    "op4_url_filter": urls.SQL,
     "op9_decontamination": decontam.SQL,
 }
