@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import bpe, decontam, langid, neardup, quality, secrets, urls
+from folio.llm import bpe, decontam, fingerprint, langid, neardup, quality, secrets, urls
 from folio.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.report(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_duplicates": op3_near_duplicates,
     "op4_url_filter": op4_url_filter,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_fingerprints": op6_fingerprints,
     "op7_quality": op7_quality,
     "op9_decontamination": op9_decontamination,
 }
@@ -53,5 +58,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_secret_scan": secrets.SQL,
     "op4_url_filter": urls.SQL,
+    "op6_fingerprints": fingerprint.SQL,
     "op9_decontamination": decontam.SQL,
 }
