@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import bpe, decontam, fingerprint, langid, neardup, quality, secrets, urls
+from folio.llm import bpe, decontam, fingerprint, langid, neardup, quality, repeats, secrets, urls
 from folio.llm.common import table
 
 
@@ -40,6 +40,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_fingerprints": op6_fingerprints,
     "op7_quality": op7_quality,
+    "op8_repeats": op8_repeats,
     "op9_decontamination": op9_decontamination,
 }
 
