@@ -153,16 +153,16 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
             for lang, t in zip(b["lang"], b["text"], strict=True):
                 if (h := features(t)) is not None:
                     ids, counts = np.unique(h, return_counts=True)
-                    yield pd.DataFrame({"lang": [lang], "ids": [ids.astype(np.int32)], "counts": [counts.astype(np.int32)]})
+                    yield pd.DataFrame({"lang": [lang], "ids": [ids.astype(np.int32).tobytes()], "counts": [counts.astype(np.int32).tobytes()]})
 
-    got = bounded_sample(rows, "lang", per_label, F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).select("lang", "text").mapInPandas(vectors, "lang string, ids array<int>, counts array<int>").toPandas()
+    got = bounded_sample(rows, "lang", per_label, F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).select("lang", "text").mapInPandas(vectors, "lang string, ids binary, counts binary").toPandas()
     labels = sorted(got["lang"].unique())
     if not labels:
         return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0))
     place = {x: i for i, x in enumerate(labels)}
     data = []
     for lang, ids, counts in got.itertuples(index=False):
-        ids, counts = np.asarray(ids, np.int64), np.asarray(counts, np.float64)
+        ids, counts = np.frombuffer(ids, np.int32).astype(np.int64), np.frombuffer(counts, np.int32).astype(np.float64)
         data.append((ids, counts * (SCALE / counts.sum()) * idf[ids], place[lang]))
     held = [r for i, r in enumerate(data) if i % 5 == 4]
     w, bias = ftrl([r for i, r in enumerate(data) if i % 5 != 4] or data, len(labels))
