@@ -11,6 +11,7 @@ common is final, and is emitted: the lookahead is bounded by the longest vocabul
 from __future__ import annotations
 
 import base64
+import gc
 import itertools
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 from folio.llm.common import small_batches
 
 #: Bounds of what a worker remembers, and the bytes read before tokens are emitted (more where the vocabulary needs it).
-MAX_STATES, MAX_PIECES, MAX_PAIRS, LOOK = 150_000, 120_000, 150_000, 48
+MAX_STATES, MAX_PIECES, MAX_PAIRS, LOOK = 700_000, 450_000, 250_000, 48
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -44,8 +45,8 @@ class MergeTransducer:
         self.left_edges: dict[int, list] = {}
         self.right_edges: dict[int, list] = {}
         self.pairs: dict[int, bool] = {}
-        self.pieces: dict[bytes, tuple[int, ...]] = {}
-        self.older: dict[bytes, tuple[int, ...]] = {}
+        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def edge(self, token: int, right: bool) -> list[tuple[bytes, int, int]]:
         """What stands at one end of a token while it is being merged: bytes, and the ranks at which each part comes and goes."""
@@ -125,7 +126,11 @@ class MergeTransducer:
             if (token := rank_of(data[j:])) is not None and (left := tokens[begin]) is not None:
                 apart = known(left << 32 | token) if left >= 0 else True
                 if apart or apart is None and self.stay_apart(left, token):
-                    return self.state(token, begin, state, n)
+                    tokens.append(token)
+                    self.begin.append(begin)
+                    back.append(state)
+                    self.depth.append(n)
+                    return len(tokens) - 1
             begin = back[begin]
         return self.state(None, -1, state, n)
 
@@ -159,10 +164,11 @@ class MergeTransducer:
         self.moves[key] = to
         return to
 
-    def piece(self, data: bytes) -> tuple[int, ...]:
-        if (known := self.older.get(data)) is not None:
-            self.pieces[data] = known
+    def piece(self, text: str) -> tuple[int, ...]:
+        if (known := self.older.get(text)) is not None:
+            self.pieces[text] = known
             return known
+        data = text.encode()
         if len(self.token) >= MAX_STATES:
             self.forget()
         moves, final, root, state = self.moves, self.final, 0, 0
@@ -171,13 +177,13 @@ class MergeTransducer:
             key = state << 8 | byte
             if (to := moves.get(key)) is None:
                 to = self.step(state, byte, data[n - 1 - self.depth[state] : n])
-            if key in final:
+            if final and key in final:
                 out += final[key]
                 root = self.roots[out[-1]]
             state = to
         if len(self.pieces) >= MAX_PIECES:  # what is met again comes back from the older half
             self.older, self.pieces = self.pieces, {}
-        known = self.pieces[data] = out + self.tokens_since(root, state)
+        known = self.pieces[text] = out + self.tokens_since(root, state)
         return known
 
 
@@ -218,12 +224,13 @@ def _coder(path: str, pattern: str) -> tuple:
     if (path, pattern) not in _loaded:
         import regex
 
+        gc.set_threshold(200_000, 100, 100)  # the tables hold no cycles; looking for some takes a quarter of the time
         _loaded[path, pattern] = MergeTransducer(load_ranks(path)), regex.compile(pattern)
     return _loaded[path, pattern]
 
 
 def encode_text(text: str, coder: MergeTransducer, pieces) -> Iterator[int]:
-    return itertools.chain.from_iterable(coder.pieces.get(b) or coder.piece(b) for b in map(str.encode, pieces.findall(text)))
+    return itertools.chain.from_iterable(coder.pieces.get(p) or coder.piece(p) for p in pieces.findall(text))
 
 
 def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", out: str = "token_ids") -> DataFrame:
