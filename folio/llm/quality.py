@@ -91,25 +91,31 @@ def sgd(rows: list[tuple[np.ndarray, np.ndarray, int]], n_classes: int, epochs:
     return vec, layer, bias
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "label", per_class: int = ROWS_PER_CLASS) -> Model:
-    """Learn from the rows of ``docs`` with a label; without any, every class-free score is one half."""
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", per_class: int = ROWS_PER_CLASS) -> Model:
+    """Learn from the texts of (doc_id, label) rows; without any, the model has no classes.
+
+    The labels are sampled before they meet the texts: at most ``per_class`` times the classes are joined, by broadcast.
+    Texts of other rows are not shuffled.
+    """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(label).cast("int").alias("label")).filter("label IS NOT NULL")
+    marks = labels.select(F.col("doc_id").alias("_id"), F.col("label").cast("int").alias("label")).filter("label IS NOT NULL AND _id IS NOT NULL")
+    marks = bounded_sample(marks, "label", per_class, F.col("_id").cast("string"))
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(marks), "_id")
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for y, t in zip(b["label"], b["text"], strict=True):
+            for i, y, t in zip(b["_id"], b["label"], b["text"], strict=True):
                 ids, counts = np.unique(features(t), return_counts=True)
-                yield pd.DataFrame({"label": [y], "ids": [ids.astype(np.int32)], "counts": [counts.astype(np.int32)]})
+                yield pd.DataFrame({"id": [str(i)], "label": [y], "ids": [ids.astype(np.int32).tobytes()], "counts": [counts.astype(np.int32).tobytes()]})
 
-    got = bounded_sample(rows, "label", per_class, F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).select("label", "text").mapInPandas(vectors, "label int, ids array<int>, counts array<int>").toPandas()
+    got = rows.select("_id", "label", "text").mapInPandas(vectors, "id string, label int, ids binary, counts binary").toPandas()
     classes = sorted(int(x) for x in got["label"].unique())
     if not classes:
         return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), np.zeros(0))
     data = []
-    for y, ids, counts in got.itertuples(index=False):
-        counts = np.asarray(counts, np.float32)
-        data.append((np.asarray(ids, np.int64), counts / max(1.0, counts.sum()), classes.index(y)))
+    for y, ids, counts in got.sort_values(["id", "ids"])[["label", "ids", "counts"]].itertuples(index=False):
+        counts = np.frombuffer(counts, np.int32).astype(np.float32)
+        data.append((np.frombuffer(ids, np.int32), counts / max(1.0, counts.sum()), classes.index(y)))
     vec, layer, bias = sgd(data, len(classes))
     prior = np.bincount([r[2] for r in data], minlength=len(classes)) / len(data)
     return Model(classes, (vec @ layer.T).astype(np.float32), bias, prior)
@@ -148,6 +154,6 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Where an id has several labels the greatest counts.
     """
     held = bucket_of(F.col("doc_id"), 3) == 1
-    marks = labels.groupBy("doc_id").agg(F.max("quality").alias("label"))
-    model = train(docs.filter(~held).select("doc_id", "text").join(marks, "doc_id"))
+    marks = labels.filter(~held).groupBy("doc_id").agg(F.max("quality").alias("label"))
+    model = train(docs, marks)
     return score(docs.select("doc_id", "text", held.alias("held_out")), model).select("doc_id", "held_out", "score", "predicted")
