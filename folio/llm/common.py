@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,7 +46,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._folio_path = path
+    return out
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -58,9 +61,8 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def drop_tables(*frames: DataFrame) -> None:
     """Delete the files behind frames made by :func:`materialize` that nothing reads any more."""
     for df in frames:
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/folio-" in path:
-                drop_path(df.sparkSession, path)
+        if path := vars(df).get("_folio_path"):
+            drop_path(df.sparkSession, path)
 
 
 def ascii_lower(c: Column) -> Column:
@@ -88,3 +90,13 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the files of shuffles that nothing refers to any more.
+
+    Its cleaner learns of them when the driver's JVM collects garbage, by itself only every half hour. Worth a call where
+    large shuffles have just been replaced by a written table.
+    """
+    gc.collect()
+    spark._jvm.System.gc()

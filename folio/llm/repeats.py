@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import drop_tables, materialize, small_batches
+from folio.llm.common import drop_tables, materialize, release_shuffles, small_batches
 from folio.llm.neardup import mix
 
 LEAST, GRAM = 200, 32
@@ -66,7 +66,15 @@ def sliding_min(h: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(m[:-rest], m[rest:]) if rest else m
 
 
-def fragments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def fragments(data: bytes, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The fragments of a text of any length, found in blocks of so many windows; what a window belongs to is up to its bytes alone."""
+    if len(data) < block + LEAST:
+        return _fragments(data)
+    parts = [(lo, _fragments(data[lo : lo + block + LEAST - 1])) for lo in range(0, len(data) - LEAST + 1, block)]
+    return tuple(np.concatenate([p[i] + lo if i == 1 else p[i] for lo, p in parts]) for i in range(4))
+
+
+def _fragments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(minimizer, first window, windows, twice) of the fragments of a text, in order; none below LEAST bytes.
 
     ``twice``: the minimizer stands at several places of the text, so that a fragment may repeat within itself.
@@ -283,20 +291,29 @@ def covered_stretches(docs: DataFrame) -> DataFrame:
     joined = long.alias("t").join(by_row.alias("p"), F.col("t.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("t.text_key") == F.col("p.text_key"))).select("t.doc_id", "t.text_key", "text", "parts")
     placed = materialize(joined.mapInPandas(fill, f"doc_id {kind}, text_key long, first int, minimizer long, content binary, windows int, data binary"), "placed")
     drop_tables(pieces)
+    release_shuffles(spark)
     contents = placed.groupBy("minimizer", "content").agg(F.count("*").alias("n"), F.first("windows").alias("windows"), F.first("data").alias("data"))
     contents = materialize(contents.select("minimizer", "content", F.lit(0).alias("base"), "n", "windows", "data"), "contents")
+    # from here on a fragment's place is all that is needed of its occurrences
+    places = materialize(placed.select("doc_id", "text_key", "first", "content"), "places")
+    drop_tables(placed)
+    release_shuffles(spark)
     hot = contents.groupBy("minimizer").agg(F.count("*").alias("k")).filter(f"k > {HOT}").select("minimizer")
     if hot.limit(1).count():
         hot = materialize(hot, "hot")
         cool = contents.join(hot, "minimizer", "left_anti").select(*contents.columns)
-        contents = materialize(cool.unionByName(_without_single_windows(contents.join(hot, "minimizer", "left_semi").select(*contents.columns))), "contents")
+        cut_down = materialize(cool.unionByName(_without_single_windows(contents.join(hot, "minimizer", "left_semi").select(*contents.columns))), "contents")
+        drop_tables(contents, hot)
+        contents = cut_down
     # every minimizer in one task, in order; its fragments are distinct
     sorted_ = contents.repartition("minimizer").sortWithinPartitions("minimizer")
     found = materialize(sorted_.mapInPandas(_finder, f"content binary, stretches {_STRETCHES}"), "stretches")
     shift = F.transform("stretches", lambda s: F.struct((s["start"] + F.col("first")).alias("start"), (s["end"] + F.col("first")).alias("end")))
-    out = placed.select("doc_id", "text_key", "first", "content").join(found, "content").select("doc_id", "text_key", shift.alias("x")).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("x")).alias("stretches"))
+    drop_tables(contents)
+    out = places.join(found, "content").select("doc_id", "text_key", shift.alias("x")).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("x")).alias("stretches"))
     out = materialize(out, "covered")
-    drop_tables(placed, contents, found)
+    drop_tables(places, found)
+    release_shuffles(spark)
     return out
 
 
