@@ -12,9 +12,7 @@ from __future__ import annotations
 
 import base64
 import gc
-import itertools
-from collections.abc import Iterator
-
+from array import array
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +21,7 @@ from pyspark.sql import types as T
 from folio.llm.common import small_batches
 
 #: Bounds of what a worker remembers, and the bytes read before tokens are emitted (more where the vocabulary needs it).
-MAX_STATES, MAX_PIECES, MAX_PAIRS, LOOK = 700_000, 450_000, 250_000, 48
+MAX_STATES, MAX_PIECES, MAX_PAIRS, LOOK = 160_000, 160_000, 120_000, 48
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -45,8 +43,8 @@ class MergeTransducer:
         self.left_edges: dict[int, list] = {}
         self.right_edges: dict[int, list] = {}
         self.pairs: dict[int, bool] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def edge(self, token: int, right: bool) -> list[tuple[bytes, int, int]]:
         """What stands at one end of a token while it is being merged: bytes, and the ranks at which each part comes and goes."""
@@ -164,7 +162,8 @@ class MergeTransducer:
         self.moves[key] = to
         return to
 
-    def piece(self, text: str) -> tuple[int, ...]:
+    def piece(self, text: str) -> bytes:
+        """The ids of a piece, packed as 32-bit integers."""
         if (known := self.older.get(text)) is not None:
             self.pieces[text] = known
             return known
@@ -183,7 +182,7 @@ class MergeTransducer:
             state = to
         if len(self.pieces) >= MAX_PIECES:  # what is met again comes back from the older half
             self.older, self.pieces = self.pieces, {}
-        known = self.pieces[text] = out + self.tokens_since(root, state)
+        known = self.pieces[text] = array("i", out + self.tokens_since(root, state)).tobytes()
         return known
 
 
@@ -229,8 +228,8 @@ def _coder(path: str, pattern: str) -> tuple:
     return _loaded[path, pattern]
 
 
-def encode_text(text: str, coder: MergeTransducer, pieces) -> Iterator[int]:
-    return itertools.chain.from_iterable(coder.pieces.get(p) or coder.piece(p) for p in pieces.findall(text))
+def encode_text(text: str, coder: MergeTransducer, pieces) -> np.ndarray:
+    return np.frombuffer(b"".join([coder.pieces.get(p) or coder.piece(p) for p in pieces.findall(text)]), np.int32)
 
 
 def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", out: str = "token_ids") -> DataFrame:
@@ -245,7 +244,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", out
         coder, pieces = _coder(vocabulary, pattern)
         import pandas as pd
 
-        return pd.Series([np.fromiter(encode_text(t, coder, pieces), np.int32) if t else np.empty(0, np.int32) for t in texts], dtype=object)
+        return pd.Series([encode_text(t or "", coder, pieces) for t in texts], dtype=object)
 
     return df.withColumn(out, ids(F.col(text)))
 

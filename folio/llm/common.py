@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -100,3 +101,14 @@ def release_shuffles(spark: SparkSession) -> None:
     """
     gc.collect()
     spark._jvm.System.gc()
+
+
+def give_back() -> None:
+    """Return memory that a Python worker has freed to the system; idle workers stay beside the JVM for a while."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import bucket_of, small_batches
+from folio.llm.common import bucket_of, give_back, small_batches
 from folio.llm.ngrams import code_points, gram_hashes, is_letter
 
 BITS, SIZES = 16, (1, 2, 3)
@@ -122,6 +122,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarra
                     seen[h] = True
                     df += seen
         df[-1] = n
+        give_back()
         at = np.flatnonzero(df)
         yield pd.DataFrame({"gram": at, "n": df[at]})
 
@@ -194,6 +195,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             p = probabilities((total / len(h) + m.bias) / m.temperature)
             k = int(p.argmax())
             out.append((m.labels[k], float(min(1.0, p[k]))))
+        give_back()
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
     return docs.withColumn("_j", judge(F.col(text))).withColumn("lang_pred", F.col("_j.lang_pred")).withColumn("score", F.col("_j.score")).drop("_j")
