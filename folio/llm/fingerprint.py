@@ -7,6 +7,8 @@ Hashes are the first 16 hexadecimal digits of md5, so that any engine can make t
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -60,19 +62,37 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
     return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), joint / distinct_count(a, k)))
 
 
-def followers(docs: DataFrame) -> DataFrame:
-    """(doc_id, next_id) of the distinct non-null ids in ascending order; the last is followed by the first.
+def _part_of(doc_id: Column, bounds: list) -> Column:
+    """The number of bounds that are not above an id, looked up in two steps; 0 for null."""
+    step = max(1, math.isqrt(max(len(bounds), 1)))
+    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)] or [[]]
+    below = lambda values: F.size(F.filter(values, lambda b: b <= doc_id))
+    array = lambda values: F.array(*[F.lit(v) for v in values]).cast("array<long>")
+    coarse = F.greatest(below(array([g[0] for g in groups if g])), F.lit(1))
+    fine = F.element_at(F.array(*map(array, groups)), coarse)
+    return F.when(doc_id.isNull(), 0).otherwise((coarse - 1) * step + below(fine))
+
 
-    Ids are dealt into ranges; each range is put in order by itself, and only the first id of each range is looked at
-    across them.
+def with_next(docs: DataFrame, parts: int) -> DataFrame:
+    """(doc_id, text, fingerprint, next_head, next_fingerprint): each row with the beginning of the next document's text.
+
+    Rows are in order of (doc_id, text), null ids first; the last is followed by the first. They are dealt into ranges
+    of about equally many ids, by quantiles over all of them; a range is put in order by one task, and across ranges only the
+    first row of each is looked at. The texts are shuffled once. ``next_head`` is as long as a quarter of the row's text.
     """
-    ids = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct()
-    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = materialize(ids.repartitionByRange(n, "doc_id").withColumn("part", F.spark_partition_id()), "ids")
-    firsts = placed.groupBy("part").agg(F.min("doc_id").alias("first"))  # one row a range
-    ends = firsts.select("part", F.coalesce(F.lead("first").over(W.orderBy("part")), F.min("first").over(W.partitionBy(F.lit(0)))).alias("after"))
-    inner = placed.withColumn("within", F.lead("doc_id").over(W.partitionBy("part").orderBy("doc_id")))
-    return inner.join(F.broadcast(ends), "part").select("doc_id", F.coalesce("within", "after").alias("next_id"))
+    (bounds,) = docs.agg(F.approx_percentile("doc_id", [i / parts for i in range(1, parts)], 10_000)).first() if parts > 1 else (None,)
+    placed = docs.withColumn("part", _part_of(F.col("doc_id"), sorted(set(bounds or []))))
+    firsts = materialize(placed.groupBy("part").agg(F.min(F.struct("doc_id")).alias("f")).select("part", F.col("f.doc_id").alias("first")), "firsts")  # one row a range
+    after = firsts.select("part", F.coalesce(F.lead("part").over(W.orderBy("part")), F.min("part").over(W.partitionBy(F.lit(0)))).alias("after"))
+    heads = placed.alias("d").join(F.broadcast(firsts.alias("f")), (F.col("d.part") == F.col("f.part")) & F.col("d.doc_id").eqNullSafe(F.col("f.first"))).groupBy(F.col("d.part").alias("after")).agg(F.min("text").alias("edge_text"))
+    edges = materialize(after.join(heads, "after").select("part", "edge_text", bottom_k(shingle_hashes(F.col("edge_text"))).alias("edge_fingerprint")), "edges")
+    own = placed.repartition(parts, "part").withColumn("fingerprint", bottom_k(shingle_hashes(F.col("text"))))
+    w = W.partitionBy("part").orderBy("doc_id", "text")
+    own = own.withColumn("lead_text", F.lead("text").over(w)).withColumn("lead_fingerprint", F.lead("fingerprint").over(w))
+    quarter = F.floor(F.length("text") / 4).cast("int")
+    return own.join(edges, "part").select(
+        "doc_id", "text", "fingerprint", F.substring(F.coalesce("lead_text", "edge_text"), F.lit(1), quarter).alias("next_head"), F.coalesce("lead_fingerprint", "edge_fingerprint").alias("next_fingerprint")
+    )
 
 
 def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
@@ -84,24 +104,18 @@ def neighbours(docs: DataFrame) -> DataFrame:
     """doc_id, text, edited, both fingerprints and likenesses of each row: with its edit and with the next document.
 
     The edit puts the first floor(n/4) code points (or all) of the next document for as many last ones of the text. A null
-    text is empty. Rows that share an id have the same next document: the row of least text among those of the next id;
-    a null id has none, so that its edit only loses its end and near_next is 0. A single document is followed by itself.
+    text is empty. Next is the next row in order of (doc_id, text), null ids first, so that rows that share an id, or are
+    repeated, follow each other; the last row is followed by the first, and a single one by itself.
     """
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = own.withColumn("n_chars", F.length("text").cast("long")).withColumn("quarter", F.floor(F.col("n_chars") / 4).cast("int"))
-    own = own.withColumn("fingerprint", bottom_k(shingle_hashes(F.col("text"))))
-    own = materialize(own, "fingerprints")
-    order = materialize(followers(own), "followers")
-    # what a document needs of the next: as much of its beginning as the edit can take, and its fingerprint
-    needs = order.join(own.groupBy("doc_id").agg(F.max("quarter").alias("most")), "doc_id").select("doc_id", "next_id", "most")
-    heads = own.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("next_id"), "text", F.col("fingerprint").alias("next_fingerprint")).withColumn("r", F.row_number().over(W.partitionBy("next_id").orderBy("text"))).filter("r = 1")
-    sent = heads.join(needs, "next_id").select("doc_id", F.expr("left(text, most)").alias("head"), "next_fingerprint")
-    row = own.join(sent, "doc_id", "left").withColumn("edited", F.concat(F.expr("left(text, cast(n_chars as int) - quarter)"), F.coalesce(F.expr("left(head, quarter)"), F.lit(""))))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    row = with_next(texts, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    row = row.withColumn("n_chars", F.length("text").cast("long"))
+    row = row.withColumn("edited", F.concat(F.expr("left(text, cast(n_chars - floor(n_chars / 4) as int))"), F.col("next_head")))
     row = row.withColumn("edited_fingerprint", F.when(F.col("edited") == F.col("text"), F.col("fingerprint")).otherwise(bottom_k(shingle_hashes(F.col("edited")))))
     return row.select(
         "doc_id", "n_chars", "text", "edited", "fingerprint", "edited_fingerprint",
         resemblance(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        F.coalesce(resemblance(F.col("fingerprint"), F.col("next_fingerprint")), F.lit(0.0)).alias("near_next"),
+        resemblance(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
         distinct_count(F.col("fingerprint")).alias("n_shingles"),
     )
 
