@@ -165,6 +165,30 @@ def test_near_duplicate_classes(spark, monkeypatch, few, group):
         assert sorted(r["doc_id"] for r in neardup.deduplicate(df).collect()) == sorted(set(got.values()))
 
 
+def test_all_pairs_of_a_hot_bucket_are_compared(spark, monkeypatch):
+    real = neardup._sampler
+
+    def one_bucket(shared):
+        inner = real(shared)
+
+        def sample(batches):
+            for b in inner(batches):
+                # every text in one bucket of the first band, alone in its other bands
+                b["bands"] = [np.array([7, *(1000 + rep * 100 + k for k in range(1, len(x)))], np.int64) for rep, x in zip(b["rep"], b["bands"], strict=True)]
+                yield b
+
+        return sample
+
+    monkeypatch.setattr(neardup, "_sampler", one_bucket)
+    monkeypatch.setattr(neardup, "GROUP", 16)
+    rng, docs = random.Random(6), []
+    for i in range(100):
+        words = [f"w{rng.randrange(5000)}" for _ in range(100)]
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-1], "end"]))]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in neardup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: (i - i % 2, 1) for i, _ in docs}
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = neardup.classes(odd(spark)).collect()
     assert len(got) == len(ODD) and {r["class_id"] for r in got if r["doc_id"] in (5, 6)} == {5}
