@@ -15,8 +15,12 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from folio.llm.common import drop_path, new_path
+from folio.llm.common import drop_path, new_path, release_shuffles
+
+#: Arrivals that one call commits one by one; a table with more values of its key has them grouped into so many.
+MAX_ARRIVALS = 1000
 
 
 @dataclass(frozen=True)
@@ -99,20 +103,34 @@ class ShardStore:
         return self.compact() if merge else version
 
     def append_all(self, rows: DataFrame, key: str, keys: list, size: str = "1") -> int:
-        """Add the arrivals of one table in the order of ``keys``, the values of ``key``: written together, committed one by one."""
+        """Add the arrivals of one table in the order of ``keys``, the values of ``key``: written together, committed one by one.
+
+        Each arrival is written as ceil(its size / target) files, its rows dealt among them at random.
+        """
         folder = f"data/arrivals-{uuid.uuid4().hex[:8]}"
-        place = F.coalesce(*[F.when(F.col(key).eqNullSafe(F.lit(k)), F.lit(i)) for i, k in enumerate(keys)]) if keys else F.lit(None).cast("int")
-        rows.withColumn("_arrival", place).filter("_arrival IS NOT NULL").write.partitionBy("_arrival").parquet(f"{self.root}/{folder}")
-        sizes = {r["_arrival"]: r for r in self.spark.read.parquet(f"{self.root}/{folder}").groupBy("_arrival").agg(F.count("*").alias("rows"), F.sum(F.expr(size)).alias("size")).collect()} if keys else {}
+        if not keys:
+            return self.version()
+        table = self.spark.createDataFrame([(k, i) for i, k in enumerate(keys)], StructType([StructField("_folio_key", rows.schema[key].dataType), StructField("_folio_arrival", IntegerType())]))
+        placed = rows.join(F.broadcast(table), F.col(key).eqNullSafe(F.col("_folio_key"))).drop("_folio_key")
+        sizes = {r["_folio_arrival"]: r for r in placed.groupBy("_folio_arrival").agg(F.count("*").alias("rows"), F.sum(F.expr(size)).alias("size")).collect()}
+        files = self.spark.createDataFrame([(i, self._files(int(r["size"] or 0))) for i, r in sizes.items()], "_folio_arrival int, _folio_files int") if sizes else None
+        if files is not None:
+            # a row's file goes by its place in its task, so that repeated rows spread too
+            dealt = placed.join(F.broadcast(files), "_folio_arrival").withColumn("_folio_file", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_folio_files"))).drop("_folio_files")
+            dealt.repartition("_folio_arrival", "_folio_file").write.partitionBy("_folio_arrival", "_folio_file").parquet(f"{self.root}/{folder}")
+            release_shuffles(self.spark)
         version = self.version()
         for i in range(len(keys)):
             if i in sizes:
                 base = self.version()
-                run = Run(f"run-{base + 1:08d}", (f"{folder}/_arrival={i}",), sizes[i]["rows"], int(sizes[i]["size"] or 0), 1)
+                run = Run(f"run-{base + 1:08d}", (f"{folder}/_folio_arrival={i}",), sizes[i]["rows"], int(sizes[i]["size"] or 0), 1)
                 self.commit([*self.runs(base), run], base)
                 version = self.compact()
         return version
 
+    def _files(self, size: int) -> int:
+        return max(1, math.ceil(size / self.target))
+
     def due(self, runs: list[Run]) -> list[Run]:
         """The oldest ``fanout`` runs of the lowest tier that has so many."""
         tiers: dict[int, list[Run]] = {}
@@ -125,9 +143,11 @@ class ShardStore:
         while merge := self.due(runs := self.runs(base := self.version())):
             size, name = sum(r.size for r in merge), f"run-{base + 1:08d}"
             part = f"data/{name}-{uuid.uuid4().hex[:8]}"
-            # files are packed as they are read, without a shuffle
-            files = max(1, math.ceil(size / self.target))
-            self._read(merge).coalesce(files).write.parquet(f"{self.root}/{part}")
+            # rows are dealt evenly among as many files as the size asks for, whatever splits they are read in
+            files, rows = self._files(size), self._read(merge)
+            (rows.repartition(files) if files > 1 else rows.coalesce(1)).write.parquet(f"{self.root}/{part}")
+            if files > 1:
+                release_shuffles(self.spark)
             run = Run(name, (part,), sum(r.rows for r in merge), size, sum(r.arrivals for r in merge))
             gone = {r.name for r in merge}
             at = next(i for i, r in enumerate(runs) if r.name in gone)
@@ -143,14 +163,14 @@ class ShardStore:
             drop_path(self.spark, f"{self.root}/{part}")
 
     def _read(self, runs: list[Run]) -> DataFrame:
-        return self.spark.read.parquet(*[f"{self.root}/{p}" for r in runs for p in r.parts])
+        return self.spark.read.option("recursiveFileLookup", "true").parquet(*[f"{self.root}/{p}" for r in runs for p in r.parts])
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """All rows of a version with the run that holds them (``run``); None if the store is empty."""
+    def read(self, version: int | None = None, run: str = "run") -> DataFrame:
+        """All rows of a version with the run that holds them (column ``run``); ValueError if the store is empty."""
         runs = self.runs(version)
         if not runs:
             raise ValueError("the store is empty")
-        frames = [self._read([r]).withColumn("run", F.lit(r.name)) for r in runs]
+        frames = [self._read([r]).withColumn(run, F.lit(r.name)) for r in runs]
         out = frames[0]
         for f in frames[1:]:
             out = out.unionByName(f)
@@ -160,16 +180,30 @@ class ShardStore:
 def shard(docs: DataFrame, arrival: str = "source", text: str = "text", fanout: int = 4, target_bytes: int = 128 << 20) -> DataFrame:
     """doc_id, arrival, n_bytes, run, tier, run_rows, run_bytes, version of every row: where the store holds it in the end.
 
-    Each value of ``arrival``, null included, is an arrival, in ascending order (null first). Every row is kept, repeated
-    ones too; a null text has no bytes, nulls stay. An empty table makes no run and gives no rows. Other columns, of
-    whatever name, are stored along unless they are named like the ones above.
+    Each value of ``arrival``, null included, is an arrival, in ascending order (null first); of more than MAX_ARRIVALS
+    values, those that share a hash are one. Every row is kept, repeated ones too; a null text has no bytes, nulls stay.
+    An empty table makes no run and gives no rows. All columns of ``docs``, of whatever name and type, are stored.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.col(text).alias("text"), F.col(arrival).alias("arrival"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
-    keys = [r["arrival"] for r in rows.select("arrival").distinct().orderBy("arrival").collect()]  # one for each delivery
     store = ShardStore(spark, new_path(spark, "shards"), fanout, target_bytes)
-    version = store.append_all(rows, "arrival", keys, "n_bytes")
-    if not keys:
-        return rows.select("doc_id", "arrival", "n_bytes", F.lit("").alias("run"), F.lit(0).alias("tier"), F.lit(0).cast("long").alias("run_rows"), F.lit(0).cast("long").alias("run_bytes"), F.lit(0).alias("version"))
+    return _located(store, _fill(store, docs, arrival, text), docs, arrival)
+
+
+def _fill(store: ShardStore, docs: DataFrame, arrival: str, text: str) -> int:
+    rows = docs.withColumns({"_folio_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long"), "_folio_batch": F.col(arrival)})
+    few = lambda: [r["_folio_batch"] for r in rows.select("_folio_batch").distinct().orderBy("_folio_batch").limit(MAX_ARRIVALS + 1).collect()]
+    keys = few()
+    if len(keys) > MAX_ARRIVALS:
+        rows = rows.withColumn("_folio_batch", F.pmod(F.xxhash64("_folio_batch"), F.lit(MAX_ARRIVALS)))
+        keys = few()
+    return store.append_all(rows, "_folio_batch", keys, "_folio_bytes")
+
+
+def _located(store: ShardStore, version: int, docs: DataFrame, arrival: str) -> DataFrame:
+    spark = docs.sparkSession
+    if not version:
+        none = docs.select("doc_id", F.col(arrival).alias("arrival")).limit(0)
+        return none.select("doc_id", "arrival", F.lit(0).cast("long").alias("n_bytes"), F.lit("").alias("run"), F.lit(0).alias("tier"), F.lit(0).cast("long").alias("run_rows"), F.lit(0).cast("long").alias("run_bytes"), F.lit(0).alias("version"))
     held = spark.createDataFrame([(r.name, store.tier(r.size), r.rows, r.size) for r in store.runs()], "run string, tier int, run_rows long, run_bytes long")
-    return store.read().select("doc_id", "arrival", "n_bytes", "run").join(F.broadcast(held), "run").select("doc_id", "arrival", "n_bytes", "run", "tier", "run_rows", "run_bytes", F.lit(version).alias("version"))
+    rows = store.read(run="_folio_run").select("doc_id", F.col(arrival).alias("arrival"), F.col("_folio_bytes").alias("n_bytes"), F.col("_folio_run").alias("run"))
+    return rows.join(F.broadcast(held), "run").select("doc_id", "arrival", "n_bytes", "run", "tier", "run_rows", "run_bytes", F.lit(version).alias("version"))

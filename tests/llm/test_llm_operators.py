@@ -407,6 +407,40 @@ def test_sharding_keeps_every_row(spark):
     assert sharding.shard(empty(spark)).count() == 0
 
 
+def _stored(spark, monkeypatch, docs, **kw):
+    """(store, result) of :func:`sharding.shard`."""
+    made, real = [], sharding.ShardStore
+
+    def keep(*a):
+        made.append(real(*a))
+        return made[-1]
+
+    monkeypatch.setattr(sharding, "ShardStore", keep)
+    return sharding.shard(docs, **kw), made[0]
+
+
+def test_shards_hold_all_columns(spark, monkeypatch):
+    docs = odd(spark)
+    _, store = _stored(spark, monkeypatch, docs)
+    rows = store.read(run="where").select(*docs.columns)
+    assert sorted(map(str, rows.collect())) == sorted(map(str, docs.collect()))
+
+
+def test_shard_files_are_of_the_target_size(spark, monkeypatch):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 100).alias("text"), F.when(F.col("id") < 3000, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 4)).alias("source")).coalesce(1)
+    _, store = _stored(spark, monkeypatch, docs, target_bytes=20_000)
+    for run in store.runs():
+        n = [r["n"] for r in store._read([run]).groupBy(F.input_file_name()).agg((F.count("*") * 100).alias("n")).collect()]
+        assert len(n) == -(-run.size // 20_000) and max(n) <= 30_000, (run, n)
+
+
+def test_many_arrivals_are_grouped(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "MAX_ARRIVALS", 3)
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.col("id").cast("string").alias("source"))
+    got, store = _stored(spark, monkeypatch, docs)
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(40)) and sum(r.arrivals for r in store.runs()) <= 3
+
+
 def _simulated(sizes, fanout=4):
     store = sharding.ShardStore.__new__(sharding.ShardStore)
     store.fanout = fanout
