@@ -165,6 +165,17 @@ def test_near_duplicate_classes(spark, monkeypatch, few, group):
         assert sorted(r["doc_id"] for r in neardup.deduplicate(df).collect()) == sorted(set(got.values()))
 
 
+@pytest.mark.parametrize("group", [512, 8])
+def test_links_are_counted_in_large_buckets(spark, monkeypatch, group):
+    monkeypatch.setattr(neardup, "GROUP", group)
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    docs = [(i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(40)]
+    docs += [(100 + i, " ".join(f"w{rng.randrange(5000)}" for _ in range(150))) for i in range(20)]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in neardup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: (0, 39) if i < 40 else (i, 0) for i, _ in docs}
+
+
 def test_all_pairs_of_a_hot_bucket_are_compared(spark, monkeypatch):
     real = neardup._sampler
 
