@@ -36,7 +36,15 @@ def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1, AG1: in how many documents each token occurs, as token sets of ASCII texts."""
-    d = read(spark, sf_dir, "documents").filter("octet_length(text) = length(text)")
+    return _token_frequency(read(spark, sf_dir, "documents").filter("octet_length(text) = length(text)"))
+
+
+def token_frequency_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1, AG1 over every document, accents folded; held against literal cases, without a SQL twin."""
+    return _token_frequency(read(spark, sf_dir, "documents"))
+
+
+def _token_frequency(d: DataFrame) -> DataFrame:
     return d.select(F.explode(X.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n_docs"))
 
 
@@ -145,7 +153,16 @@ def truncated_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F17, RT5, RT6: lexical score of three terms on each ASCII document's distinct words."""
-    d = read(spark, sf_dir, "documents").filter("octet_length(text) = length(text)").select("doc_id", F.array_distinct(X.fold_words(F.col("text"))).alias("words"))
+    return _word_credit(read(spark, sf_dir, "documents").filter("octet_length(text) = length(text)"))
+
+
+def word_credit_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F17, RT5, RT6 over every document, accents folded; held against literal cases, without a SQL twin."""
+    return _word_credit(read(spark, sf_dir, "documents"))
+
+
+def _word_credit(d: DataFrame) -> DataFrame:
+    d = d.select("doc_id", F.array_distinct(X.fold_words(F.col("text"))).alias("words"))
     return d.select("doc_id", F.round(retrieval.lexical_score(F.array(F.lit("tion"), F.lit("thered"), F.lit("under")), F.col("words")), 6).alias("lexical"))
 
 
@@ -221,7 +238,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         instant_search, text_scalars, token_frequency, record_hashes, incremental_plan, first_of_copies, letter_counts, best_order, percentile_fallback, term_scores, document_links, overlay_states,
         borrowed_orders, customers_without_orders, word_prefixes, vector_codes, nearest_vectors, truncated_vectors, word_credit, due_users, rolling_requests, outcomes, json_props, canonical_urls, page_blocks,
-        page_chunks, shared_tokens, ordered_types, title_changes,
+        page_chunks, shared_tokens, ordered_types, title_changes, token_frequency_all, word_credit_all,
     )
 }
 
