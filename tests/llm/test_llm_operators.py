@@ -270,7 +270,7 @@ def coder():
     import tiktoken
 
     ranks = bpe.load_ranks(VOCAB)
-    return bpe.MergeTransducer(ranks), regex.compile(P.PATTERN), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return bpe.MergeTransducer(ranks), bpe.Pieces(regex.compile(P.PATTERN), bpe.ascii_pattern(P.PATTERN)), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 @given(st.one_of(st.text(max_size=60), st.text(alphabet="aeth \n'é中\U0001f600.-_=01\x1c\x85\xa0", max_size=60), st.builds(lambda c, n: c * n, st.sampled_from("ae= -é"), st.integers(0, 400))))
@@ -278,7 +278,8 @@ def coder():
 def test_tokens_are_the_librarys(coder, text):
     m, pieces, library = coder
     text = text.encode("utf-8", "ignore").decode()
-    assert list(bpe.encode_text(text, m, pieces)) == library.encode_ordinary(text)
+    (got,) = bpe.encode_texts([text], m, pieces)
+    assert list(got) == library.encode_ordinary(text)
 
 
 def test_forgotten_states_change_nothing(coder, monkeypatch):
@@ -286,7 +287,17 @@ def test_forgotten_states_change_nothing(coder, monkeypatch):
     for limit in ("MAX_STATES", "MAX_PIECES", "MAX_PAIRS"):
         monkeypatch.setattr(bpe, limit, 20)
     text = duckdb.sql(f"SELECT string_agg(text, ' ') FROM (SELECT text FROM '{SF}/documents.parquet' ORDER BY doc_id LIMIT 15)").fetchall()[0][0]
-    assert list(bpe.encode_text(text, m, pieces)) == library.encode_ordinary(text)
+    (got,) = bpe.encode_texts([text], m, pieces)
+    assert list(got) == library.encode_ordinary(text)
+
+
+@given(st.text(alphabet=[chr(i) for i in range(128)], max_size=80))
+@settings(max_examples=300, deadline=None)
+def test_ascii_pieces_are_those_of_the_pattern(coder, text):
+    import regex
+
+    assert coder[1].ascii(text) == regex.findall(P.PATTERN, text)
+    assert bpe.ascii_pattern(r"\b\w+") is None
 
 
 @given(st.text(max_size=40), st.integers(1, 5))
