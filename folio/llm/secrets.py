@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.llm.common import materialize, small_enough
+
 try:
     from re import _constants as _c
     from re import _parser
@@ -149,16 +151,25 @@ def candidates(spark: SparkSession, keyed: DataFrame, rules: tuple[Rule, ...], t
     return met.groupBy("doc_id", "text_key").agg(F.collect_set("kind").alias("kinds"))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``spans``: array<struct<start, kind_order, kind, end>> of every rule, by start and then by rule.
+#: Candidate documents whose ids are broadcast at most; more of them meet the documents by shuffle.
+BROADCAST_CANDIDATES = 300_000
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text", out: str = "spans") -> DataFrame:
+    """``docs`` with ``out``: array<struct<start, kind_order, kind, end>> of every rule, by start and then by rule.
 
     Offsets are code points, ends exclusive. A null text is read as empty and stays null; rows that are repeated
-    are each scanned; all other columns pass through, but one called ``spans`` is replaced.
+    are each scanned; an empty table gives none; all other columns pass through, but one called ``out`` is replaced.
+    Texts are not shuffled: the ids of the candidates that the index yields, far fewer than the documents, are
+    brought to them, by broadcast where their number is small.
     """
-    whole = F.coalesce(F.col(text), F.lit(""))
+    spark, whole = docs.sparkSession, F.coalesce(F.col(text), F.lit(""))
+    id_, key, named_kinds, rest = (f"_folio_{x}" for x in ("id", "key", "kinds", "hash"))
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(whole).alias("text_key"), whole.alias("text"))
-    kinds = candidates(docs.sparkSession, keyed, rules).select(F.col("doc_id").alias("_c_id"), F.col("text_key").alias("_c_key"), F.col("kinds").alias("_c_kinds"))
-    joined = docs.withColumn("_c_hash", F.xxhash64(whole)).join(kinds, F.col(doc_id).eqNullSafe(F.col("_c_id")) & (F.col("_c_hash") == F.col("_c_key")), "left")
+    kinds = materialize(candidates(spark, keyed, rules).select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), F.col("kinds").alias(named_kinds)), "candidates")
+    if small_enough(kinds, BROADCAST_CANDIDATES):
+        kinds = F.broadcast(kinds)
+    joined = docs.withColumn(rest, F.xxhash64(whole)).join(kinds, F.col(doc_id).eqNullSafe(F.col(id_)) & (F.col(rest) == F.col(key)), "left")
     none = F.array().cast("array<struct<start:int,kind_order:int,kind:string,end:int>>")
 
     def named_spans(order: int, r: Rule) -> Column:
@@ -167,20 +178,24 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id
     found = []
     for order, r in enumerate(rules):
         named = named_spans(order, r)
-        found.append(named if trigram_query(r.pattern) is None else F.when(F.array_contains("_c_kinds", r.kind), named).otherwise(none))
-    return joined.withColumn("spans", F.sort_array(F.concat(*found))).drop("_c_id", "_c_key", "_c_kinds", "_c_hash")
+        found.append(named if trigram_query(r.pattern) is None else F.when(F.array_contains(named_kinds, r.kind), named).otherwise(none))
+    return joined.withColumn(out, F.sort_array(F.concat(*found))).drop(id_, key, named_kinds, rest)
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", mark: str = "[secret]") -> DataFrame:
-    """``docs`` with each span, or run of overlapping spans, of the text replaced by ``mark``; texts without stay as they are."""
-    whole = F.col(text)
+    """``docs`` with each span, or run of overlapping spans, of the text replaced by ``mark``; texts without stay as they are.
+
+    A null or empty text stays so; repeated rows stay; an empty table gives none; all other columns pass through,
+    whatever their names.
+    """
+    whole, spans = F.col(text), "_folio_spans"
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     cut = lambda a, s: F.struct(
         F.greatest(a["at"], s["end"]).alias("at"),
         F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(whole, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise(a["out"]).alias("out"),
     )
-    clean = F.aggregate("spans", zero, cut, lambda a: F.concat(a["out"], F.substring(whole, a["at"] + 1, F.length(whole))))
-    return scan(docs, rules, text=text).withColumn(text, F.when(F.size("spans") > 0, clean).otherwise(whole)).drop("spans")
+    clean = F.aggregate(spans, zero, cut, lambda a: F.concat(a["out"], F.substring(whole, a["at"] + 1, F.length(whole))))
+    return scan(docs, rules, text=text, out=spans).withColumn(text, F.when(F.size(spans) > 0, clean).otherwise(whole)).drop(spans)
 
 
 def listed(spans: Column) -> Column:
