@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from folio.llm.common import small_batches
 
 #: Bounds of what a worker remembers, and the bytes read before tokens are emitted (more where the vocabulary needs it).
-MAX_STATES, MAX_PIECES, MAX_PAIRS, LOOK = 400_000, 250_000, 400_000, 48
+MAX_STATES, MAX_PIECES, MAX_PAIRS, LOOK = 250_000, 150_000, 200_000, 48
 #: The pairs last met, by their hash, for lookups of many at once.
 PAIR_BITS = 19
 #: Characters of text whose pieces are held at a time.
@@ -53,7 +53,7 @@ class MergeTransducer:
         self.longest = max(map(len, ranks), default=1)
         self.powers = np.array([pow(_BASE, n, 1 << 64) for n in range(LOOK + 1)], np.uint64)
         self.hashed = [self._hashed([t for t in ranks if len(t) == n]) for n in range(min(self.longest, LOOK) + 1)]
-        self.token, self.begin, self.back, self.depth = (np.zeros(MAX_STATES + 4096 * LOOK, np.int32) for _ in range(4))
+        self.token, self.begin, self.back, self.depth = (np.zeros(MAX_STATES + 2048 * LOOK, np.int32) for _ in range(4))
         self.hash = np.zeros(len(self.token), np.uint64)
         self.forget()
         self.split: dict[bytes, tuple[bytes, bytes]] = {}
@@ -241,11 +241,11 @@ class MergeTransducer:
                 short.append(p)
             else:
                 self.pieces[p] = self.piece(p)
-        for lo in range(0, len(short), 4096):
-            part = [p.encode() for p in short[lo : lo + 4096]]
+        for lo in range(0, len(short), 2048):
+            part = [p.encode() for p in short[lo : lo + 2048]]
             if self.count + sum(map(len, part)) > MAX_STATES:
                 self.forget()
-            self.pieces.update(zip(short[lo : lo + 4096], self.walk(part), strict=True))
+            self.pieces.update(zip(short[lo : lo + 2048], self.walk(part), strict=True))
 
     def step(self, state: int, byte: int, data: bytes) -> int:
         """A transition met for the first time: the state behind it; ``final`` gets the tokens that it makes final."""

@@ -133,52 +133,69 @@ def _family():
     return docs
 
 
-def _classes(docs):
-    root = {i: i for i, _ in docs}
+def _root(root, x):
+    while root[x] != x:
+        x = root[x]
+    return x
+
+
+def weighted_links(docs):
+    """All pairs of distinct texts with a weighted Jaccard similarity of 0.8 or more, by an inverted index of their shingles."""
+    first = {}
+    for i, t in sorted(docs):
+        first.setdefault(t, i)
+    parts = {i: neardup.shingles(t) for t, i in first.items() if t is not None}
+    parts = {i: x for i, x in parts.items() if len(x[0])}
+    load = np.zeros(1 << neardup.DF_BITS, np.int64)
+    for ids, _ in parts.values():
+        load[np.unique(ids >> np.uint32(32 - neardup.DF_BITS))] += 1
+    n, own = max(len(parts), 1), np.maximum(load - np.median(load), 0)
+    share = (np.log((1.0 + n) / (1.0 + own)) / np.log(1.0 + n)).clip(0, 1).astype(np.float32)
+    weights = {i: dict(zip(x[0].tolist(), neardup.weigh(*x, share).tolist())) for i, x in parts.items()}
+    where, least = {}, Counter()
+    for i, w in weights.items():
+        for g, x in w.items():
+            for j, y in where.get(g, ()):
+                least[j, i] += min(x, y)
+            where.setdefault(g, []).append((i, x))
+    total = {i: sum(w.values()) for i, w in weights.items()}
+    return {(i, j): s for (i, j), m in least.items() if (s := m / (total[i] + total[j] - m)) >= neardup.SIMILARITY}
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
 
-    sh = {i: neardup.shingles(t or "")[0] for i, t in docs}
-    text = dict(docs)
-    for i in root:
-        for j in root:
-            if i < j and text[i] is not None and text[j] is not None:
-                both = len(np.intersect1d(sh[i], sh[j]))
-                if text[i] == text[j] or both and both / (len(sh[i]) + len(sh[j]) - both) >= 0.8:
-                    a, b = find(i), find(j)
-                    root[max(a, b)] = min(a, b)
-    return {i: find(i) for i in root}
-
-
-@pytest.mark.parametrize(("few", "group"), [(16, 512), (4, 8)])
-def test_near_duplicate_classes(spark, monkeypatch, few, group):
-    monkeypatch.setattr(neardup, "FEW", few)
+def _classes(docs):
+    root, first = {i: i for i, _ in docs}, {}
+    for i, t in sorted(docs):
+        if t is not None:
+            root[i] = first.setdefault(t, i)
+    for i, j in weighted_links(docs):
+        a, b = _root(root, i), _root(root, j)
+        root[max(a, b)] = min(a, b)
+    return {i: _root(root, i) for i in root}
+
+
+@pytest.mark.parametrize(("group", "split"), [(512, 8192), (4, 8)])
+def test_near_duplicate_classes(spark, monkeypatch, group, split):
     monkeypatch.setattr(neardup, "GROUP", group)
+    monkeypatch.setattr(neardup, "SPLIT", split)
     docs = _family()
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r["doc_id"]: r["class_id"] for r in neardup.classes(df).collect()}
     assert got == _classes(docs)
-    if few == 16:
+    if group == 512:
         assert sorted(r["doc_id"] for r in neardup.deduplicate(df).collect()) == sorted(set(got.values()))
 
 
-@pytest.mark.parametrize("group", [512, 8])
-def test_links_are_counted_in_large_buckets(spark, monkeypatch, group):
-    monkeypatch.setattr(neardup, "GROUP", group)
-    rng = random.Random(5)
-    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
-    docs = [(i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(40)]
-    docs += [(100 + i, " ".join(f"w{rng.randrange(5000)}" for _ in range(150))) for i in range(20)]
-    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in neardup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got == {i: (0, 39) if i < 40 else (i, 0) for i, _ in docs}
-
+def test_links_of_all_documents(spark):
+    """All links between documents, and the classes, by weighted similarity: none is lost."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs).collect()}
+    links = weighted_links(texts)
+    assert links and all(got[i] == got[j] for i, j in links)
+    assert got == _classes(texts)
 
-def test_all_pairs_of_a_hot_bucket_are_compared(spark, monkeypatch):
-    real = neardup._sampler
 
+def _one_bucket(real):
     def one_bucket(shared):
         inner = real(shared)
 
@@ -190,14 +207,38 @@ def test_all_pairs_of_a_hot_bucket_are_compared(spark, monkeypatch):
 
         return sample
 
-    monkeypatch.setattr(neardup, "_sampler", one_bucket)
+    return one_bucket
+
+
+def test_all_pairs_of_a_large_bucket_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "_sampler", _one_bucket(neardup._sampler))
     monkeypatch.setattr(neardup, "GROUP", 16)
     rng, docs = random.Random(6), []
     for i in range(100):
         words = [f"w{rng.randrange(5000)}" for _ in range(100)]
         docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-1], "end"]))]
-    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in neardup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got == {i: (i - i % 2, 1) for i, _ in docs}
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in docs}
+
+
+def test_a_large_bucket_is_split_by_further_bands(spark, monkeypatch):
+    """Texts that share a passage meet in one bucket; pairs of near copies among them are found in its parts."""
+    for name, value in (("GROUP", 8), ("SPLIT", 16)):
+        monkeypatch.setattr(neardup, name, value)
+    rng, docs = random.Random(9), []
+    common = [f"c{i}" for i in range(120)]
+    for i in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(100)]
+        docs += [(2 * i, " ".join(common + words)), (2 * i + 1, " ".join([*common, *words[:-1], "end"]))]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == _classes(docs) == {i: i - i % 2 for i, _ in docs}
+
+
+def test_one_of_each_class_stays_where_ids_repeat(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(4, "a b c d e f"), (4, text), (2, text), (2, text), (None, text), (None, None), (None, None), (7, None), (4, "a b c d e f")]
+    got = Counter(tuple(r) for r in neardup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(4, "a b c d e f"), (2, text), (None, None), (7, None)])
 
 
 def test_near_duplicates_of_odd_rows(spark):
