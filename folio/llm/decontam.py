@@ -108,6 +108,21 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame
     )
 
 
+#: Contaminated documents whose ids are broadcast at most; more of them meet the documents by shuffle.
+BROADCAST_FOUND = 300_000
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, ...) that :func:`contaminated` finds clean; all columns stay, whatever their names.
+
+    Rows without words are clean; repeated rows go or stay together; an empty benchmark leaves all rows.
+    """
+    found = contaminated(docs, items, size).filter("contaminated").select(F.col("doc_id").alias("_folio_id"), F.col("text_key").alias("_folio_key")).distinct()
+    found = materialize(found, "contaminated")
+    near = F.broadcast(found) if small_enough(found, BROADCAST_FOUND) else found
+    return docs.join(near, docs["doc_id"].eqNullSafe(F.col("_folio_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_folio_key")), "left_anti")
+
+
 def report(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """The digest columns of :func:`contaminated`."""
     return contaminated(docs, items, size).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")

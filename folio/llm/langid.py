@@ -13,16 +13,17 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folio.llm.common import bucket_of, give_back, small_batches
+from folio.llm.common import bucket_of, give_back, small_batches, small_enough
 from folio.llm.ngrams import code_points, gram_hashes, is_letter
 
 BITS, SIZES = 16, (1, 2, 3)
 #: Bound on the labelled rows that the classifier is fitted on, for each label; document frequencies count all of them.
 ROWS_PER_LABEL = 800
-#: Labels with fewer labelled rows than this share of all are learned from what they have.
-MAX_LABELS = 256
+#: Labels whose counts are broadcast at most; more of them meet the rows by shuffle.
+BROADCAST_LABELS = 100_000
 
 
 @dataclass
@@ -133,13 +134,17 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarra
 
 
 def bounded_sample(rows: DataFrame, label: str, per_label: int, key: Column) -> DataFrame:
-    """About ``per_label`` rows of each label, and at most so many times the labels in all: those of least hash."""
-    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(MAX_LABELS).collect()}
-    if not counts:
-        return rows.limit(0)
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_label / n)))])
+    """At most ``per_label`` rows of each label, those of least hash; all rows of a label that has no more.
+
+    Rows are drawn where they lie, by their label's count; what is drawn is about what is kept, however frequent a label is.
+    """
+    counts = rows.groupBy(label).agg((1.5 * per_label / F.count("*")).alias("_share")).withColumnRenamed(label, "_label")
+    if small_enough(counts, BROADCAST_LABELS):
+        counts = F.broadcast(counts)
     draw = F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1_000_000)) / 1_000_000.0
-    return rows.withColumn("_draw", draw).filter(F.col("_draw") < F.element_at(share, F.col(label))).orderBy("_draw").limit(per_label * len(counts)).drop("_draw")
+    drawn = rows.withColumn("_draw", draw).join(counts, F.col(label) == F.col("_label")).filter("_draw < _share")
+    place = F.row_number().over(W.partitionBy(label).orderBy("_draw", key))
+    return drawn.withColumn("_place", place).filter(F.col("_place") <= per_label).drop("_draw", "_label", "_share", "_place")
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_label: int = ROWS_PER_LABEL) -> Model:
@@ -172,14 +177,14 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return Model(labels, (w * idf[:, None] * SCALE).astype(np.float32), bias, fit_temperature(logits, y), float((w != 0).mean()), {"rows": len(data), "held": float((logits.argmax(1) == y).mean()) if len(y) else None})
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score (the calibrated probability of lang_pred).
+def predict(docs: DataFrame, model: Model, text: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the columns ``out``: the language, and its calibrated probability. Columns of these names are replaced.
 
     A null text, or one without a letter, gets ``und`` and 0.0, and so does every text of a model without labels. The whole
     text is read, however long. All other columns and repeated rows pass through.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS rows of at most MAX_LABELS numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS rows of a number for each label
 
     @F.pandas_udf("lang_pred string, score double")
     def judge(texts: pd.Series) -> pd.DataFrame:
@@ -198,7 +203,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         give_back()
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    return docs.withColumn("_j", judge(F.col(text))).withColumn("lang_pred", F.col("_j.lang_pred")).withColumn("score", F.col("_j.score")).drop("_j")
+    named = docs.withColumn("_folio_judged", judge(F.col(text)))
+    return named.withColumns({out[0]: F.col("_folio_judged.lang_pred"), out[1]: F.col("_folio_judged.score")}).drop("_folio_judged")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -20,8 +20,10 @@ from folio.llm.langid import bounded_sample, probabilities
 from folio.llm.ngrams import code_points, gram_hashes, powers
 
 BITS, SIZES, DIM = 17, (3, 4, 5), 12
-#: A repeated word is noticed within so many words, and has so many vectors (a word has about as many n-grams).
+#: A word that returns within so many words has, beside its own vectors, so many learned ones for the distance (a word has
+#: about as many n-grams). They stand behind the hashed ones.
 NEAR, AGAIN = 12, 6
+ROWS = (1 << BITS) + 3 * AGAIN
 #: Bound on the labelled rows that the classifier is fitted on, for each class.
 ROWS_PER_CLASS = 1200
 _MULT = np.uint64(0xD6E8FEB86659FD93)
@@ -32,7 +34,6 @@ class Model:
     classes: list[int]
     table: np.ndarray
     bias: np.ndarray
-    prior: np.ndarray
 
 
 def features(text: str | None) -> np.ndarray:
@@ -63,14 +64,14 @@ def features(text: str | None) -> np.ndarray:
             since[lag:][sums[lag:] == sums[:-lag]] = lag
         since[(since > 1) & ~long] = 0
         kind = np.searchsorted((1, 4, NEAR), since[since > 0])
-        out.append((kind[:, None] * AGAIN + np.arange(AGAIN)[None, :]).ravel())
+        out.append((1 << BITS) + (kind[:, None] * AGAIN + np.arange(AGAIN)[None, :]).ravel())
     return np.concatenate(out)
 
 
 def sgd(rows: list[tuple[np.ndarray, np.ndarray, int]], n_classes: int, epochs: int = 6, rate: float = 0.8, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(vectors, layer, bias) after plain SGD with a linearly falling rate, in a seeded order."""
     rng = np.random.default_rng(seed)
-    vec = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
+    vec = rng.uniform(-1 / DIM, 1 / DIM, (ROWS, DIM)).astype(np.float32)
     layer, bias = np.zeros((n_classes, DIM), np.float32), np.zeros(n_classes, np.float32)
     steps, done = max(1, epochs * len(rows)), 0
     for _ in range(epochs):
@@ -78,10 +79,8 @@ def sgd(rows: list[tuple[np.ndarray, np.ndarray, int]], n_classes: int, epochs:
             ids, share, y = rows[k]
             lr = rate * (1 - done / steps)
             done += 1
-            if not len(ids):
-                continue
             v = vec[ids]
-            mean = share @ v
+            mean = share @ v  # nothing, and so the bias alone, for a text without words
             err = -probabilities(layer @ mean + bias)
             err[y] += 1.0
             back = err @ layer
@@ -111,24 +110,23 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     got = rows.select("_id", "label", "text").mapInPandas(vectors, "id string, label int, ids binary, counts binary").toPandas()
     classes = sorted(int(x) for x in got["label"].unique())
     if not classes:
-        return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), np.zeros(0))
+        return Model([], np.zeros((ROWS, 0), np.float32), np.zeros(0))
     data = []
     for y, ids, counts in got.sort_values(["id", "ids"])[["label", "ids", "counts"]].itertuples(index=False):
         counts = np.frombuffer(counts, np.int32).astype(np.float32)
         data.append((np.frombuffer(ids, np.int32), counts / max(1.0, counts.sum()), classes.index(y)))
     vec, layer, bias = sgd(data, len(classes))
-    prior = np.bincount([r[2] for r in data], minlength=len(classes)) / len(data)
-    return Model(classes, (vec @ layer.T).astype(np.float32), bias, prior)
+    return Model(classes, (vec @ layer.T).astype(np.float32), bias)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", positive: int = 1) -> DataFrame:
     """``docs`` with score, the probability of class ``positive``, and predicted (1 from one half on, else 0).
 
-    A null or empty text, or one of white space, has no vectors and gets 0.0: nothing speaks for its quality. A model without
+    A null or empty text, or one of white space, has no vectors: the softmax of the bias is its score. A model without
     labels gives 0.5. Whole texts are read; other columns and repeated rows pass through.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS rows of one number for each class
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # ROWS rows of one number for each class
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
@@ -136,13 +134,11 @@ def score(docs: DataFrame, model: Model, text: str = "text", positive: int = 1)
         at = m.classes.index(positive) if positive in m.classes else -1
         for t in texts:
             h = features(t)
-            if not len(h):
-                out.append(0.0)
-            elif at < 0:
+            if at < 0:
                 out.append(0.0 if m.classes else 0.5)
             else:
                 total = sum(m.table[h[i : i + 65536]].sum(0, dtype=np.float64) for i in range(0, len(h), 65536))
-                out.append(float(min(1.0, probabilities(total / len(h) + m.bias)[at])))
+                out.append(float(min(1.0, probabilities(total / max(len(h), 1) + m.bias)[at])))
         return pd.Series(out, dtype=float)
 
     return docs.withColumn("score", of(F.col(text))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
