@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.llm.common import small_batches
+from folio.llm.common import give_back, small_batches
 
 #: Bounds of what a worker remembers, and the bytes read before tokens are emitted (more where the vocabulary needs it).
 MAX_STATES, MAX_PIECES, MAX_PAIRS, LOOK = 250_000, 150_000, 200_000, 48
@@ -141,6 +141,13 @@ class MergeTransducer:
         self.final: dict[int, tuple[int, ...]] = {}
         self.roots = {START: 0}
 
+    def clear(self) -> None:
+        """Forget all that texts have taught: an idle worker holds the vocabulary alone."""
+        self.forget()
+        for known in (self.split, self.left_edges, self.right_edges, self.pairs, self.pieces, self.older):
+            known.clear()
+        give_back()
+
     def state(self, token: int, begin: int, back: int, depth: int, hash_: int = 0) -> int:
         at, self.count = self.count, self.count + 1
         if at >= len(self.token):  # one piece alone may need more than all others
@@ -398,8 +405,13 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", out
     """
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def ids(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(encode_texts(texts, *_coder(vocabulary, pattern))), dtype=object)
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        coder, pieces = _coder(vocabulary, pattern)
+        try:
+            for texts in batches:
+                yield pd.Series(list(encode_texts(texts, coder, pieces)), dtype=object)
+        finally:
+            coder.clear()
 
     return df.withColumn(out, ids(F.col(text)))
 
@@ -427,10 +439,14 @@ def digests(df: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     small_batches(df.sparkSession)
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def of(texts: pd.Series) -> pd.DataFrame:
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coder, pieces = _coder(vocabulary, pattern)
         sha, digits = lambda t: hashlib.sha256(t.encode()).hexdigest(), coder.digits.__getitem__
-        rows = [(len(ids), sha(" ".join(map(digits, ids.tolist()))), sha(decode_ids(ids, coder))) for ids in encode_texts(texts, coder, pieces)]
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for texts in batches:
+                rows = [(len(ids), sha(" ".join(map(digits, ids.tolist()))), sha(decode_ids(ids, coder))) for ids in encode_texts(texts, coder, pieces)]
+                yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            coder.clear()
 
     return df.select("doc_id", of("text").alias("d")).select("doc_id", "d.*")
