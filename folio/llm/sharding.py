@@ -2,8 +2,9 @@
 
 Arrivals become small immutable runs. Runs are in tiers by their size, each tier ``fanout`` times as large as the one
 before; as soon as a tier holds ``fanout`` runs they are merged into one run of target-sized files. Every change is a
-new version of the manifest, which names the runs that are valid; a version is written aside and put in place by one
-rename that fails if another writer was first, so that readers see all of a change or nothing of it.
+new version of the manifest, which names the runs that are valid; a version is written aside and put in place in one
+step that fails if another writer was first, so that readers see all of a change or nothing of it. The last versions
+stay readable; data that none of them names is deleted.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import math
 import uuid
 from dataclasses import asdict, dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -39,9 +41,15 @@ class ConflictError(RuntimeError):
 
 
 class ShardStore:
-    def __init__(self, spark: SparkSession, root: str, fanout: int = 4, target_bytes: int = 128 << 20):
-        if fanout < 2:
-            raise ValueError("a merge needs two runs at least")
+    """``keep`` versions can be read; folders that no commit names are deleted ``grace`` seconds after they were written.
+
+    Nulls, repeated rows and all columns are stored as they come; an arrival without rows is a run without rows.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, fanout: int = 4, target_bytes: int = 128 << 20, keep: int = 2, grace: float = 86_400):
+        if fanout < 2 or keep < 1:
+            raise ValueError("a merge needs two runs at least, and a store one version")
+        self.keep, self.grace = keep, grace
         self.spark, self.root, self.fanout, self.target = spark, root.rstrip("/"), fanout, target_bytes
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -64,6 +72,8 @@ class ShardStore:
         version = self.version() if version is None else version
         if not version:
             return []
+        if not self._fs.exists(self._manifest(version)):
+            raise ValueError(f"version {version} is not kept")
         stream = self._fs.open(self._manifest(version))
         try:
             text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
@@ -79,11 +89,27 @@ class ShardStore:
             out.write(bytearray(json.dumps({"runs": [asdict(r) for r in runs]}).encode()))
         finally:
             out.close()
-        if self._fs.exists(to) or not self._fs.rename(aside, to):
-            self._fs.delete(aside, False)
+        if not self._put(aside, to):
             raise ConflictError(f"version {base + 1} exists")
         return base + 1
 
+    def _put(self, aside, to) -> bool:
+        """Give a finished file its name; False if the name is taken. Both ways are one step that never replaces a file."""
+        jvm = self.spark._jvm
+        try:
+            if self._fs.getUri().getScheme() == "file":  # where a rename replaces, but a link does not
+                path = lambda p: jvm.java.nio.file.Paths.get(jvm.org.apache.hadoop.fs.Path.getPathWithoutSchemeAndAuthority(p).toString(), self.spark.sparkContext._gateway.new_array(jvm.String, 0))
+                jvm.java.nio.file.Files.createLink(path(to), path(aside))
+                return True
+            return bool(not self._fs.exists(to) and self._fs.rename(aside, to))
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        finally:
+            if self._fs.exists(aside):
+                self._fs.delete(aside, False)
+
     # runs
 
     def tier(self, size: int) -> int:
@@ -139,15 +165,16 @@ class ShardStore:
         return next((tiers[t][: self.fanout] for t in sorted(tiers) if len(tiers[t]) >= self.fanout), [])
 
     def compact(self) -> int:
-        """Merge while any tier is full; each merge is one commit. Merged runs are deleted once no valid version needs them."""
+        """Merge while any tier is full; each merge is one commit, after which what no kept version names goes.
+
+        No file of a merged run has more rows than its size over the target asks for; nothing is shuffled.
+        """
         while merge := self.due(runs := self.runs(base := self.version())):
             size, name = sum(r.size for r in merge), f"run-{base + 1:08d}"
             part = f"data/{name}-{uuid.uuid4().hex[:8]}"
-            # rows are dealt evenly among as many files as the size asks for, whatever splits they are read in
-            files, rows = self._files(size), self._read(merge)
-            (rows.repartition(files) if files > 1 else rows.coalesce(1)).write.parquet(f"{self.root}/{part}")
-            if files > 1:
-                release_shuffles(self.spark)
+            # as many tasks as files, each of which reads whole splits; a file that gets too long goes on in another
+            files, count = self._files(size), sum(r.rows for r in merge)
+            self._read(merge).coalesce(files).write.option("maxRecordsPerFile", max(1, math.ceil(count / files))).parquet(f"{self.root}/{part}")
             run = Run(name, (part,), sum(r.rows for r in merge), size, sum(r.arrivals for r in merge))
             gone = {r.name for r in merge}
             at = next(i for i, r in enumerate(runs) if r.name in gone)
@@ -156,10 +183,27 @@ class ShardStore:
             self.vacuum(merge)
         return self.version()
 
-    def vacuum(self, runs: list[Run]) -> None:
-        """Delete the folders of runs that the newest version does not name."""
-        valid = {p for r in self.runs() for p in r.parts}
-        for part in {p for r in runs for p in r.parts} - valid:
+    def vacuum(self, runs: list[Run] | None = None) -> None:
+        """Forget versions older than the last ``keep``, and delete what no other names: of ``runs``, which were committed, at
+        once; without ``runs`` any folder of the store, left by a crash or a failed commit, once it is older than ``grace``."""
+        newest = self.version()
+        oldest = max(1, newest - self.keep + 1)
+        valid = {p for v in range(oldest, newest + 1) for r in self.runs(v) for p in r.parts}
+        folder = self._path(f"{self.root}/manifest")
+        gone = [s.getPath() for s in self._fs.listStatus(folder) if (n := s.getPath().getName()).endswith(".json") and n[:-5].isdigit() and int(n[:-5]) < oldest] if newest else []
+        lost: set[str] = set()
+        if runs is None and self._fs.exists(data := self._path(f"{self.root}/data")):
+            limit = self.spark._jvm.System.currentTimeMillis() - self.grace * 1000
+            for s in self._fs.listStatus(data):
+                if s.getModificationTime() <= limit and not any(f"{p}/".startswith(f"data/{s.getPath().getName()}/") for p in valid):
+                    lost.add(f"data/{s.getPath().getName()}")
+        else:
+            # what the versions that end here held, and no kept one does
+            named = {p for g in gone for r in self.runs(int(g.getName()[:-5])) for p in r.parts} | {p for r in runs or [] for p in r.parts}
+            lost = named - valid
+        for g in gone:
+            self._fs.delete(g, False)
+        for part in lost:
             drop_path(self.spark, f"{self.root}/{part}")
 
     def _read(self, runs: list[Run]) -> DataFrame:

@@ -83,7 +83,7 @@ def test_quality_of_odd_rows(spark):
     labels = spark.createDataFrame([(4, 1, None), (3, 0, None), (3, 1, None), (None, 1, 1), (77, 0, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
     got = quality.report(odd(spark), labels).collect()
     assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
-    assert {r["score"] for r in quality.report(odd(spark), labels.limit(0)).collect()} == {0.0, 0.5}
+    assert {r["score"] for r in quality.report(odd(spark), labels.limit(0)).collect()} == {0.5}
     assert quality.report(empty(spark), labels).count() == 0
 
 
@@ -464,6 +464,31 @@ def test_store(spark, tmp_path):
         sharding.ShardStore(spark, str(tmp_path / "e")).read()
 
 
+def test_store_keeps_its_last_versions(spark, tmp_path):
+    store = sharding.ShardStore(spark, str(tmp_path / "s"), fanout=2, keep=2)
+    for i in range(4):
+        store.append(spark.range(i, i + 1))
+    newest = store.version()
+    assert [r["id"] for r in store.read(newest - 1).orderBy("id").collect()] == [0, 1, 2, 3]
+    with pytest.raises(ValueError, match="not kept"):
+        store.read(newest - 2)
+
+
+def test_of_two_writers_one_wins(spark, tmp_path):
+    a, b = (sharding.ShardStore(spark, str(tmp_path / "s")) for _ in range(2))
+    base, mine, theirs = a.version(), a._write(spark.range(3), "run-a", "1", 1), b._write(spark.range(5), "run-b", "1", 1)
+    assert a.commit([mine], base) == 1
+    with pytest.raises(sharding.ConflictError):
+        b.commit([theirs], base)
+    # what the loser wrote is no part of the store, and goes once it is old enough
+    assert a.read().count() == 3
+    a.vacuum()
+    assert (tmp_path / "s" / theirs.parts[0]).exists()
+    sharding.ShardStore(spark, str(tmp_path / "s"), grace=-60).vacuum()
+    assert not (tmp_path / "s" / theirs.parts[0]).exists() and a.read().count() == 3
+    assert [p.name for p in (tmp_path / "s" / "manifest").iterdir() if not p.name.endswith(".crc")] == ["00000001.json"]
+
+
 def test_sharding_keeps_every_row(spark):
     got = sharding.shard(odd(spark))
     assert got.count() == len(ODD) and sorted(map(str, (r["doc_id"] for r in got.collect()))) == sorted(str(r[0]) for r in ODD)
@@ -494,7 +519,7 @@ def test_shard_files_are_of_the_target_size(spark, monkeypatch):
     _, store = _stored(spark, monkeypatch, docs, target_bytes=20_000)
     for run in store.runs():
         n = [r["n"] for r in store._read([run]).groupBy(F.input_file_name()).agg((F.count("*") * 100).alias("n")).collect()]
-        assert len(n) == -(-run.size // 20_000) and max(n) <= 30_000, (run, n)
+        assert -(-run.size // 20_000) <= len(n) <= 2 * -(-run.size // 20_000) and max(n) <= 30_000, (run, n)
 
 
 def test_many_arrivals_are_grouped(spark, monkeypatch):
