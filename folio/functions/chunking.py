@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+#: Lengths in characters, and chunks of a page.
 CHUNK, SNIPPET, LEAST, MERGE_BELOW, CEILING, MOST = 500, 160, 24, 160, 1000, 10_000
 _SENTENCE_END = re.compile(r"(?<=[.!?…])\s+")
 
@@ -34,17 +35,6 @@ def sentence_chunks(text: str, limit: int = CHUNK) -> list[str]:
     return out + _pack(run, limit)
 
 
-def merge_small(chunks: list[str], below: int = MERGE_BELOW, ceiling: int = CEILING) -> list[str]:
-    """A chunk that is short, or follows a short one, joins the one before while the sum stays within the ceiling."""
-    out: list[str] = []
-    for c in chunks:
-        if out and min(len(out[-1]), len(c)) < below and len(out[-1]) + 1 + len(c) <= ceiling:
-            out[-1] += " " + c
-        else:
-            out.append(c)
-    return out
-
-
 def table_lines(rows: list[list[str]], most: int = 60) -> list[str]:
     """A data table's body rows as ``head: value; …``; nothing unless it has two rows, and a header of two cells with text."""
     if len(rows) < 2 or len(rows[0]) < 2 or not any(rows[0]):

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import html
 import unicodedata
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folio.functions.word_lists import QUERY_STOP, SUBSTANCE_QUALIFIERS
 
 #: Blocks whose characters are folded by rule; what lies outside is dropped, as it is no Latin text.
 FOLDED_BLOCKS = ((0xA0, 0x250), (0x1E00, 0x1F00), (0x2000, 0x2190), (0xFB00, 0xFB07), (0xFF01, 0xFF5F))
+#: Accents that are folded one to one.
 ACCENT_GROUPS = (("àâäáãå", "A"), ("ç", "C"), ("èéêë", "E"), ("ìíîï", "I"), ("ñ", "N"), ("òóôöõ", "O"), ("ùúûü", "U"), ("ýÿ", "Y"))
 
 
@@ -131,16 +135,9 @@ def brand_root(c: Column) -> Column:
     return F.when(F.size(head) > 0, F.array_join(head, " ")).otherwise(F.array_join(words, " "))
 
 
-def unescape_basic(c: Column) -> Column:
-    """The entities that names in a catalog use."""
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
-
-
 def clean_substance(c: Column) -> Column:
-    """A substance without what follows ``(`` or ``,`` and without salts; as it was if nothing else is left."""
-    head = F.split_part(F.split_part(unescape_basic(c), F.lit("("), F.lit(1)), F.lit(","), F.lit(1))
+    """A substance without entities, what follows ``(`` or ``,`` and salts; with salts if nothing else is left."""
+    head = F.split_part(F.split_part(unescape(c), F.lit("("), F.lit(1)), F.lit(","), F.lit(1))
     words = F.filter(F.split(head, r"(?U)\s+"), lambda w: w != "")
     kept = F.filter(words, lambda w: ~same_length_fold(w).isin(*sorted(SUBSTANCE_QUALIFIERS)))
     return F.array_join(F.when(F.size(kept) > 0, kept).otherwise(words), " ")
@@ -232,3 +229,49 @@ def hms(seconds: Column) -> Column:
 
 def last_modified(asof: Column) -> Column:
     return F.split_part(asof, F.lit("T"), F.lit(1))
+
+
+def human_age(days: Column) -> Column:
+    """Whole days as a reader says them: today, days below a month, months below a year, years."""
+    n = days.cast("long")
+    months, years = F.greatest(F.floor(n / 30 + 0.5), F.lit(1)), F.floor(n / 365)
+    plural = lambda c, word: F.concat(F.lit("il y a "), c.cast("string"), F.lit(f" {word}"), F.when(c > 1, "s").otherwise(""))
+    return F.when(n < 1, "aujourd'hui").when(n < 31, plural(n, "jour")).when(n < 365, F.concat(F.lit("il y a "), months.cast("string"), F.lit(" mois"))).otherwise(plural(years, "an"))
+
+
+def is_old_copy(days: Column, most: int = 365) -> Column:
+    return F.coalesce(days > most, F.lit(False))
+
+
+def _units(seconds: Column) -> tuple[Column, Column, Column, Column]:
+    s = F.floor(seconds).cast("long")
+    return F.floor(s / 86400), F.floor(F.pmod(s, F.lit(86400)) / 3600), F.floor(F.pmod(s, F.lit(3600)) / 60), F.pmod(s, F.lit(60))
+
+
+def dhm(seconds: Column) -> Column:
+    """Days, hours and minutes; less than nothing is nothing."""
+    d, h, m, _ = _units(F.greatest(seconds, F.lit(0)))
+    return F.concat(d.cast("string"), F.lit("d"), h.cast("string"), F.lit("h"), m.cast("string"), F.lit("m"))
+
+
+def two_units(seconds: Column) -> Column:
+    """The two largest units of a duration that are there; a dash for null and below nothing."""
+    units = zip(_units(seconds), ("j", "h", "min", "s"), strict=True)
+    parts = F.filter(F.array(*[F.when(c > 0, F.concat(c.cast("string"), F.lit(f" {name}"))) for c, name in units]), lambda x: x.isNotNull())
+    return F.when(seconds.isNull() | (seconds < 0), "-").when(seconds < 1, "moins d'une seconde").otherwise(F.array_join(F.slice(parts, 1, 2), " "))
+
+
+def percent(score: Column) -> Column:
+    """A score up to one in whole percent, halves up."""
+    return F.floor(F.least(F.lit(1.0), score) * 100 + 0.5).cast("long")
+
+
+def page_hash(kind: str, *fields: Column) -> Column:
+    """The cache key of a page: its kind and what it is made of."""
+    return record_hash(F.lit(kind), *fields)
+
+
+@F.pandas_udf(T.StringType())
+def unescape(text: pd.Series) -> pd.Series:
+    """All HTML entities, in batches; Spark has no function for them."""
+    return text.map(lambda t: html.unescape(t) if t and "&" in t else t)

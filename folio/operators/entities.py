@@ -27,13 +27,16 @@ def fallback_score(scores: DataFrame, p: float = 0.25) -> DataFrame:
 def score(entries: DataFrame, terms: DataFrame) -> DataFrame:
     """(key, score, matched): the best score of a term all of whose tokens an entry (key, tokens) has, else the fallback.
 
-    Containment is an equality join on single tokens with a count, never a nested loop; a one-word term is the case
-    of one token.
+    A term is looked up under its rarest token alone, and containment is tested on what that finds; a term with a token
+    that no entry has is left out.
     """
     # equal token sets are one term: their best score counts, and the join stays small
     wanted = terms.select(F.array_sort(tokens(F.col("term"))).alias("tt"), "score").filter("size(tt) > 0").groupBy("tt").agg(F.max("score").alias("score"))
-    parts = wanted.select("tt", "score", F.size("tt").alias("n"), F.explode("tt").alias("t"))
-    hits = entries.select("key", F.explode("tokens").alias("t")).join(parts, "t").groupBy("key", "tt", "n", "score").agg(F.count("*").alias("k")).filter("k = n")
+    held = entries.select("key", "tokens", F.explode("tokens").alias("t"))
+    each = wanted.select("tt", "score", F.explode("tt").alias("t"))
+    counts = held.groupBy("t").agg(F.count("*").alias("k")).join(each.select("t").distinct(), "t", "left_semi")
+    rare = each.join(counts, "t", "left").groupBy("tt", "score").agg(F.min_by("t", F.struct(F.coalesce("k", F.lit(0)), "t")).alias("t"))
+    hits = held.join(rare, "t").filter(F.size(F.array_except("tt", "tokens")) == 0)
     best = hits.groupBy("key").agg(F.max("score").alias("best"))
     return entries.select("key").join(best, "key", "left").crossJoin(F.broadcast(fallback_score(terms))).select("key", F.coalesce("best", "fallback").alias("score"), F.col("best").isNotNull().alias("matched"))
 
@@ -55,14 +58,21 @@ def link_terms(entries: DataFrame, comp: DataFrame, scores: DataFrame, whitelist
     return best.join(names.filter("name <> ''"), "key").select("term", "key", F.concat_ws("-", "key", slug(F.col("name"))).alias("slug"), "name")
 
 
+#: Link terms that are broadcast at most; more of them meet the words by shuffle.
+BROADCAST_TERMS = 200_000
+
+
 def links_in_text(docs: DataFrame, terms: DataFrame, budget: int = 15) -> DataFrame:
     """(key, ord, term, target): the first whole-word occurrence of each term in (key, text), without links to itself.
 
-    At most ``budget`` links a document, in order of their first place (the feature's own limit).
+    Words are runs of letters and digits of the folded text. At most ``budget`` links a document, in order of their first
+    place (the feature's own limit). Only words that are terms leave the row that holds them.
     """
-    words = docs.select("key", F.posexplode(F.split(same_length_fold(F.col("text")), r"[^\p{L}\p{N}_]+")).alias("ord", "term")).filter("term <> ''")
-    found = words.groupBy("key", "term").agg(F.min("ord").alias("ord"))  # once a document, before the join
-    hits = found.join(terms.select("term", F.col("key").alias("target")), "term").filter("key <> target")
+    words = docs.select("key", F.posexplode(F.array_distinct(F.split(same_length_fold(F.col("text")), "[^A-Z0-9]+"))).alias("ord", "term")).filter("term <> ''")
+    named = terms.select("term", F.col("key").alias("target"))
+    if named.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        named = F.broadcast(named)
+    hits = words.join(named, "term").filter("key <> target")
     return hits.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("ord"))).filter(F.col("n") <= budget).select("key", F.col("n").alias("ord"), "term", "target")
 
 

@@ -29,8 +29,8 @@ def crawl_queue(keys: DataFrame, records: DataFrame, now: Column, ttl_days: int,
 
 def rotation(queue: DataFrame, cursor: int, n: int) -> DataFrame:
     """The next ``n`` of (key, pos) from ``cursor`` on, going round."""
-    total = F.count("*").over(W.partitionBy(F.lit(0)))
-    return queue.withColumn("turn", F.pmod(F.col("pos") - cursor, total)).orderBy("turn").limit(n).select("key", "pos")
+    total = F.broadcast(queue.agg(F.count("*").alias("total")))  # one row
+    return queue.crossJoin(total).orderBy(F.pmod(F.col("pos") - cursor, F.col("total"))).limit(n).select("key", "pos")
 
 
 def rolling_count(requests: DataFrame, seconds: int = 3600) -> DataFrame:

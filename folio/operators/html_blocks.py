@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folio.functions import chunking as C
-from folio.functions.text import repair_cp1252
+from folio.functions.text import heading_path, is_filler, repair_cp1252
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _SKIP = frozenset("script style button nav form".split())
@@ -145,62 +145,59 @@ def table_of_contents(rows: DataFrame, depth: int = 2) -> DataFrame:
     return h.select("key", "ord", F.col("sid").alias("id"), "level", F.col("text").alias("title"), parent.alias("parent"))
 
 
-def _fold(t: str) -> str:
-    return unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower()
+def sections(rows: DataFrame, levels: int = 9) -> DataFrame:
+    """Block rows (key, ord, kind, level, id, text) that are no headings, with run, sec and title.
 
+    Each heading opens a run. ``sec`` is the section of the last heading of level 1: its own id, or sec-N over titles with
+    text where no such heading of the page has one; empty before the first and below an empty title. ``title`` is the
+    path of headings in force, a heading ending all deeper ones.
+    """
+    w = W.partitionBy("key").orderBy("ord")
+    heading, top = F.col("kind") == "heading", (F.col("kind") == "heading") & (F.col("level") == 1)
+    rows = rows.withColumn("run", F.sum(heading.cast("int")).over(w)).withColumn("n_top", F.sum((top & (F.col("text") != "")).cast("int")).over(w))
+    rows = rows.withColumn("own_ids", F.max((top & (F.col("id") != "")).cast("int")).over(W.partitionBy("key")))
+    numbered = F.when(F.col("text") != "", F.concat(F.lit("sec-"), (F.col("n_top") - 1).cast("string"))).otherwise("")
+    rows = rows.withColumn("sec", F.coalesce(F.last(F.when(top, F.when(F.col("own_ids") == 1, F.col("id")).otherwise(numbered)), True).over(w), F.lit("")))
+    path = []
+    for k in range(1, levels + 1):
+        own = F.last(F.when(heading & (F.col("level") == k), F.struct("ord", "text")), True).over(w)
+        above = F.max(F.when(heading & (F.col("level") < k), F.col("ord"))).over(w)
+        path.append(F.when(own["ord"] > F.coalesce(above, F.lit(-1)), own["text"]))
+    return rows.withColumn("title", heading_path(*path)).filter(~heading).select("key", "ord", "kind", "text", "run", "sec", "title")
+
+
+def merged(pieces: Column, below: int = C.MERGE_BELOW, ceiling: int = C.CEILING) -> Column:
+    """An array of pieces in which a short one, or one behind a short one, is part of the one before as long as the sum fits."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
+
+    def add(a: Column, c: Column) -> Column:
+        fits = (F.least(F.length(a["open"]), F.length(c)) < below) & (F.length(a["open"]) + 1 + F.length(c) <= ceiling)
+        joins = F.coalesce(fits, F.lit(False))
+        return F.struct(F.when(joins | a["open"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))).alias("done"), F.when(joins, F.concat_ws(" ", a["open"], c)).otherwise(c).alias("open"))
+
+    return F.aggregate(pieces, start, add, lambda a: F.when(a["open"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))))
 
-def filler(t: str) -> bool:
-    t = " ".join(t.split())
-    f = _fold(t)
-    return not t or f.strip(" .;:") == "sans objet" or "completer ulterieurement" in f or len(t) <= 5 or len(t.split()) <= 2
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _sentences(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: C.sentence_chunks(t or ""))
 
-def section_chunks(parsed: list[tuple[str, int, str, str]]) -> list[tuple[str, str, str]]:
-    """(section id, snippet, chunk text) of a document's blocks.
 
-    Each level-1 heading opens a section; deeper headings end the run before them and extend the path put in front of a
-    chunk. Paragraphs without content are dropped, prose comes before the rows of tables, and a body counts once.
+def chunk_rows(rows: DataFrame) -> DataFrame:
+    """(key, ord, sec, snippet, chunk) of block rows: whole sentences of a run, then its table lines; a body counts once a page.
+
+    Paragraphs without content and blocks outside a section are left out. A chunk is its title's path and its body.
     """
-    numbered = not any(k == "heading" and level == 1 and i for k, level, i, _ in parsed)
-    out: list[tuple[str, str, str]] = []
-    seen: set[str] = set()
-    section, path, prose, lines, count = "", {}, [], [], 0
-
-    def flush() -> None:
-        bodies = C.merge_small(C.sentence_chunks(" ".join(p for p in prose if not filler(p))))
-        for x in lines:
-            bodies += C.sentence_chunks(x) if len(x) > C.CHUNK else [x]
-        title = " > ".join(path[k] for k in sorted(path) if path[k])
-        for body in bodies:
-            if section and len(body) >= C.LEAST and body not in seen and len(out) < C.MOST:
-                seen.add(body)
-                out.append((section, body[: C.SNIPPET], f"{title}\n{body}"))
-        prose.clear()
-        lines.clear()
-
-    for kind, level, own, text in parsed:
-        if kind == "heading":
-            flush()
-            path = {k: v for k, v in path.items() if k < level}
-            path[level] = text
-            if level == 1:
-                section = own
-                if numbered:
-                    section = f"sec-{count}" if text else ""
-                    count += bool(text)
-        elif section:
-            (lines if kind == "row" else prose).append(text)
-    flush()
-    return out
+    kept = sections(rows).filter((F.col("sec") != "") & ((F.col("kind") == "row") | ~is_filler(F.col("text"))))
+    part = F.when(F.col("kind") == "row", F.col("ord") + 1).otherwise(0)
+    prose = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ")
+    parts = kept.withColumn("part", part).groupBy("key", "run", "sec", "title", "part").agg(prose.alias("text")).withColumn("pieces", _sentences("text"))
+    bodies = parts.select("key", "run", "sec", "title", "part", F.posexplode(F.when(F.col("part") == 0, merged(F.col("pieces"))).otherwise(F.col("pieces"))).alias("pos", "body")).filter(F.length("body") >= C.LEAST)
+    first = bodies.groupBy("key", "body").agg(F.min(F.struct("run", "part", "pos", "sec", "title")).alias("x")).select("key", "body", "x.*")
+    place = F.row_number().over(W.partitionBy("key").orderBy("run", "part", "pos"))
+    return first.withColumn("ord", place - 1).filter(F.col("ord") < C.MOST).select("key", "ord", "sec", F.left("body", F.lit(C.SNIPPET)).alias("snippet"), F.concat("title", F.lit("\n"), "body").alias("chunk"))
 
 
 def chunks(docs: DataFrame) -> DataFrame:
     """(key, ord, sec, snippet, chunk) of (key, html)."""
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(k, n, *x) for k, h in zip(b["key"], b["html"], strict=True) for n, x in enumerate(section_chunks(parse_blocks(h)))]
-            yield pd.DataFrame(rows, columns=["key", "ord", "sec", "snippet", "chunk"])
-
-    kind = docs.schema["key"].dataType.simpleString()
-    return docs.select("key", repair_cp1252(F.col("html")).alias("html")).mapInPandas(cut, f"key {kind}, ord int, sec string, snippet string, chunk string")
+    return chunk_rows(blocks(docs))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions.text import ascii_fold, browse_letter, record_hash, search_fold, slug, sort_key
+from folio.functions.vectors import pack
 
 
 def plan(current: DataFrame, previous: DataFrame, same_version: bool = True) -> DataFrame:
@@ -70,3 +71,64 @@ def fill(template: Column, **values: Column) -> Column:
 
 def page_title(name: Column) -> Column:
     return ascii_fold(name)
+
+
+def global_key(version: Column, template: Column, substances: DataFrame, terms: DataFrame) -> DataFrame:
+    """One row (key): a hash that changes with the code's version, the template, any substance (key, text) or link term (term, slug).
+
+    Each table is one number: the sum of its distinct rows' hashes, so that nothing is sorted or gathered.
+    """
+    def digest(df: DataFrame, name: str) -> DataFrame:
+        return df.distinct().agg(F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string").alias(name))
+
+    both = digest(substances.select("key", "text"), "s").crossJoin(digest(terms.select("term", "slug"), "t"))  # one row each
+    return both.select(record_hash(version, template, F.col("s"), F.col("t")).alias("key"))
+
+
+def with_dates(index: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``index`` (key, ...) with asof and full of the build manifest (key, asof, full); unknown pages have no date and are full."""
+    m = manifest.groupBy("key").agg(F.max_by(F.struct("asof", "full"), "asof").alias("m"))
+    return index.join(m, "key", "left").select(*[F.col(c) for c in index.columns], F.coalesce(F.col("m.asof"), F.lit("")).alias("asof"), F.coalesce(F.col("m.full"), F.lit(True)).alias("full"))
+
+
+def search_rows(national: DataFrame, central: DataFrame, archived: DataFrame) -> DataFrame:
+    """(key, name, slug, sub, eu, ret, line) in order of the key: both catalogs' rows (key, name, slug, sub), those of
+    ``archived`` (key) marked as withdrawn; ``line`` is one JSON object without empty fields."""
+    rows = national.withColumn("eu", F.lit(None).cast("int")).unionByName(central.withColumn("eu", F.lit(1)), allowMissingColumns=True)
+    rows = rows.join(archived.select("key").distinct().withColumn("ret", F.lit(1)), "key", "left").select("key", "name", "slug", "sub", "eu", "ret")
+    return rows.withColumn("line", F.to_json(F.struct(F.col("key").alias("cis"), "name", "slug", "sub", "eu", "ret"))).orderBy("key")
+
+
+def only_overlays(base: DataFrame, overlay: DataFrame) -> DataFrame:
+    """(key): keys that only an overlay has."""
+    return overlay.select("key").distinct().join(base.select("key"), "key", "left_anti")
+
+
+def payloads(chunks: DataFrame, model: str, prefix: str) -> DataFrame:
+    """(key, dim, src_hash, payload): a page's vectors as JSON, of chunks (key, ord, sec, snippet, q, src_hash); q are int8 codes."""
+    one = F.struct("ord", F.struct("sec", "snippet", pack(F.col("q")).alias("q")).alias("c"))
+    pages = chunks.groupBy("key").agg(F.max(F.size("q")).alias("dim"), F.max("src_hash").alias("src_hash"), F.transform(F.array_sort(F.collect_list(one)), lambda x: x["c"]).alias("chunks"))
+    return pages.select("key", "dim", "src_hash", F.to_json(F.struct(F.lit(model).alias("model"), "dim", F.lit(prefix).alias("query_prefix"), "src_hash", "chunks")).alias("payload"))
+
+
+def write_version(df: DataFrame, path: str, version: int) -> str:
+    """Write a table as a version of its own; readers take the newest one that is complete (:func:`read_version`)."""
+    target = f"{path}/version={version:010d}"
+    df.write.mode("overwrite").parquet(target)
+    return target
+
+
+def read_version(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest complete version of a table; None before the first."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return None
+    done = sorted(s.getPath().toString() for s in fs.listStatus(p) if s.getPath().getName().startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+    return spark.read.parquet(done[-1]) if done else None
+
+
+def fresh_by_time(pages: DataFrame, vectors: DataFrame, model: str, dim: int, first_pass: bool) -> DataFrame:
+    """(key): pages (key, mtime) whose vectors (key, v_mtime, model, dim) are as new; model and width count on the first pass only."""
+    j = pages.join(vectors, "key").filter("v_mtime >= mtime")
+    return (j.filter((F.col("model") == model) & F.col("dim").isin(0, dim)) if first_pass else j).select("key")

@@ -42,6 +42,21 @@ def lexical_score(terms: Column, words: Column) -> Column:
     return F.when(F.size(terms) > 0, F.aggregate(got, F.lit(0.0), lambda s, x: s + x) / F.size(terms)).otherwise(0.0)
 
 
+def lexical_scores(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """(key, lexical): the mean credit of fixed terms on each row's words (key, words); 0 without terms or words.
+
+    Each distinct word of all rows is compared once; only words with some credit go back to the rows that hold them.
+    """
+    if not terms:
+        return docs.select("key", F.lit(0.0).alias("lexical"))
+    words = docs.select("key", F.explode("words").alias("w"))
+    credits = F.array(*[credit(F.lit(t), F.array("w")) for t in terms])
+    known = words.select("w").distinct().select("w", credits.alias("c")).filter(F.exists("c", lambda x: x > 0))
+    best = words.join(known, "w").groupBy("key").agg(*[F.max(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(len(terms))])
+    mean = sum((F.col(f"c{i}") for i in range(len(terms))), F.lit(0.0)) / len(terms)
+    return docs.select("key").join(best.select("key", mean.alias("m")), "key", "left").select("key", F.coalesce("m", F.lit(0.0)).alias("lexical"))
+
+
 def sub_queries(query: str, least: int = 5, most: int = 25, cut: int = 400) -> list[str]:
     """Parts between ``//``: trimmed, distinct, long enough, each cut."""
     out: list[str] = []
@@ -59,7 +74,7 @@ def rank_passages(chunks: DataFrame, queries: DataFrame, floor: float, bonus: fl
     plus ``bonus`` times the mean lexical score; the floor is on the cosine alone; a block comes once, by its best chunk.
     A query of another width than the page's vectors ranks nothing.
     """
-    qs = F.broadcast(queries.limit(25).select(F.col("q").alias("qv"), F.col("terms")))
+    qs = F.broadcast(queries.orderBy(*(["ord"] if "ord" in queries.columns else ["q"])).limit(25).select(F.col("q").alias("qv"), F.col("terms")))
     pairs = chunks.crossJoin(qs)  # at most 25 rows on one side
     scored = pairs.groupBy("ord", "block").agg(
         F.avg(dot(dequantize(F.col("q")), dequantize(F.col("qv")))).alias("cosine"), F.avg(lexical_score(F.col("terms"), F.col("words"))).alias("lexical"), F.min(F.size("q") == F.size("qv")).alias("fits")
@@ -80,6 +95,36 @@ def locate(hits: DataFrame, blocks: DataFrame, needle: int = 40, least: int = 8)
     return h.select("hit").join(found, "hit", "left")
 
 
-def grouped_titles(ranked: DataFrame) -> DataFrame:
-    """Add ``show_title``: whether a hit's section differs from that of the hit before (25 hits at most)."""
-    return ranked.withColumn("show_title", ~F.col("sec").eqNullSafe(F.lag("sec").over(W.orderBy("rank"))))
+def grouped_titles(ranked: DataFrame, *query: str) -> DataFrame:
+    """Add ``show_title``: whether a hit's section differs from that of the hit before, within the columns ``query`` (without
+    them the hits are one query's, 25 at most)."""
+    w = W.partitionBy(*query) if query else W.partitionBy(F.lit(0))
+    return ranked.withColumn("show_title", ~F.col("sec").eqNullSafe(F.lag("sec").over(w.orderBy("rank"))))
+
+
+def display_text(hits: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(hit, text): the whole block (sec, ord, text) that a hit (hit, sec, snippet) is found in, else its snippet."""
+    at = locate(hits, blocks)
+    named = hits.join(at, "hit").join(blocks.select("sec", F.col("ord").alias("block"), F.col("text").alias("whole")), ["sec", "block"], "left")
+    return named.select("hit", F.coalesce("whole", "snippet").alias("text"))
+
+
+#: Query vectors that are broadcast at most; more of them meet the others in blocks.
+BROADCAST_QUERIES, QUERY_BLOCK = 20_000, 4096
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, floor: float, top: int = 25) -> DataFrame:
+    """(query, key, cosine, rank): the ``top`` vectors (key, q) of each query (query, q) with a cosine of ``floor`` or more.
+
+    All queries are compared with all vectors, in blocks of queries. Codes are int8 of unit vectors.
+    """
+    qs = queries.select("query", F.col("q").alias("qv"))
+    n = qs.count()
+    if n <= BROADCAST_QUERIES:
+        pairs = vectors.select("key", "q").crossJoin(F.broadcast(qs))
+    else:
+        blocks = -(-n // QUERY_BLOCK)
+        qs = qs.withColumn("b", F.pmod(F.xxhash64("query"), F.lit(blocks)))
+        pairs = vectors.select("key", "q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b")).join(qs, "b").drop("b")
+    scored = pairs.select("query", "key", F.round(dot(dequantize(F.col("q")), dequantize(F.col("qv"))), 8).alias("cosine")).filter(F.col("cosine") >= floor)
+    return scored.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("cosine"), "key"))).filter(F.col("rank") <= top)

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from folio.functions import text as X
 from folio.functions.vectors import dequantize, dot, quantize, truncate_and_normalize
+from folio.functions.word_lists import LINK_STOP
 from folio.operators import entities, freshness, html_blocks, incremental, retrieval
+from folio.sources import catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,13 +37,13 @@ def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F1, AG1: in how many documents each token occurs, as token sets of ASCII texts."""
-    return _token_frequency(read(spark, sf_dir, "documents").filter("octet_length(text) = length(text)"))
+    """F1, AG1: in how many documents each token occurs, accents folded."""
+    return _token_frequency(read(spark, sf_dir, "documents"))
 
 
 def token_frequency_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F1, AG1 over every document, accents folded; held against literal cases, without a SQL twin."""
-    return _token_frequency(read(spark, sf_dir, "documents"))
+    """The same under its former name."""
+    return token_frequency(spark, sf_dir)
 
 
 def _token_frequency(d: DataFrame) -> DataFrame:
@@ -97,17 +99,19 @@ def term_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DO5, W6, J7: the first 15 linked terms of each document, each once, none to itself; terms are its frequent long words."""
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
-    words = d.select("key", F.explode(F.array_distinct(F.split(X.same_length_fold(F.col("text")), r"[^\p{L}\p{N}_]+"))).alias("term")).filter("term RLIKE '^[A-Z]{6,}$'")
+    words = d.select("key", F.explode(F.array_distinct(F.split(X.same_length_fold(F.col("text")), "[^A-Z0-9]+"))).alias("term")).filter("term RLIKE '^[A-Z]{6,}$'")
     terms = words.groupBy("term").agg(F.count("*").alias("n"), F.min("key").alias("key")).filter("n >= 5")
     return entities.links_in_text(d, terms).select("key", F.col("ord").cast("long").alias("ord"), "term", "target")
 
 
 def overlay_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J1, J2, SO1: documents under labels as overlays (toxic as the empty one), three states."""
-    d, o = read(spark, sf_dir, "documents").select("doc_id", "n_chars"), read(spark, sf_dir, "labels")
-    both = d.join(o, "doc_id", "full")
-    state = F.when(F.col("toxic") == 1, F.when(F.coalesce("n_chars", F.lit(0)) > 0, "archived")).when(F.col("toxic") == 0, "overlay").otherwise("baseline")
-    return both.select("doc_id", state.alias("state")).filter("state IS NOT NULL")
+    """J1, J2, SO1, SC13: documents under labels as overlays (toxic as the empty one), three states, and what is present."""
+    base = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("html"))
+    over = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), F.when(F.col("toxic") == 1, "").otherwise("overlay").alias("html"))
+    state = F.when(F.col("archived"), "archived").when(F.col("html") == "overlay", "overlay").otherwise("baseline")
+    got = catalog.merged(base, over, base_date=F.lit("2020-01-01")).select("key", state.alias("state"), "asof")
+    there = catalog.present(base, over).withColumn("present", F.lit(True))
+    return got.join(there, "key", "left").select(F.col("key").alias("doc_id"), "state", "asof", F.coalesce("present", F.lit(False)).alias("present"))
 
 
 def borrowed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,9 +121,25 @@ def borrowed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customers_without_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J8."""
-    c, o = read(spark, sf_dir, "customer"), read(spark, sf_dir, "orders")
-    return c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").select("c_custkey", "c_name")
+    """J8, SO2: customers without a large finished order."""
+    c, o = read(spark, sf_dir, "customer"), read(spark, sf_dir, "orders").filter("o_orderstatus = 'F' AND o_totalprice > 300000")
+    only = incremental.only_overlays(o.select(F.col("o_custkey").alias("key")), c.select(F.col("c_custkey").alias("key")))
+    return c.join(only, c["c_custkey"] == only["key"]).select("c_custkey", "c_name")
+
+
+def best_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG2, AG7, FP2, J6: for each word of six letters that parts are named or typed by, the best part with a page."""
+    p = read(spark, sf_dir, "part")
+    key = F.col("p_partkey").cast("string").alias("key")
+    entries = p.select(key, F.concat(F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit(", x")).alias("name"), F.col("p_partkey").alias("file_order"))
+    comp = p.select(key, (F.col("p_size") % 3).cast("long").alias("n_links"), X.tokens(F.col("p_type")).alias("tokens"))
+    words = p.select(F.explode(X.tokens(F.concat_ws(" ", "p_name", "p_type"))).alias("term"))
+    return entities.link_terms(entries, comp, p.select(key, F.col("p_retailprice").alias("score")), words, p.filter("p_partkey % 2 = 0").select(key), p.select(key, F.col("p_name").alias("name")))
+
+
+def outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG12."""
+    return freshness.outcome_counts(read(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("source"), F.col("event_type").alias("outcome")))
 
 
 def word_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,11 +158,18 @@ def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RT7, AG18, FP12: mean cosine of every vector to vectors 0 to 2, floor, best 25."""
+    """J16, TK5: the 25 nearest of all vectors to each vector whose id is divisible by 50, from a cosine of 0.05 on."""
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), quantize(F.col("embedding")).alias("q"))
+    return retrieval.nearest(e, e.filter("key % 50 = 0").withColumnRenamed("key", "query"), 0.05).select("query", "key", "cosine", F.col("rank").cast("long").alias("rank"))
+
+
+def ranked_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RT7, RT8, AG18, FP12: vectors as one page's chunks, two a block, ranked by their mean cosine to 25 sub-queries."""
     e = read(spark, sf_dir, "embeddings").select("vec_id", quantize(F.col("embedding")).alias("q"))
-    qs = F.broadcast(e.filter("vec_id < 3").select(F.col("q").alias("qv")))  # three rows
-    scored = e.crossJoin(qs).groupBy("vec_id").agg(F.round(F.avg(dot(dequantize(F.col("q")), dequantize(F.col("qv")))), 8).alias("cosine"))
-    return scored.filter("cosine >= 0.05").orderBy(F.desc("cosine"), "vec_id").limit(25)
+    none = F.array().cast("array<string>")
+    chunks = e.select(F.col("vec_id").alias("ord"), F.floor(F.col("vec_id") / 2).alias("block"), "q", none.alias("words"))
+    got = retrieval.rank_passages(chunks, e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("ord"), "q", none.alias("terms")), -0.2)
+    return got.select("ord", "block", F.round("cosine", 8).alias("cosine"))
 
 
 def truncated_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,18 +179,14 @@ def truncated_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F17, RT5, RT6: lexical score of three terms on each ASCII document's distinct words."""
-    return _word_credit(read(spark, sf_dir, "documents").filter("octet_length(text) = length(text)"))
+    """F8, F17, RT5, RT6: lexical score of three terms on each document's distinct words, accents folded."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.array_distinct(X.fold_words(F.col("text"))).alias("words"))
+    return retrieval.lexical_scores(d, ["tion", "thered", "under"]).select(F.col("key").alias("doc_id"), F.round("lexical", 6).alias("lexical"))
 
 
 def word_credit_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F17, RT5, RT6 over every document, accents folded; held against literal cases, without a SQL twin."""
-    return _word_credit(read(spark, sf_dir, "documents"))
-
-
-def _word_credit(d: DataFrame) -> DataFrame:
-    d = d.select("doc_id", F.array_distinct(X.fold_words(F.col("text"))).alias("words"))
-    return d.select("doc_id", F.round(retrieval.lexical_score(F.array(F.lit("tion"), F.lit("thered"), F.lit("under")), F.col("words")), 6).alias("lexical"))
+    """The same under its former name."""
+    return word_credit(spark, sf_dir)
 
 
 def due_users(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,9 +251,8 @@ def ordered_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def title_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation whose role differs from the one before."""
-    c = read(spark, sf_dir, "conversations")
-    w = W.partitionBy("conv_id").orderBy("turn")
-    return c.select("conv_id", "turn", (~F.col("role").eqNullSafe(F.lag("role").over(w))).alias("changes"))
+    c = read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("rank"), F.col("role").alias("sec"))
+    return retrieval.grouped_titles(c, "conv_id").select("conv_id", F.col("rank").alias("turn"), F.col("show_title").alias("changes"))
 
 
 QUERIES: dict[str, Query] = {
@@ -238,7 +260,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         instant_search, text_scalars, token_frequency, record_hashes, incremental_plan, first_of_copies, letter_counts, best_order, percentile_fallback, term_scores, document_links, overlay_states,
         borrowed_orders, customers_without_orders, word_prefixes, vector_codes, nearest_vectors, truncated_vectors, word_credit, due_users, rolling_requests, outcomes, json_props, canonical_urls, page_blocks,
-        page_chunks, shared_tokens, ordered_types, title_changes, token_frequency_all, word_credit_all,
+        page_chunks, shared_tokens, ordered_types, title_changes, token_frequency_all, word_credit_all, best_terms, outcome_counts, ranked_passages,
     )
 }
 
@@ -247,12 +269,21 @@ _TOK = "list_distinct(list_filter(regexp_split_to_array(upper({}), '[^A-Z0-9]+')
 _UP, _LOW = "abcdefghijklmnopqrstuvwxyz" + "".join(g + g.upper() for g, _ in X.ACCENT_GROUPS), "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "".join(b * 2 * len(g) for g, b in X.ACCENT_GROUPS)
 _Q = "list_transform(embedding, lambda x: greatest(-127, least(127, round_even(x::DOUBLE * 127, 0)))::INT)"
 
+def _literal(text: str) -> str:
+    return text.replace("'", "''")
+
+
+_FOLD, _TO, _SEVERAL = X._fold_tables()
+_MARKED, _BARE = X._mark_tables()
+_ASCII = f"regexp_replace(translate(upper(replace(text, 'ß', 'ss')), '{_literal(_FOLD)}', '{_literal(_TO)}'), '[^\\x00-\\x7F]', '', 'g')"
+_STOP = ", ".join(f"'{w}'" for w in sorted(LINK_STOP))
+
 ORACLE_SQL: dict[str, str] = {
     "instant_search": """SELECT key, name, row_number() OVER (ORDER BY CASE WHEN contains(lower(name), 'a') THEN 0 ELSE 1 END, CASE WHEN starts_with(lower(name), 'a') THEN 0 ELSE 1 END, length(name), key) AS rank
       FROM (SELECT p_partkey AS key, p_name AS name FROM part WHERE contains(lower(p_name), 'a') OR contains(lower(p_type), 'a') ORDER BY p_partkey LIMIT 40) QUALIFY rank <= 15""",
     "text_scalars": f"""SELECT p_partkey, coalesce(nullif(lower(left({_SLUG}, 80)), ''), 'rcp') AS slug, lower(p_name) AS sort_key, coalesce(nullif(upper(regexp_extract(p_name, '[A-Za-z]')), ''), '#') AS letter,
       trim(regexp_replace(p_name, '\\s+', ' ', 'g')) AS collapsed, replace(replace(replace(replace(p_name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped FROM part""",
-    "token_frequency": f"SELECT token, count(*) AS n_docs FROM (SELECT unnest({_TOK.format('text')}) AS token FROM documents WHERE strlen(text) = length(text)) GROUP BY token",
+    "token_frequency": f"SELECT token, count(*) AS n_docs FROM (SELECT unnest({_TOK.format(_ASCII)}) AS token FROM documents) GROUP BY token",
     "record_hashes": "SELECT doc_id AS key, sha256(coalesce(lang, '') || chr(0) || coalesce(source, '') || chr(0) || coalesce(text, '')) AS hash FROM documents",
     "incremental_plan": """WITH c AS (SELECT c_custkey AS key, sha256(c_name || '|' || c_mktsegment) AS h FROM customer WHERE c_nationkey <> 5),
       p AS (SELECT c_custkey AS key, sha256(CASE WHEN c_acctbal < 0 THEN '?' ELSE c_name END || '|' || c_mktsegment) AS o FROM customer WHERE c_nationkey <> 3)
@@ -266,24 +297,35 @@ ORACLE_SQL: dict[str, str] = {
       k AS (SELECT {_TOK.format('term')} AS tt, score FROM t), e AS (SELECT p_partkey AS key, {_TOK.format("p_name || ' ' || p_type || ' ' || p_brand")} AS toks FROM part),
       b AS (SELECT key, max(score) AS best FROM e JOIN k ON list_has_all(toks, tt) GROUP BY key)
       SELECT key, round(coalesce(best, (SELECT quantile_cont(score, 0.25) FROM t)), 4) AS score, best IS NOT NULL AS matched FROM e LEFT JOIN b USING (key)""",
-    "document_links": f"""WITH w AS (SELECT doc_id AS key, unnest(s) AS term, unnest(range(len(s))) AS ord FROM (SELECT doc_id, regexp_split_to_array(translate(text, '{_UP}', '{_LOW}'), '[^\\p{{L}}\\p{{N}}_]+') AS s FROM documents)),
+    "document_links": f"""WITH w AS (SELECT doc_id AS key, unnest(s) AS term, unnest(range(len(s))) AS ord FROM (SELECT doc_id, regexp_split_to_array(translate(text, '{_UP}', '{_LOW}'), '[^A-Z0-9]+') AS s FROM documents)),
       f AS (SELECT key, term, min(ord) AS ord FROM w WHERE term <> '' GROUP BY ALL), t AS (SELECT term, min(key) AS target FROM f WHERE regexp_full_match(term, '[A-Z]{{6,}}') GROUP BY term HAVING count(*) >= 5)
       SELECT key, row_number() OVER (PARTITION BY key ORDER BY ord) AS ord, term, target FROM (SELECT key, ord, term, target FROM f JOIN t USING (term) WHERE key <> target) r QUALIFY row_number() OVER (PARTITION BY key ORDER BY r.ord) <= 15""",
-    "overlay_states": """SELECT doc_id, CASE WHEN toxic = 1 THEN CASE WHEN coalesce(n_chars, 0) > 0 THEN 'archived' END WHEN toxic = 0 THEN 'overlay' ELSE 'baseline' END AS state FROM documents FULL JOIN labels USING (doc_id) WHERE state IS NOT NULL""",
+    "overlay_states": """WITH b AS (SELECT doc_id, toxic, length(trim(coalesce(text, ''))) > 0 AS has FROM documents FULL JOIN labels USING (doc_id))
+      SELECT doc_id, CASE toxic WHEN 1 THEN 'archived' WHEN 0 THEN 'overlay' ELSE 'baseline' END AS state, CASE WHEN coalesce(toxic, 1) = 1 THEN '2020-01-01' END AS "asof", coalesce(toxic, 0) = 0 AS present
+      FROM b WHERE toxic = 0 OR coalesce(has, false)""",
+    "best_terms": f"""WITH p AS (SELECT *, upper(split_part(p_name, ' ', 2)) AS w, p_size % 3 AS n FROM part), c AS (SELECT w AS term, p_partkey, p_retailprice, n <= 1 AS mono, p_name FROM p WHERE regexp_full_match(w, '[A-Z]+')
+        UNION ALL SELECT unnest({_TOK.format('p_type')}), p_partkey, p_retailprice, true, p_name FROM p WHERE n = 1)
+      SELECT term, p_partkey::VARCHAR AS key, p_partkey || '-' || {_SLUG.replace('p_name', 'lower(p_name)')} AS slug, p_name AS name FROM c
+      WHERE length(term) >= 6 AND regexp_full_match(term, '[A-Z]+') AND term NOT IN ({_STOP}) AND p_partkey % 2 = 0 QUALIFY row_number() OVER (PARTITION BY term ORDER BY mono DESC, p_retailprice DESC, p_partkey) = 1""",
+    "outcome_counts": "SELECT user_id % 7 AS source, event_type AS outcome, count(*) AS n FROM events GROUP BY 1, 2",
     "borrowed_orders": """WITH d AS (SELECT o_custkey, o_orderkey AS donor FROM orders WHERE o_orderstatus = 'F' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)
       SELECT o_orderkey AS key, donor FROM orders JOIN d USING (o_custkey) WHERE o_orderstatus <> 'F'""",
-    "customers_without_orders": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "customers_without_orders": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_totalprice > 300000)",
     "word_prefixes": """WITH h AS (SELECT name, min(ord) AS ord FROM (SELECT split_part(p_type, ' ', 1) AS name, min(p_partkey) AS ord FROM part GROUP BY 1 UNION ALL SELECT p_type, min(p_partkey) + 1000000000 FROM part GROUP BY 1) GROUP BY name),
       n AS (SELECT DISTINCT p_type AS l FROM part) SELECT l, name AS r FROM n JOIN h ON l = name OR starts_with(l, name || ' ') OR starts_with(name, l || ' ') QUALIFY row_number() OVER (PARTITION BY l ORDER BY l <> name, ord) = 1""",
     "vector_codes": f"SELECT vec_id, list_sum(q)::BIGINT AS code_sum, list_max(list_transform(q, lambda x: abs(x)))::BIGINT AS code_max, round(list_sum(list_transform(q, lambda x: (x / 127) * (x / 127))), 6) AS norm2 FROM (SELECT vec_id, {_Q} AS q FROM embeddings)",
     "nearest_vectors": f"""WITH e AS (SELECT vec_id, list_transform({_Q}, lambda x: x / 127) AS q FROM embeddings)
-      SELECT a.vec_id, round(avg(list_dot_product(a.q, b.q)), 8) AS cosine FROM e a, e b WHERE b.vec_id < 3 GROUP BY a.vec_id HAVING cosine >= 0.05 ORDER BY cosine DESC, vec_id LIMIT 25""",
+      SELECT b.vec_id AS query, a.vec_id AS key, round(list_dot_product(a.q, b.q), 8) AS cosine, row_number() OVER (PARTITION BY b.vec_id ORDER BY round(list_dot_product(a.q, b.q), 8) DESC, a.vec_id) AS rank
+      FROM e a, e b WHERE b.vec_id % 50 = 0 AND round(list_dot_product(a.q, b.q), 8) >= 0.05 QUALIFY rank <= 25""",
+    "ranked_passages": f"""WITH e AS (SELECT vec_id, list_transform({_Q}, lambda x: x / 127) AS q FROM embeddings), b AS (SELECT * FROM e WHERE vec_id % 50 = 0 ORDER BY vec_id LIMIT 25),
+      s AS (SELECT a.vec_id AS ord, a.vec_id // 2 AS block, avg(list_dot_product(a.q, b.q)) AS cosine FROM e a, b GROUP BY 1, 2 HAVING cosine >= -0.2), t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY block ORDER BY cosine DESC, ord) = 1)
+      SELECT ord, block, round(cosine, 8) AS cosine FROM t ORDER BY t.cosine DESC, ord LIMIT 25""",
     "truncated_vectors": """SELECT vec_id, round(v[1] / n, 6) AS first, round(list_max(v) / n, 6) AS largest FROM (SELECT vec_id, v, greatest(sqrt(list_sum(list_transform(v, lambda x: x * x))), 1e-12) AS n
       FROM (SELECT vec_id, list_transform(embedding[1:16], lambda x: x::DOUBLE) AS v FROM embeddings))""",
-    "word_credit": """WITH w AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 3))) AS w FROM documents WHERE strlen(text) = length(text)),
+    "word_credit": f"""WITH w AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(translate(text, '{_literal(_MARKED)}', '{_literal(_BARE)}')), '[^a-z0-9]+'), lambda x: length(x) >= 3))) AS w FROM documents),
       t(t) AS (VALUES ('tion'), ('thered'), ('under')), c AS (SELECT doc_id, t, max(CASE WHEN w = t THEN 1.0 WHEN length(t) >= 4 AND length(w) >= 4 AND (starts_with(w, t) OR starts_with(t, w)) THEN 0.85
         WHEN levenshtein(t, w) <= (CASE WHEN length(t) <= 5 THEN 1 ELSE 2 END) THEN 0.7 ELSE 0.0 END)::DOUBLE AS c FROM w, t GROUP BY doc_id, t)
-      SELECT doc_id, round(coalesce(sum(c), 0) / 3, 6) AS lexical FROM (SELECT doc_id FROM documents WHERE strlen(text) = length(text)) LEFT JOIN c USING (doc_id) GROUP BY doc_id""",
+      SELECT doc_id, round(coalesce(sum(c), 0) / 3, 6) AS lexical FROM documents LEFT JOIN c USING (doc_id) GROUP BY doc_id""",
     "due_users": """WITH l AS (SELECT user_id, max(ts) AS last, arg_max(event_type, (ts, event_id)) AS kind FROM events GROUP BY user_id), n AS (SELECT max(ts) AS now FROM events)
       SELECT user_id, kind = 'error' OR floor((epoch_us(now) - epoch_us(last)) / 86400000000) >= 2 AS due, (epoch_us(now) - epoch_us(last)) / 1e6 < 3600 AS too_soon FROM l, n""",
     "rolling_requests": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n_hour FROM events",
@@ -297,3 +339,5 @@ ORACLE_SQL: dict[str, str] = {
     "ordered_types": """SELECT p_brand, string_agg(s, ';' ORDER BY o) AS text FROM (SELECT p_brand, lower(p_type) AS l, arg_min(p_type, p_partkey) AS s, min(p_partkey) AS o FROM part GROUP BY 1, 2) GROUP BY p_brand""",
     "title_changes": "SELECT conv_id, turn, role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS changes FROM conversations",
 }
+
+ORACLE_SQL |= {"token_frequency_all": ORACLE_SQL["token_frequency"], "word_credit_all": ORACLE_SQL["word_credit"]}

@@ -6,13 +6,15 @@ import gzip
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.functions.text import tokens
+from folio.functions.text import clean_substance, tokens
+from folio.operators.entities import ordered_distinct_text
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -185,3 +187,33 @@ def present(base: DataFrame, overlay: DataFrame) -> DataFrame:
     """(key): non-empty baseline, with non-empty overlays, without empty ones."""
     full = F.length(F.trim(F.coalesce("html", F.lit("")))) > 0
     return base.filter(full).select("key").union(overlay.filter(full).select("key")).distinct().join(overlay.filter(~full).select("key"), "key", "left_anti")
+
+
+def search_substances(rows: DataFrame) -> DataFrame:
+    """(key, text): an entry's active substances (cell 3 of rows whose cell 6 is SA), cleaned, each once in order of the file."""
+    kept = rows.filter("size(cells) > 7").filter(F.trim(F.col("cells")[6]) == "SA")
+    return ordered_distinct_text(kept.select(F.trim(F.col("cells")[0]).alias("key"), clean_substance(F.col("cells")[3]).alias("s"), "file_order"), "key", F.col("s"), "file_order")
+
+
+def page_keys(files: DataFrame) -> DataFrame:
+    """(key): what stands before the first hyphen of the file names in (path)."""
+    return files.select(F.split_part(F.element_at(F.split("path", "/"), -1), F.lit("-"), F.lit(1)).alias("key")).filter("key <> ''").distinct()
+
+
+def document_links(records: DataFrame) -> DataFrame:
+    """(key, url): records of a manifest that name a document."""
+    return records.filter("ema_pdf IS NOT NULL AND ema_pdf <> ''").select("key", F.col("ema_pdf").alias("url"))
+
+
+def first_lane(*lanes: DataFrame) -> DataFrame:
+    """Overlays (lane, key, ...) of several lanes; of a key that more than one has, the first lane's."""
+    rows = [d.withColumn("_lane", F.lit(i)) for i, d in enumerate(lanes)]
+    every = reduce(DataFrame.unionByName, rows)
+    least = every.groupBy("key").agg(F.min("_lane").alias("_lane"))
+    return every.join(least, ["key", "_lane"], "left_semi").drop("_lane").filter(F.col("key").rlike(r"^\d{8}$"))
+
+
+def vector_meta(payloads: DataFrame) -> DataFrame:
+    """(key, model, dim, src_hash) of vector files (key, payload); what can't be read has none."""
+    m = F.from_json("payload", "model string, dim int, src_hash string")
+    return payloads.select("key", m.alias("m")).filter("m.model IS NOT NULL").select("key", "m.*")

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from folio.plans import catalog_queries
+from folio.plans import catalog_queries, page_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,14 +21,18 @@ def plain(v):
     return round(v, 9) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", sorted(catalog_queries.ORACLE_SQL))
+QUERIES = catalog_queries.QUERIES | page_queries.QUERIES
+ORACLE_SQL = catalog_queries.ORACLE_SQL | page_queries.ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_oracle(spark, name):
     con = duckdb.connect()
     for t in "nation customer supplier part orders events documents embeddings pages labels conversations".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    got = catalog_queries.QUERIES[name](spark, SF)
+    got = QUERIES[name](spark, SF)
     cols = sorted(got.columns)
-    want = con.sql(catalog_queries.ORACLE_SQL[name])
+    want = con.sql(ORACLE_SQL[name])
     assert sorted(want.columns) == cols
     a = sorted((tuple(map(plain, r)) for r in got.select(*cols).collect()), key=str)
     b = sorted((tuple(map(plain, r)) for r in want.select(*(f'"{c}"' for c in cols)).fetchall()), key=str)

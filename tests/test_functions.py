@@ -91,10 +91,6 @@ def test_chunk_boundaries():
     a = "x" * 248 + "."
     assert C.sentence_chunks(f"{a} {a}") == [f"{a} {a}"]  # 499
     assert len(C.sentence_chunks(f"{a} {a}b.")) == 2  # 501
-    assert C.merge_small(["a" * 159, "b" * 300]) == ["a" * 159 + " " + "b" * 300]
-    assert C.merge_small(["a" * 160, "b" * 300]) == ["a" * 160, "b" * 300]
-    assert C.merge_small(["a" * 900, "b" * 100]) == ["a" * 900, "b" * 100]
-    assert C.merge_small([]) == []
 
 
 def test_table_lines():

@@ -36,9 +36,16 @@ def test_own_section_ids_stay(spark):
 
 def test_long_sections_lose_no_tail(spark):
     body = " ".join(f"Phrase numéro {i} du texte." for i in range(4000)) + " La cible est ici."
-    got = html_blocks.section_chunks(html_blocks.parse_blocks(f"<h1>A</h1><p>{body}</p>"))
-    assert len(got) > 160 and "La cible est ici." in got[-1][2]
-    assert " ".join(c[2].split("\n", 1)[1] for c in got) == body
+    got = html_blocks.chunks(spark.createDataFrame([("a", f"<h1>A</h1><p>{body}</p>")], "key string, html string")).orderBy("ord").collect()
+    assert len(got) > 160 and "La cible est ici." in got[-1]["chunk"]
+    assert " ".join(c["chunk"].split("\n", 1)[1] for c in got) == body
+
+
+def test_small_pieces_join_the_one_before(spark):
+    cases = {("a" * 159, "b" * 300): ["a" * 159 + " " + "b" * 300], ("a" * 160, "b" * 300): ["a" * 160, "b" * 300], ("a" * 900, "b" * 100): ["a" * 900, "b" * 100], (): []}
+    for pieces, want in cases.items():
+        df = spark.createDataFrame([(list(pieces),)], "p array<string>")
+        assert df.select(html_blocks.merged(F.col("p")).alias("m")).first()["m"] == want
 
 
 def test_toc(spark):
