@@ -416,6 +416,26 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", out
     return df.withColumn(out, ids(F.col(text)))
 
 
+def encode_checked(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", out: tuple[str, str] = ("token_ids", "round_trip")) -> DataFrame:
+    """Add the columns ``out``: the ids, as :func:`encode` does, and whether decoding them as a stream gives the text back.
+
+    One function in one worker does both, so that a task holds one vocabulary and the decoded text stays where it is made.
+    """
+
+    @F.pandas_udf("ids array<int>, same boolean")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        coder, pieces = _coder(vocabulary, pattern)
+        try:
+            for texts in batches:
+                ids = list(encode_texts(texts, coder, pieces))
+                yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "same": [decode_ids(i, coder) == (t or "") for i, t in zip(ids, texts, strict=True)]})
+        finally:
+            coder.clear()
+
+    named = df.withColumn("_folio_coded", both(F.col(text)))
+    return named.withColumns({out[0]: F.col("_folio_coded.ids"), out[1]: F.col("_folio_coded.same")}).drop("_folio_coded")
+
+
 def decode(df: DataFrame, vocabulary: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """Add ``out`` string: the text of the ids, decoded as a stream of parts.
 

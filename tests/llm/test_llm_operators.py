@@ -355,6 +355,10 @@ def test_token_digests(spark, coder):
         ids = library.encode_ordinary(t or "")
         want.add((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert got == want
+    apart = bpe.decode(bpe.encode(odd(spark), VOCAB, P.PATTERN), VOCAB)
+    assert apart.filter("decoded <> coalesce(text, '')").count() == 0
+    checked = bpe.encode_checked(odd(spark), VOCAB, P.PATTERN)
+    assert checked.filter("round_trip").count() == len(ODD) and [r["token_ids"] for r in checked.collect()] == [r["token_ids"] for r in apart.collect()]
     assert bpe.digests(empty(spark), VOCAB, P.PATTERN).count() == 0
 
 

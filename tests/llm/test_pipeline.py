@@ -63,3 +63,21 @@ def test_tokens(staged):
     texts = {r["doc_id"]: r["text"] for r in staged[4].collect()}
     got = staged[5].collect()
     assert len(got) == len(texts) and all(r["round_trip"] and r["token_ids"] == library.encode_ordinary(texts[r["doc_id"]]) and r["n_tokens"] == len(r["token_ids"]) for r in got)
+
+
+def test_stages_take_odd_rows_and_columns_of_any_name(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, spans string, score string, lang_pred string, key string, text_key long"
+    words = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, None, None, None, None, "a", "b", "c", "d", 1), (2, "", "en", "s", 0, "a", "b", "c", "d", 1), (3, "password = hunter2hunter2 and " + words, "en", "s", None, "a", "b", "c", "d", 1)]
+    rows += [rows[2], (None, "plain prose without a number", "en", None, 28, None, None, None, None, None)]
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == docs.columns
+                kept = {(r["spans"], r["score"], r["lang_pred"], r["key"], r["text_key"]) for r in out.collect()}
+                assert kept <= {("a", "b", "c", "d", 1), (None,) * 5}
+            assert out.count() <= docs.count()
+    docs = spark.createDataFrame(rows, schema)
+    assert corpus_pipeline.redact_secrets(spark, docs, SF).count() == 5 and corpus_pipeline.drop_near_duplicates(spark, docs, SF).count() == 4
+    assert [r["n_tokens"] for r in corpus_pipeline.tokenize(spark, docs, SF).collect()][:2] == [0, 0]
