@@ -26,11 +26,11 @@ from pyspark.sql import types as T
 from folio.llm.common import give_back, small_batches
 
 #: Bounds of what a worker remembers, and the bytes read before tokens are emitted (more where the vocabulary needs it).
-MAX_STATES, MAX_PIECES, MAX_PAIRS, LOOK = 250_000, 150_000, 200_000, 48
+MAX_STATES, MAX_PIECES, MAX_PAIRS, LOOK = 120_000, 60_000, 100_000, 48
 #: The pairs last met, by their hash, for lookups of many at once.
-PAIR_BITS = 19
+PAIR_BITS = 18
 #: Characters of text whose pieces are held at a time.
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 19
 #: What ends at a state instead of a token: the start of the text, and nothing.
 START, NONE = -1, -2
 _BASE = 0x9E3779B97F4A7C15
@@ -49,11 +49,11 @@ class MergeTransducer:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.digits = {i: str(i) for i in self.tokens}
-        self.beginnings = {t[:n] for t in ranks for n in range(1, len(t) + 1)}
+        self._beginnings: set[bytes] = set()
         self.longest = max(map(len, ranks), default=1)
         self.powers = np.array([pow(_BASE, n, 1 << 64) for n in range(LOOK + 1)], np.uint64)
         self.hashed = [self._hashed([t for t in ranks if len(t) == n]) for n in range(min(self.longest, LOOK) + 1)]
-        self.token, self.begin, self.back, self.depth = (np.zeros(MAX_STATES + 2048 * LOOK, np.int32) for _ in range(4))
+        self.token, self.begin, self.back, self.depth = (np.zeros(MAX_STATES + 1024 * LOOK, np.int32) for _ in range(4))
         self.hash = np.zeros(len(self.token), np.uint64)
         self.forget()
         self.split: dict[bytes, tuple[bytes, bytes]] = {}
@@ -74,6 +74,13 @@ class MergeTransducer:
             raise ValueError("two vocabulary entries share a hash")
         return h[order], np.array([self.ranks[tokens[i]] for i in order], np.int64)
 
+    @property
+    def beginnings(self) -> set[bytes]:
+        """What some vocabulary entry begins with; only long pieces ask."""
+        if not self._beginnings:
+            self._beginnings = {t[:n] for t in self.ranks for n in range(1, len(t) + 1)}
+        return self._beginnings
+
     def edge(self, token: int, right: bool) -> list[tuple[bytes, int, int]]:
         """What stands at one end of a token while it is being merged: bytes, and the ranks at which each part comes and goes."""
         edges = self.right_edges if right else self.left_edges
@@ -105,7 +112,8 @@ class MergeTransducer:
         key = left << 32 | right
         if (known := self.pairs.get(key)) is None:
             if len(self.pairs) >= MAX_PAIRS:
-                self.pairs.clear()
+                for known in (self.pairs, self.left_edges, self.right_edges, self.split):
+                    known.clear()
             known, rank_of, starts = True, self.ranks.get, self.edge(right, False)
             for x, x_born, x_gone in self.edge(left, True):
                 for y, y_born, y_gone in starts:
@@ -144,7 +152,7 @@ class MergeTransducer:
     def clear(self) -> None:
         """Forget all that texts have taught: an idle worker holds the vocabulary alone."""
         self.forget()
-        for known in (self.split, self.left_edges, self.right_edges, self.pairs, self.pieces, self.older):
+        for known in (self.split, self.left_edges, self.right_edges, self.pairs, self.pieces, self.older, self._beginnings):
             known.clear()
         give_back()
 
@@ -248,11 +256,11 @@ class MergeTransducer:
                 short.append(p)
             else:
                 self.pieces[p] = self.piece(p)
-        for lo in range(0, len(short), 2048):
-            part = [p.encode() for p in short[lo : lo + 2048]]
+        for lo in range(0, len(short), 1024):
+            part = [p.encode() for p in short[lo : lo + 1024]]
             if self.count + sum(map(len, part)) > MAX_STATES:
                 self.forget()
-            self.pieces.update(zip(short[lo : lo + 2048], self.walk(part), strict=True))
+            self.pieces.update(zip(short[lo : lo + 1024], self.walk(part), strict=True))
 
     def step(self, state: int, byte: int, data: bytes) -> int:
         """A transition met for the first time: the state behind it; ``final`` gets the tokens that it makes final."""
