@@ -160,19 +160,29 @@ def repeats(contents: list[bytes], windows: np.ndarray) -> Iterator[tuple[np.nda
     at = np.flatnonzero(counts[inverse] > 1)
     if not len(at):
         return
+    view = np.lib.stride_tricks.sliding_window_view(buf, LEAST)
+
+    def unlike() -> list[np.ndarray]:
+        """Windows that share the hash of the first of their class, but not its bytes."""
+        first = np.unique(inverse[at], return_index=True)
+        heads = at[first[1][np.searchsorted(first[0], inverse[at])]]
+        parts = [slice(lo, lo + 20_000) for lo in range(0, len(at), 20_000)]
+        return [at[p][(view[pos[at[p]]] != view[pos[heads[p]]]).any(1)] for p in parts]
+
+    if len(odd := np.concatenate(unlike())):
+        exact: dict[bytes, int] = {}
+        for i in at[np.isin(inverse[at], inverse[odd])].tolist():  # those classes are made anew, by their bytes
+            inverse[i] = exact.setdefault(view[pos[i]].tobytes(), len(counts) + len(exact))
+        at = np.flatnonzero(np.bincount(inverse)[inverse] > 1)
+        if not len(at):
+            return
     # the windows themselves, in order: their bytes decide, the hash only left out those that occur once
     heads = np.unique(inverse[at], return_index=True)[1]
-    view = np.lib.stride_tricks.sliding_window_view(buf, LEAST)
     texts = np.ascontiguousarray(view[pos[at[heads]]]).view(f"V{LEAST}").ravel()
     order = np.argsort(texts.view(f"S{LEAST}"), kind="stable") if not (buf == 0).any() else np.array(sorted(range(len(texts)), key=lambda i: texts[i].tobytes()), np.int64)
     rank = np.empty(len(heads), np.int64)
     rank[order] = np.arange(len(heads))
     symbol = rank[np.searchsorted(inverse[at[heads]], inverse[at])]
-    for lo in range(0, len(at), 20_000):
-        part = at[lo : lo + 20_000]
-        head = at[heads[np.searchsorted(inverse[at[heads]], inverse[part])]]
-        if not (view[pos[part]] == view[pos[head]]).all():
-            raise ValueError("two windows share a hash")
     # a suffix goes on as long as its windows follow each other within a fragment
     breaks = np.flatnonzero((np.diff(at) != 1) | (np.diff(own[at]) != 0)) + 1
     bounds = np.concatenate((breaks, [len(at)]))

@@ -413,6 +413,17 @@ def test_repeats(spark, monkeypatch, hot):
     assert got == Counter(_removed([(i, (t or "").encode()) for i, t in rows]))
 
 
+def test_windows_that_share_a_hash_are_told_apart(monkeypatch):
+    rng = random.Random(8)
+    base = bytes(rng.randrange(97, 123) for _ in range(900))
+    contents = [base[:400], base[100:600], bytes(rng.randrange(97, 123) for _ in range(420)), base[550:900], base[300:520]]
+    windows, counts = np.array([len(c) - repeats.LEAST + 1 for c in contents]), np.ones(len(contents), np.int64)
+    want, real = repeats._cover(contents, windows, counts), repeats.rolling
+    assert any(want) and not want[2]
+    monkeypatch.setattr(repeats, "rolling", lambda b, size: real(b, size) % np.uint64(5) if size == repeats.LEAST else real(b, size))
+    assert repeats._cover(contents, windows, counts) == want
+
+
 def test_repeats_of_odd_rows(spark):
     assert repeats.report(odd(spark)).count() == len(ODD) and repeats.report(empty(spark)).count() == 0
 
