@@ -26,9 +26,9 @@ from pyspark.sql import types as T
 from folio.llm.common import give_back, small_batches
 
 #: Bounds of what a worker remembers, and the bytes read before tokens are emitted (more where the vocabulary needs it).
-MAX_STATES, MAX_PIECES, MAX_PAIRS, LOOK = 120_000, 60_000, 100_000, 48
+MAX_STATES, MAX_PIECES, MAX_PAIRS, LOOK = 250_000, 120_000, 200_000, 48
 #: The pairs last met, by their hash, for lookups of many at once.
-PAIR_BITS = 18
+PAIR_BITS = 19
 #: Characters of text whose pieces are held at a time.
 GROUP_CHARS = 1 << 19
 #: What ends at a state instead of a token: the start of the text, and nothing.
