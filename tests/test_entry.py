@@ -28,7 +28,7 @@ ORACLE_SQL = catalog_queries.ORACLE_SQL | page_queries.ORACLE_SQL | value_querie
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in "nation customer supplier part orders events documents embeddings pages labels conversations".split():
+    for t in "nation customer supplier part orders lineitem events documents embeddings pages labels conversations".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = QUERIES[name](spark, SF)
     cols = sorted(got.columns)
