@@ -3,7 +3,8 @@
 The index is partitioned by document: each row holds a document's words in order, so that the posting of a term
 is (row, position) and a posting of another term at a given offset is a lookup in the same row. Nothing of it
 is shuffled. Test windows are looked up from their rarest term: its postings are intersected with those of the
-second rarest, shifted by their offset within the window, and what is left is compared word by word.
+second rarest, shifted by their offset within the window, and what is left is compared word by word. Proximity
+matches look for all of a window's terms around the same postings of its rarest one.
 """
 
 from __future__ import annotations
@@ -13,8 +14,17 @@ from pyspark.sql import functions as F
 
 from folio.llm.common import materialize, small_enough, words_of
 
-#: Windows that are broadcast at most; beyond it the postings are shuffled by their term.
-BROADCAST_WINDOWS = 100_000
+#: Windows that are broadcast at most, and the bytes of their terms (a term has no greatest length); beyond it the postings are shuffled by their term.
+BROADCAST_WINDOWS, BROADCAST_BYTES = 100_000, 32 << 20
+#: How far from its rarest term the other terms of a window may stand, in words, to count as near.
+SLOP = 20
+
+
+def _broadcastable(df: DataFrame, text: Column) -> bool:
+    """Whether df is small in rows and in the bytes of its texts."""
+    if not small_enough(df, BROADCAST_WINDOWS):
+        return False
+    return df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0] <= BROADCAST_BYTES
 
 
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -43,7 +53,7 @@ def rarest_terms(index: DataFrame, wins: DataFrame) -> DataFrame:
     """
     each = wins.select("win").distinct().select("win", F.posexplode("win").alias("o", "term"))
     terms = each.select("term").distinct()
-    if small_enough(terms, BROADCAST_WINDOWS):
+    if _broadcastable(terms, F.col("term")):
         terms = F.broadcast(terms)
     counts = index.select(F.explode("words").alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("n_term"))
     ranked = each.join(counts, "term", "left").groupBy("win").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n_term", F.lit(0)).alias("n_term"), "o", "term"))).alias("r"))
@@ -53,7 +63,7 @@ def rarest_terms(index: DataFrame, wins: DataFrame) -> DataFrame:
 
 def exact_matches(index: DataFrame, seeds: DataFrame) -> DataFrame:
     """(doc_id, text_key, start, n, win): every occurrence of a seed window in a document, 0-based."""
-    if small_enough(seeds, BROADCAST_WINDOWS):
+    if _broadcastable(seeds, F.array_join("win", " ")):
         postings = index.select("doc_id", "text_key", "words", F.posexplode("words").alias("pos", "term"))
         start = F.col("pos") - F.col("o1")
         hit = (F.col("term") == F.col("t1")) & (start >= 0) & (F.get("words", start + F.col("o2")) == F.col("t2"))
@@ -66,18 +76,29 @@ def exact_matches(index: DataFrame, seeds: DataFrame) -> DataFrame:
     return both.join(index, (both["doc_id"].eqNullSafe(index["doc_id"])) & (both["text_key"] == index["text_key"])).filter(F.slice("words", F.col("start") + 1, F.col("n")) == F.col("win")).select(both["doc_id"], both["text_key"], "start", "n", "win")
 
 
-def proximity_matches(index: DataFrame, items: DataFrame, size: int = 10, slop: int = 20) -> DataFrame:
-    """(doc_id, text_key, item_id, n_near): windows whose every term stands within ``slop`` words of its rarest one, in any order.
+def near_matches(index: DataFrame, seeds: DataFrame, slop: int = SLOP) -> DataFrame:
+    """(doc_id, text_key, win): seed windows whose every term stands within ``slop`` words of an occurrence of the rarest, in any order; once each."""
+    pos, low = F.col("pos"), F.greatest(F.col("pos") - slop, F.lit(0))
+    around = F.slice("words", low + 1, pos + slop + 1 - low)
+    near = F.array_contains(around, F.col("t2")) & (F.size(F.array_except("win", around)) == 0)
+    if _broadcastable(seeds, F.array_join("win", " ")):
+        postings = index.select("doc_id", "text_key", "words", F.posexplode("words").alias("pos", "term"))
+        return postings.join(F.broadcast(seeds), (F.col("term") == F.col("t1")) & near).select("doc_id", "text_key", "win").distinct()
+    # many windows: only the words around postings of rarest terms are shuffled
+    rare = index.select("doc_id", "text_key", "words", F.posexplode("words").alias("pos", "term")).join(seeds.select(F.col("t1").alias("term")).distinct(), "term", "left_semi")
+    local = rare.select("doc_id", "text_key", "term", around.alias("words")).distinct()
+    fits = (F.col("term") == F.col("t1")) & F.array_contains("words", F.col("t2")) & (F.size(F.array_except("win", "words")) == 0)
+    return local.join(seeds, fits).select("doc_id", "text_key", "win").distinct()
+
+
+def proximity_matches(index: DataFrame, items: DataFrame, size: int = 10, slop: int = SLOP) -> DataFrame:
+    """(doc_id, text_key, item_id, n_near): how many windows of an item have all terms near each other in a document.
 
-    Exact occurrences count as well. The term sets are compared in the row that holds the posting.
+    Exact occurrences count as well. Null and empty texts have no words and no matches; an empty benchmark gives no rows;
+    rows that are repeated are one, as they have one id and one text.
     """
     wins = windows(items, size)
-    seeds = rarest_terms(index, wins)
-    postings = index.select("doc_id", "text_key", "words", F.posexplode("words").alias("pos", "term"))
-    near = F.slice("words", F.greatest(F.col("pos") - slop, F.lit(0)) + 1, 2 * slop + 1)
-    on = (F.col("term") == F.col("t1")) & (F.size(F.array_except("win", near)) == 0)
-    small = small_enough(seeds, BROADCAST_WINDOWS)
-    found = postings.join(F.broadcast(seeds) if small else seeds, on).select("doc_id", "text_key", "win").distinct()
+    found = near_matches(index, rarest_terms(index, wins), slop)
     return found.join(wins, "win").groupBy("doc_id", "text_key", "item_id").agg(F.countDistinct("win").alias("n_near"))
 
 
@@ -88,24 +109,31 @@ def covered(spans: Column) -> Column:
     return F.aggregate(F.sort_array(spans), empty, add, lambda a: a["total"].cast("long"))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, size: int = 10, near: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items (sorted strings), contaminated.
 
     A word is hit if it lies in any occurrence of any window of any item. Null or empty texts have no words and
     are never hit; items without words match nothing; rows that are repeated are each reported; with an empty
-    benchmark nothing is hit. Further columns of either table play no part.
+    benchmark nothing is hit. Further columns of either table play no part. With ``near`` there are n_near_items and
+    n_near_windows besides: items, and distinct windows, whose terms all stand near their rarest one (:func:`near_matches`).
     """
     index = build_index(docs)
     wins = materialize(windows(items, size), "windows")
-    found = exact_matches(index, materialize(rarest_terms(index, wins), "seeds")).select("doc_id", "text_key", "start", "n", "win").distinct()
+    seeds = materialize(rarest_terms(index, wins), "seeds")
+    found = exact_matches(index, seeds).select("doc_id", "text_key", "start", "n", "win").distinct()
     found = materialize(found, "occurrences")
     spans = found.select("doc_id", "text_key", "start", "n").distinct().groupBy("doc_id", "text_key").agg(covered(F.collect_list(F.struct("start", "n"))).alias("n_hit"))
     names = found.select("doc_id", "text_key", "win").distinct().join(wins, "win").groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     hits = spans.join(names, (spans["doc_id"].eqNullSafe(names["doc_id"])) & (spans["text_key"] == names["text_key"])).select(spans["doc_id"].alias("h_id"), spans["text_key"].alias("h_key"), "n_hit", "items")
     base = index.select("doc_id", "text_key", "n_words")
-    return base.join(hits, (F.col("doc_id").eqNullSafe(F.col("h_id"))) & (F.col("text_key") == F.col("h_key")), "left").select(
+    out = base.join(hits, (F.col("doc_id").eqNullSafe(F.col("h_id"))) & (F.col("text_key") == F.col("h_key")), "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("n_hit").isNotNull().alias("contaminated"), "text_key"
     )
+    if not near:
+        return out
+    close = materialize(near_matches(index, seeds), "near").join(wins, "win").groupBy(F.col("doc_id").alias("h_id"), F.col("text_key").alias("h_key"))
+    counts = close.agg(F.count_distinct("item_id").alias("n_near_items"), F.count_distinct("win").alias("n_near_windows"))
+    return out.join(counts, (F.col("doc_id").eqNullSafe(F.col("h_id"))) & (F.col("text_key") == F.col("h_key")), "left").drop("h_id", "h_key").na.fill(0, ["n_near_items", "n_near_windows"])
 
 
 #: Contaminated documents whose ids are broadcast at most; more of them meet the documents by shuffle.
@@ -124,8 +152,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
 
 
 def report(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
-    """The digest columns of :func:`contaminated`."""
-    return contaminated(docs, items, size).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+    """The digest columns of :func:`contaminated`, and its proximity matches."""
+    return contaminated(docs, items, size, near=True).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated", "n_near_items", "n_near_windows")
 
 
 SQL = r"""
@@ -144,10 +172,19 @@ WITH d AS (
   JOIN win USING (n, v)
 ), word AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id
+), freq AS (
+  SELECT w[i] AS term, count(*) AS c FROM pos GROUP BY 1
+), seed AS (
+  SELECT v, arg_min(t, (coalesce(c, 0), o)) AS t1 FROM (SELECT v, unnest(v) AS t, unnest(range(len(v))) AS o FROM (SELECT DISTINCT v FROM win)) LEFT JOIN freq ON t = term GROUP BY v
+), near AS (
+  SELECT DISTINCT doc_id, v FROM pos JOIN seed ON w[i] = t1 AND list_has_all(list_slice(w, greatest(i - 20, 1), i + 20), v)
+), close AS (
+  SELECT doc_id, count(DISTINCT item_id) AS ni, count(DISTINCT v) AS nw FROM near JOIN win USING (v) GROUP BY doc_id
 ), item AS (
   SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM hit GROUP BY doc_id
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-FROM d LEFT JOIN word USING (doc_id) LEFT JOIN item USING (doc_id)
+       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated,
+       coalesce(ni, 0)::BIGINT AS n_near_items, coalesce(nw, 0)::BIGINT AS n_near_windows
+FROM d LEFT JOIN word USING (doc_id) LEFT JOIN item USING (doc_id) LEFT JOIN close USING (doc_id)
 """

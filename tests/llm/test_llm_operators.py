@@ -456,6 +456,14 @@ def test_contamination_of_odd_rows(spark):
     assert decontam.report(odd(spark), items.limit(0)).filter("contaminated").count() == 0 and decontam.report(empty(spark), items).count() == 0
 
 
+def test_proximity_looks_equally_far_both_ways(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "r x x b"), (2, "r x x x b"), (3, "b x x r"), (4, "b x x x r"), (5, "x x x x x x b x x r b"), (6, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "r b"), (8, None)], "item_id long, text string")
+    for rows in (decontam.BROADCAST_WINDOWS, 0):
+        monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", rows)
+        assert sorted(r["doc_id"] for r in decontam.proximity_matches(decontam.build_index(docs), items, slop=3).collect()) == [1, 3, 5]
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "c x a y b"), (2, "a " + "x " * 50 + "b c")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "a b c")], "item_id long, text string")
