@@ -53,9 +53,10 @@ def rarest_terms(index: DataFrame, wins: DataFrame) -> DataFrame:
     """
     each = wins.select("win").distinct().select("win", F.posexplode("win").alias("o", "term"))
     terms = each.select("term").distinct()
-    if _broadcastable(terms, F.col("term")):
-        terms = F.broadcast(terms)
-    counts = index.select(F.explode("words").alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("n_term"))
+    few = _broadcastable(terms, F.col("term"))
+    counts = index.select(F.explode("words").alias("term")).join(F.broadcast(terms) if few else terms, "term").groupBy("term").agg(F.count("*").alias("n_term"))
+    if few:  # no more than the terms, so that a word of many windows need not gather them in one task
+        counts = F.broadcast(counts)
     ranked = each.join(counts, "term", "left").groupBy("win").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n_term", F.lit(0)).alias("n_term"), "o", "term"))).alias("r"))
     r2 = F.get("r", F.least(F.lit(1), F.size("r") - 1))
     return ranked.filter(F.col("r")[0]["n_term"] > 0).select("win", F.size("win").alias("n"), F.col("r")[0]["term"].alias("t1"), F.col("r")[0]["o"].alias("o1"), r2["term"].alias("t2"), r2["o"].alias("o2"))
