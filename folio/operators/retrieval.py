@@ -77,9 +77,11 @@ def rank_passages(chunks: DataFrame, queries: DataFrame, floor: float, bonus: fl
     qs = F.broadcast(queries.orderBy(*(["ord"] if "ord" in queries.columns else ["q"])).limit(25).select(F.col("q").alias("qv"), F.col("terms")))
     pairs = chunks.crossJoin(qs)  # at most 25 rows on one side
     scored = pairs.groupBy("ord", "block").agg(
-        F.avg(dot(dequantize(F.col("q")), dequantize(F.col("qv")))).alias("cosine"), F.avg(lexical_score(F.col("terms"), F.col("words"))).alias("lexical"), F.min(F.size("q") == F.size("qv")).alias("fits")
+        F.avg(dot(dequantize(F.col("q")), dequantize(F.col("qv")))).alias("cosine"), F.avg(lexical_score(F.col("terms"), F.col("words"))).alias("lexical")
     )
-    good = scored.withColumn("all_fit", F.min("fits").over(W.partitionBy(F.lit(0)))).filter(F.col("all_fit") & (F.col("cosine") >= floor)).withColumn("score", F.col("cosine") + bonus * F.col("lexical"))
+    width = lambda df, c: df.agg(F.min(F.size(c)).alias(f"{c}_lo"), F.max(F.size(c)).alias(f"{c}_hi"))
+    fit = width(chunks, "q").crossJoin(width(qs, "qv")).filter("q_lo = q_hi AND qv_lo = qv_hi AND q_lo = qv_lo").select(F.lit(True).alias("all_fit"))  # one row or none
+    good = scored.crossJoin(F.broadcast(fit)).filter(F.col("cosine") >= floor).withColumn("score", F.col("cosine") + bonus * F.col("lexical"))
     best = good.withColumn("n", F.row_number().over(W.partitionBy("block").orderBy(F.desc("score"), "ord"))).filter("n = 1")
     return best.orderBy(F.desc("score"), "ord").limit(top).withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "ord"))).select("ord", "block", "cosine", "lexical", "score", "rank")
 
