@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import bpe, decontam, fingerprint, langid, neardup, quality, repeats, secrets, sharding, urls
+from folio.llm import audit, bpe, decontam, fingerprint, langid, lloyd, maintext, neardup, quality, repeats, secrets, sharding, urls
 from folio.llm.common import table
 
 
@@ -52,6 +52,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op11_dual_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.report(table(spark, sf_dir, "pages"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_secret_scan": op2_secret_scan,
@@ -63,6 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": op8_repeats,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
+    "op11_dual_tree_lloyd": op11_dual_tree_lloyd,
+    "op12_main_text": op12_main_text,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -70,4 +85,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_url_filter": urls.SQL,
     "op6_fingerprints": fingerprint.SQL,
     "op9_decontamination": decontam.SQL,
+    "op11_dual_tree_lloyd": lloyd.SQL,
+    "op13_filter_audit": audit.SQL,
 }
