@@ -38,7 +38,7 @@ def plain(v):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql_twin(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = queries.QUERIES[name](spark, SF)
     cols = sorted(got.columns)
