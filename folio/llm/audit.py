@@ -125,8 +125,9 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("part"), F.coalesce("text", F.lit("")).alias("text"))
     facts = materialize(rows.mapInArrow(_facts, "doc_id long, part string, fails int, digest binary"), "facts")
-    # only texts that several rows have; a text's rows are pre-aggregated where they lie
-    least = facts.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("digest", "least")
+    # only texts that several rows have; a text's rows are pre-aggregated where they lie. As a table of its own it leaves
+    # both sides of the join bare shuffles, which Spark splits where one text has very many rows
+    least = materialize(facts.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("digest", "least"), "copies")
     marked = facts.join(least, "digest", "left").select("doc_id", "part", (F.col("fails") + F.when(F.col("doc_id") > F.col("least"), 16).otherwise(0)).alias("fails"))
     is_one = lambda c: F.max(F.coalesce(F.col(c) == 1, F.lit(False))).alias(c)
     known = labels.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(is_one("quality"), is_one("toxic"))
@@ -135,7 +136,7 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     names = F.array(*[F.lit("".join(FILTERS[f] for f in order)) for order in ORDERS])
     steps = len(FILTERS)
     out = materialize(sums.select("part", names[F.floor(F.col("place") / steps).cast("int")].alias("filter_order"), (F.col("place") % steps + 1).cast("int").alias("step"), *COUNTS), "audit")
-    drop_tables(facts)
+    drop_tables(facts, least)
     return out
 
 
