@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions.text import ascii_fold, browse_letter, record_hash, search_fold, slug, sort_key
 from folio.functions.vectors import pack
+from folio.sources.versions import Version, VersionedTable
+from folio.staging import staged, unstage
 
 
 def plan(current: DataFrame, previous: DataFrame, same_version: bool = True) -> DataFrame:
@@ -111,21 +116,54 @@ def payloads(chunks: DataFrame, model: str, prefix: str) -> DataFrame:
     return pages.select("key", "dim", "src_hash", F.to_json(F.struct(F.lit(model).alias("model"), "dim", F.lit(prefix).alias("query_prefix"), "src_hash", "chunks")).alias("payload"))
 
 
-def write_version(df: DataFrame, path: str, version: int) -> str:
-    """Write a table as a version of its own; readers take the newest one that is complete (:func:`read_version`)."""
-    target = f"{path}/version={version:010d}"
-    df.write.mode("overwrite").parquet(target)
-    return target
+@dataclass(frozen=True)
+class Rebuilt:
+    """What a rebuild did: the version made, rows computed, taken over and dropped, and buckets written anew."""
+
+    version: Version
+    computed: int
+    reused: int
+    dropped: int
+    buckets: int
 
 
-def read_version(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest complete version of a table; None before the first."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return None
-    done = sorted(s.getPath().toString() for s in fs.listStatus(p) if s.getPath().getName().startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-    return spark.read.parquet(done[-1]) if done else None
+def rebuild(table: VersionedTable, records: DataFrame, render: Callable[[DataFrame], DataFrame], shared: str) -> Rebuilt:
+    """Bring a table of outputs up to date with ``records`` (key, hash, ...), computing only what has changed.
+
+    ``render`` makes output rows (key, ...) of records, one each. A record whose key and hash the newest version has keeps
+    its output. Records that are new or have changed are rendered; outputs whose key has gone go. With another ``shared`` key (of
+    code, templates and whatever else every output hangs on) nothing is kept. Only buckets with a difference are
+    written; the new version points to the old files of the others. Outputs whose files were lost are rendered again. The columns
+    hash and made_in, the version that computed a row, stand beside those of ``render``. A key that comes twice, or a null
+    one, is an error. StaleVersion if another writer commits meanwhile; nothing has changed then.
+    """
+    base = table.current()
+    number = (base.number if base else 0) + 1
+    there = table.there(base) if base else set()
+    now = records.select(F.col(table.key).alias("key"), F.col("hash").alias("h"))
+    if base is not None and base.facts.get("shared") == shared and there:
+        old = table.read(base, there).select(F.col(table.key).alias("key"), F.col("hash").alias("old"))
+    else:  # nothing is a hit, and buckets left without rows fall away with the rest
+        old, there = now.limit(0).select("key", F.col("h").alias("old")), set()
+    now = now.groupBy("key").agg(F.count("*").alias("n"), F.first("h").alias("h"))
+    state = F.when(F.col("n").isNull(), "gone").when(F.col("h") == F.col("old"), "hit").otherwise("miss")
+    states = staged(now.join(old, "key", "full").select(F.col("key").alias(table.key), "n", state.alias("state")).withColumn("bucket", table.bucket()), "states")
+    if wrong := states.filter(F.col(table.key).isNull() | (F.col("n") > 1)).limit(1).collect():
+        raise ValueError(f"records must have a key of their own: {wrong[0][0]}")
+    counts = {(r["bucket"], r["state"]): r["n_rows"] for r in states.groupBy("bucket", "state").agg(F.count("*").alias("n_rows")).collect()}  # three rows a bucket
+    total = lambda s: sum(n for (_, state), n in counts.items() if state == s)
+    touched = {b for b, s in counts if s != "hit"}
+    made = render(records.join(states.filter("state = 'miss'").select(table.key), table.key, "left_semi"))
+    hashed = made.join(records.select(table.key, "hash"), table.key) if "hash" not in made.columns else made
+    rows = hashed.withColumn("made_in", F.lit(number))
+    kept = there & touched
+    if kept:
+        hits = table.read(base, kept).join(states.filter("state = 'hit'").select(table.key), table.key, "left_semi")
+        rows = hits.unionByName(rows)
+    folders = {b: f for b, f in base.buckets.items() if b in there - touched} if base else {}
+    new = table.commit(base, folders | (table.write(rows) if touched else {}), rows.schema, {"shared": shared})
+    unstage(states)
+    return Rebuilt(new, total("miss"), total("hit"), total("gone"), len(touched))
 
 
 def fresh_by_time(pages: DataFrame, vectors: DataFrame, model: str, dim: int, first_pass: bool) -> DataFrame:

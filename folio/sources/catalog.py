@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from folio.functions.text import clean_substance, tokens
 from folio.operators.entities import ordered_distinct_text
+from folio.sources.quoted import has_files, quoted_records
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -64,9 +65,14 @@ def composition(rows: DataFrame, keep: DataFrame) -> DataFrame:
 
 
 def baseline(spark: SparkSession, path: str) -> DataFrame:
-    """(key, html) of a headed, tab-separated file whose quoted cells may hold line ends."""
-    df = spark.read.option("sep", "\t").option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("maxCharsPerColumn", -1).schema("key string, html string").csv(path)
-    return df.filter("html IS NOT NULL OR key IS NOT NULL").select(F.trim("key").alias("key"), F.coalesce("html", F.lit("")).alias("html"))
+    """(key, html) of headed, tab-separated files whose quoted cells may hold line ends, read in byte ranges.
+
+    Rows of fewer than two cells are skipped; a missing path has no rows. See :func:`quoted_records` for what a quote means.
+    """
+    if not has_files(spark, path):
+        return spark.createDataFrame([], "key string, html string")
+    rows = quoted_records(spark, path).filter("record > 0 AND size(cells) >= 2")
+    return rows.select(F.trim(F.col("cells")[0]).alias("key"), F.col("cells")[1].alias("html"))
 
 
 def frequency(spark: SparkSession, path: str) -> DataFrame:

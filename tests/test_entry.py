@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from folio.plans import catalog_queries, page_queries, value_queries
+from folio.plans import catalog_queries, page_queries, store_queries, value_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,8 +21,8 @@ def plain(v):
     return round(v, 9) if isinstance(v, float) else v
 
 
-QUERIES = catalog_queries.QUERIES | page_queries.QUERIES | value_queries.QUERIES
-ORACLE_SQL = catalog_queries.ORACLE_SQL | page_queries.ORACLE_SQL | value_queries.ORACLE_SQL
+QUERIES = catalog_queries.QUERIES | page_queries.QUERIES | value_queries.QUERIES | store_queries.QUERIES
+ORACLE_SQL = catalog_queries.ORACLE_SQL | page_queries.ORACLE_SQL | value_queries.ORACLE_SQL | store_queries.ORACLE_SQL
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
