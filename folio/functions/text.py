@@ -37,13 +37,17 @@ def _fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     return "".join(ones), "".join(ones.values()), tuple(several)
 
 
+def _is_plain(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
+
 def ascii_fold(c: Column) -> Column:
     """NFKD, then everything beyond ASCII deleted: accents go, ligatures like œ vanish."""
     one, to, several = _fold_tables()
     odd = F.translate(c, one, to)
     for char, text in several:
         odd = F.replace(odd, F.lit(char), F.lit(text))
-    return F.when(F.octet_length(c) == F.length(c), c).otherwise(F.regexp_replace(odd, r"[^\x00-\x7F]", ""))
+    return F.when(_is_plain(c), c).otherwise(F.regexp_replace(odd, r"[^\x00-\x7F]", ""))
 
 
 @cache
@@ -61,19 +65,36 @@ def _mark_tables() -> tuple[str, str]:
 def search_fold(c: Column) -> Column:
     """NFD, marks dropped, lower case; letters such as œ stay."""
     one, to = _mark_tables()
-    return F.lower(F.regexp_replace(F.translate(c, one, to), "[̀-ͯ]", ""))
+    return F.when(_is_plain(c), F.lower(c)).otherwise(F.lower(F.regexp_replace(F.translate(c, one, to), "[̀-ͯ]", "")))
 
 
 def same_length_fold(c: Column) -> Column:
     """Upper case and eight groups of accents, one to one, so that offsets stay; œ and ß stay too."""
     source = "".join(chr(i) for i in range(97, 123)) + "".join(g + g.upper() for g, _ in ACCENT_GROUPS)
     target = "".join(chr(i) for i in range(65, 91)) + "".join(b * 2 * len(g) for g, b in ACCENT_GROUPS)
-    return F.translate(c, source, target)
+    return F.when(_is_plain(c), F.upper(c)).otherwise(F.translate(c, source, target))
+
+
+def linkable_words(c: Column) -> Column:
+    """Distinct runs of A-Z and digits of the same-length fold, in order of their first place; null has none."""
+    return F.array_remove(F.array_distinct(F.split(same_length_fold(F.coalesce(c, F.lit(""))), "[^A-Z0-9]+")), "")
+
+
+def distinct_words(c: Column, least: int = 3) -> Column:
+    """The distinct words of :func:`fold_words`, in order."""
+    return F.filter(F.array_distinct(F.split(search_fold(F.coalesce(c, F.lit(""))), "[^a-z0-9]+")), lambda w: F.length(w) >= least)
 
 
 def tokens(c: Column) -> Column:
-    """Distinct runs of A-Z and digits of the folded upper-case text; null has none."""
-    return F.array_distinct(F.filter(F.split(ascii_fold(F.upper(F.coalesce(c, F.lit("")))), "[^A-Z0-9]+"), lambda w: w != ""))
+    """Distinct runs of A-Z and digits of the folded upper-case text, in no order; null has none.
+
+    The text is cut at the ASCII characters that no fold changes; of its distinct parts only those beyond ASCII are folded, all at once.
+    """
+    text = F.coalesce(c, F.lit(""))
+    both = lambda p: F.concat_ws(" ", F.upper(F.array_join(F.filter(p, _is_plain), " ")), ascii_fold(F.upper(F.array_join(F.filter(p, lambda x: ~_is_plain(x)), " "))))
+    # a variable of a lambda, so that the parts are made once
+    mixed = F.get(F.transform(F.array(F.array_distinct(F.split(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))), both), F.lit(0))
+    return F.array_remove(F.array_distinct(F.split(F.when(_is_plain(text), F.upper(text)).otherwise(mixed), "[^A-Z0-9]+")), "")
 
 
 def slug(c: Column, limit: int = 80, empty: str = "rcp") -> Column:

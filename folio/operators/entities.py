@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folio.functions.text import auth_key, same_length_fold, slug, tokens
+from folio.functions.text import auth_key, linkable_words, slug, tokens
 from folio.functions.word_lists import LINK_STOP
+from folio.operators.selection import exact_percentile
 
 
 def signals(entries: DataFrame, *pools: DataFrame) -> DataFrame:
@@ -20,8 +21,9 @@ def signals(entries: DataFrame, *pools: DataFrame) -> DataFrame:
 
 
 def fallback_score(scores: DataFrame, p: float = 0.25) -> DataFrame:
-    """One row: the exact percentile of every score, 0 without any."""
-    return scores.agg(F.coalesce(F.expr(f"percentile(score, {p}D)"), F.lit(0.0)).alias("fallback"))
+    """One row: the exact percentile of every score, found by selection; 0 without any."""
+    found = exact_percentile(scores.select(F.col("score").alias("v")), p)
+    return scores.sparkSession.createDataFrame([(0.0 if found is None else found,)], "fallback double")
 
 
 def score(entries: DataFrame, terms: DataFrame) -> DataFrame:
@@ -68,7 +70,7 @@ def links_in_text(docs: DataFrame, terms: DataFrame, budget: int = 15) -> DataFr
     Words are runs of letters and digits of the folded text. At most ``budget`` links a document, in order of their first
     place (the feature's own limit). Only words that are terms leave the row that holds them.
     """
-    words = docs.select("key", F.posexplode(F.array_distinct(F.split(same_length_fold(F.col("text")), "[^A-Z0-9]+"))).alias("ord", "term")).filter("term <> ''")
+    words = docs.select("key", F.posexplode(linkable_words(F.col("text"))).alias("ord", "term"))
     named = terms.select("term", F.col("key").alias("target"))
     if named.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         named = F.broadcast(named)

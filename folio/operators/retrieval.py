@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.functions.text import collapse, search_fold
 from folio.functions.vectors import dequantize, dot
+from folio.operators import fuzzy
+from folio.staging import staged
 
 
 def instant_search(index: DataFrame, query: str, first: int = 40, top: int = 15) -> DataFrame:
@@ -42,21 +50,6 @@ def lexical_score(terms: Column, words: Column) -> Column:
     return F.when(F.size(terms) > 0, F.aggregate(got, F.lit(0.0), lambda s, x: s + x) / F.size(terms)).otherwise(0.0)
 
 
-def lexical_scores(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(key, lexical): the mean credit of fixed terms on each row's words (key, words); 0 without terms or words.
-
-    Each distinct word of all rows is compared once; only words with some credit go back to the rows that hold them.
-    """
-    if not terms:
-        return docs.select("key", F.lit(0.0).alias("lexical"))
-    words = docs.select("key", F.explode("words").alias("w"))
-    credits = F.array(*[credit(F.lit(t), F.array("w")) for t in terms])
-    known = words.select("w").distinct().select("w", credits.alias("c")).filter(F.exists("c", lambda x: x > 0))
-    best = words.join(known, "w").groupBy("key").agg(*[F.max(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(len(terms))])
-    mean = sum((F.col(f"c{i}") for i in range(len(terms))), F.lit(0.0)) / len(terms)
-    return docs.select("key").join(best.select("key", mean.alias("m")), "key", "left").select("key", F.coalesce("m", F.lit(0.0)).alias("lexical"))
-
-
 def sub_queries(query: str, least: int = 5, most: int = 25, cut: int = 400) -> list[str]:
     """Parts between ``//``: trimmed, distinct, long enough, each cut."""
     out: list[str] = []
@@ -111,22 +104,156 @@ def display_text(hits: DataFrame, blocks: DataFrame) -> DataFrame:
     return named.select("hit", F.coalesce("whole", "snippet").alias("text"))
 
 
-#: Query vectors that are broadcast at most; more of them meet the others in blocks.
-BROADCAST_QUERIES, QUERY_BLOCK = 20_000, 4096
+#: Bytes of query codes that every task holds at most; more queries are taken in slices, one pass over the vectors each.
+BROADCAST_CODES, VECTOR_BLOCK = 32 << 20, 2048
+
+
+def _in_slices(queries: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``run`` on queries (query, q), as many at a time as their codes fit in what a task may hold."""
+    size = queries.agg(F.sum(F.size("q") + 16).alias("b")).first()["b"] or 0
+    slices = -(-size // BROADCAST_CODES)
+    if slices <= 1:
+        return run(queries)
+    part = F.pmod(F.xxhash64("query"), F.lit(slices))
+    return reduce(DataFrame.union, [staged(run(queries.filter(part == i)), "slice") for i in range(slices)])
+
+
+def _matrix(rows: list, width: int, dtype) -> np.ndarray:
+    """Vectors of up to ``width`` components as the rows of a matrix, filled up by zeros, which no dot product counts."""
+    out = np.zeros((len(rows), width), dtype)
+    for i, r in enumerate(rows):
+        out[i, : len(r)] = r
+    return out
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    """A column of int8 lists as a matrix."""
+    size = np.diff(column.offsets.to_numpy())
+    if len(size) and size.min() == size.max() and not column.flatten().null_count:
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    rows = column.to_pylist()
+    return _matrix(rows, max(map(len, rows), default=0), np.int8)
+
+
+def _best(v: np.ndarray, q: np.ndarray, least: int, top: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, vector, dot product) of each query's ``top`` vectors from ``least`` on, of equal ones the first; by blocks of both."""
+    width = max(v.shape[1], q.shape[1])
+    pad = lambda m: np.pad(m, ((0, 0), (0, width - m.shape[1]))).astype(np.float64)  # noqa: E731  exact: sums stay far below 2**53
+    v, n = pad(v), len(v)
+    for lo in range(0, len(q), 1024):
+        # of equal products the earlier vector is greater
+        order = np.rint(pad(q[lo : lo + 1024]) @ v.T).astype(np.int64) * n + (n - 1 - np.arange(n))
+        if n > top:
+            at = np.argpartition(order, n - top, axis=1)[:, n - top :]
+            order = np.take_along_axis(order, at, 1)
+        else:
+            at = np.broadcast_to(np.arange(n), order.shape)
+        i, j = np.nonzero(order // n >= least)
+        yield lo + i, at[i, j], order[i, j] // n
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, floor: float, top: int = 25) -> DataFrame:
     """(query, key, cosine, rank): the ``top`` vectors (key, q) of each query (query, q) with a cosine of ``floor`` or more.
 
-    All queries are compared with all vectors, in blocks of queries. Codes are int8 of unit vectors.
+    All queries are compared with all vectors: blocks of codes as matrices whose product is exact. A block gives each query's
+    best alone, of which the best are taken in a second step; of equal cosines the smaller key comes first. Codes are int8 of unit vectors;
+    of different widths the common components count. Keys are longs; rows whose key or codes are null are left out.
     """
-    qs = queries.select("query", F.col("q").alias("qv"))
-    n = qs.count()
-    if n <= BROADCAST_QUERIES:
-        pairs = vectors.select("key", "q").crossJoin(F.broadcast(qs))
-    else:
-        blocks = -(-n // QUERY_BLOCK)
-        qs = qs.withColumn("b", F.pmod(F.xxhash64("query"), F.lit(blocks)))
-        pairs = vectors.select("key", "q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b")).join(qs, "b").drop("b")
-    scored = pairs.select("query", "key", F.round(dot(dequantize(F.col("q")), dequantize(F.col("qv"))), 8).alias("cosine")).filter(F.col("cosine") >= floor)
+    spark = vectors.sparkSession
+    vs = vectors.filter("q IS NOT NULL AND key IS NOT NULL").select(F.col("key").cast("long").alias("key"), "q")
+    qs = queries.filter("q IS NOT NULL AND query IS NOT NULL").select(F.col("query").cast("long").alias("query"), "q")
+    least = math.ceil((floor - 5e-9) * 127 * 127)  # rounded to eight digits it may reach the floor from there on
+
+    def run(part: DataFrame) -> DataFrame:
+        got = part.toArrow()  # bounded by _in_slices
+        sent = spark.sparkContext.broadcast((got.column(0).to_numpy(), _codes(got.column(1).combine_chunks())))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q = sent.value
+            for b in batches:
+                order = np.argsort(b.column(0).to_numpy(), kind="stable")
+                keys, v = b.column(0).to_numpy()[order], _codes(b.column(1))[order]
+                for lo in range(0, len(keys), VECTOR_BLOCK):
+                    for i, j, s in _best(v[lo : lo + VECTOR_BLOCK], q, least, top):
+                        yield pa.RecordBatch.from_pydict({"query": pa.array(ids[i], pa.int64()), "key": pa.array(keys[lo + j], pa.int64()), "product": pa.array(s, pa.int64())})
+
+        return vs.mapInArrow(scan, "query long, key long, product long")
+
+    scored = _in_slices(qs, run).select("query", "key", F.round(F.col("product") / (127 * 127), 8).alias("cosine")).filter(F.col("cosine") >= floor)
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("cosine"), "key"))).filter(F.col("rank") <= top)
+
+
+def rank_pages(chunks: DataFrame, queries: DataFrame, sections: DataFrame, floor: float, bonus: float = 0.15, top: int = 25) -> DataFrame:
+    """(page, query, ord, block, cosine, lexical, score, rank): each page's best passages for each query.
+
+    ``chunks`` (page, sec, ord, block, q int8 codes), ``sections`` (page, sec, word), ``queries`` (query, sub, q, terms): a query's
+    sub-queries count alike. The score is their mean cosine plus ``bonus`` times their mean lexical score on the chunk's section;
+    the floor is on the cosine alone; a block comes once a page and query, by its best chunk. A chunk of another width than
+    a query is not ranked for it. All queries meet all chunks as matrices; a batch gives each page's and query's best alone,
+    of which the best are taken in a second step. ord must be unique within a page; null codes are no chunks.
+    """
+    spark = chunks.sparkSession
+    subs = queries.filter("q IS NOT NULL").select("query", "sub", "q", F.col("terms"))
+    # the mean of dot products is the dot product with the mean; sums of codes are whole numbers
+    width = subs.groupBy("query").agg(F.count("*").alias("n"), F.min(F.size("q")).alias("w"), F.max(F.size("q")).alias("w1")).filter("w = w1").select("query", "n")
+    sums = subs.join(width, "query").select("query", "n", F.posexplode("q").alias("i", "x")).groupBy("query", "n", "i").agg(F.sum(F.col("x").cast("long")).alias("x"))
+    totals = sums.groupBy("query", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("q"))
+    # the lexical part goes by equality joins, a row only for sections and queries that share something
+    terms = subs.select(F.struct("query", "sub").alias("query"), F.explode("terms").alias("term"))
+    held = sections.select(F.struct("page", "sec").alias("key"), "word")
+    lex = fuzzy.lexical_scores(held, terms).groupBy("key", F.col("query.query").alias("query")).agg(F.sum("lexical").alias("s")).join(width, "query")
+    each = lex.groupBy("key").agg(F.collect_list(F.struct("query", (F.col("s") / F.col("n")).alias("lexical"))).alias("lex")).select("key.page", "key.sec", "lex")
+    rows = chunks.filter("q IS NOT NULL").join(each, ["page", "sec"], "left").select("page", "ord", "block", "q", "lex")
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("page", "ord", "block")} | {"query": queries.schema["query"].dataType.simpleString()}
+    kind = ", ".join(f"{c} {kinds[c]}" for c in ("page", "query", "ord", "block")) + ", cosine double, lexical double, score double"
+
+    def run(part: DataFrame) -> DataFrame:
+        got = part.orderBy("query").toArrow()  # bounded by _in_slices
+        kept = [(r["query"], r["n"], np.array(r["q"], np.float64)) for r in got.to_pylist()]
+        sent, id_type = spark.sparkContext.broadcast(kept), got.schema.field("query").type
+
+        def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                sizes = np.array([len(q) for q in b.column(3)])
+                for w in np.unique(sizes):
+                    if fit := [x for x in sent.value if len(x[2]) == w]:
+                        yield from _ranked(b.take(pa.array(np.flatnonzero(sizes == w))), fit, id_type, floor, bonus, top)
+
+        return rows.mapInArrow(rank, kind)
+
+    order = (F.desc("score"), F.asc("ord"))
+    once = _in_slices(totals, run).withColumn("n", F.row_number().over(W.partitionBy("page", "query", "block").orderBy(*order))).filter("n = 1").drop("n")
+    return once.withColumn("rank", F.row_number().over(W.partitionBy("page", "query").orderBy(*order))).filter(F.col("rank") <= top)
+
+
+def _ranked(b: pa.RecordBatch, queries: list, id_type: pa.DataType, floor: float, bonus: float, top: int) -> Iterator[pa.RecordBatch]:
+    """Of a batch (page, ord, block, q, lex) each page's and query's ``top`` blocks."""
+    number = {q[0]: i for i, q in enumerate(queries)}
+    totals, counts = np.stack([q[2] for q in queries]), np.array([q[1] for q in queries], np.float64)
+    pages, blocks = (b.column(i).dictionary_encode().indices.to_numpy(zero_copy_only=False) for i in (0, 2))
+    place = b.column(1).to_numpy(zero_copy_only=False).argsort(kind="stable").argsort(kind="stable")
+    v = _codes(b.column(3)).astype(np.float64)
+    lex = b.column(4).to_pylist()
+    for lo in range(0, len(queries), 256):
+        hi = min(lo + 256, len(queries))
+        cosine = np.round((v @ totals[lo:hi].T) / counts[lo:hi] / (127 * 127), 8)
+        lexical = np.zeros_like(cosine)
+        for i, found in enumerate(lex):
+            for x in found or ():
+                if lo <= (j := number.get(x["query"], -1)) < hi:
+                    lexical[i, j - lo] = x["lexical"]
+        i, j = np.nonzero(cosine >= floor)
+        score = np.round(cosine[i, j] + bonus * lexical[i, j], 8)
+        order = np.lexsort((place[i], -score, j, pages[i]))
+        i, j, score = i[order], j[order], score[order]
+        # the first of each block, then the first ``top`` of each page and query
+        group = pages[i].astype(np.int64) * (hi - lo) + j
+        _, first = np.unique(group * (int(blocks.max(initial=0)) + 1) + blocks[i], return_index=True)
+        first.sort()
+        i, j, score, group = i[first], j[first], score[first], group[first]
+        begin = np.searchsorted(group, group)
+        keep = np.arange(len(group)) - begin < top
+        i, j, score = i[keep], j[keep], score[keep]
+        if len(i):
+            take = pa.array(i)
+            yield pa.RecordBatch.from_pydict({"page": b.column(0).take(take), "query": pa.array([queries[lo + k][0] for k in j.tolist()], id_type), "ord": b.column(1).take(take), "block": b.column(2).take(take), "cosine": cosine[i, j], "lexical": lexical[i, j], "score": score})

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from folio.functions import text as X
 from folio.functions.vectors import dequantize, dot, quantize, truncate_and_normalize
 from folio.functions.word_lists import LINK_STOP
-from folio.operators import entities, freshness, html_blocks, incremental, retrieval
+from folio.operators import entities, freshness, fuzzy, html_blocks, incremental, retrieval
 from folio.sources import catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,16 +38,7 @@ def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1, AG1: in how many documents each token occurs, accents folded."""
-    return _token_frequency(read(spark, sf_dir, "documents"))
-
-
-def token_frequency_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same under its former name."""
-    return token_frequency(spark, sf_dir)
-
-
-def _token_frequency(d: DataFrame) -> DataFrame:
-    return d.select(F.explode(X.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n_docs"))
+    return read(spark, sf_dir, "documents").select(F.explode(X.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n_docs"))
 
 
 def record_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +90,7 @@ def term_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DO5, W6, J7: the first 15 linked terms of each document, each once, none to itself; terms are its frequent long words."""
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
-    words = d.select("key", F.explode(F.array_distinct(F.split(X.same_length_fold(F.col("text")), "[^A-Z0-9]+"))).alias("term")).filter("term RLIKE '^[A-Z]{6,}$'")
+    words = d.select("key", F.explode(X.linkable_words(F.col("text"))).alias("term")).filter("term RLIKE '^[A-Z]{6,}$'")
     terms = words.groupBy("term").agg(F.count("*").alias("n"), F.min("key").alias("key")).filter("n >= 5")
     return entities.links_in_text(d, terms).select("key", F.col("ord").cast("long").alias("ord"), "term", "target")
 
@@ -180,13 +171,10 @@ def truncated_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F8, F17, RT5, RT6: lexical score of three terms on each document's distinct words, accents folded."""
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.array_distinct(X.fold_words(F.col("text"))).alias("words"))
-    return retrieval.lexical_scores(d, ["tion", "thered", "under"]).select(F.col("key").alias("doc_id"), F.round("lexical", 6).alias("lexical"))
-
-
-def word_credit_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same under its former name."""
-    return word_credit(spark, sf_dir)
+    d = read(spark, sf_dir, "documents")
+    terms = spark.createDataFrame([(0, t) for t in ("tion", "thered", "under")], "query int, term string")
+    got = fuzzy.lexical_scores(d.select(F.col("doc_id").alias("key"), F.explode(X.distinct_words(F.col("text"))).alias("word")), terms)
+    return d.select("doc_id").join(got.select(F.col("key").alias("doc_id"), "lexical"), "doc_id", "left").select("doc_id", F.round(F.coalesce("lexical", F.lit(0.0)), 6).alias("lexical"))
 
 
 def due_users(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,7 +248,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         instant_search, text_scalars, token_frequency, record_hashes, incremental_plan, first_of_copies, letter_counts, best_order, percentile_fallback, term_scores, document_links, overlay_states,
         borrowed_orders, customers_without_orders, word_prefixes, vector_codes, nearest_vectors, truncated_vectors, word_credit, due_users, rolling_requests, outcomes, json_props, canonical_urls, page_blocks,
-        page_chunks, shared_tokens, ordered_types, title_changes, token_frequency_all, word_credit_all, best_terms, outcome_counts, ranked_passages,
+        page_chunks, shared_tokens, ordered_types, title_changes, best_terms, outcome_counts, ranked_passages,
     )
 }
 
@@ -339,5 +327,3 @@ ORACLE_SQL: dict[str, str] = {
     "ordered_types": """SELECT p_brand, string_agg(s, ';' ORDER BY o) AS text FROM (SELECT p_brand, lower(p_type) AS l, arg_min(p_type, p_partkey) AS s, min(p_partkey) AS o FROM part GROUP BY 1, 2) GROUP BY p_brand""",
     "title_changes": "SELECT conv_id, turn, role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS changes FROM conversations",
 }
-
-ORACLE_SQL |= {"token_frequency_all": ORACLE_SQL["token_frequency"], "word_credit_all": ORACLE_SQL["word_credit"]}

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.operators import incremental
-from folio.plans.catalog_queries import Query, read
+from folio.functions import text as X
+from folio.functions.vectors import quantize
+from folio.operators import fuzzy, incremental, retrieval
+from folio.plans.catalog_queries import _BARE, _MARKED, _Q, Query, _literal, read
 from folio.sources import catalog
 from folio.sources.versions import VersionedTable
 from folio.staging import hadoop, stage_path, staged
@@ -52,11 +54,53 @@ def incremental_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.lit(n).cast("long") for c, n in (("n_computed", done.computed), ("n_reused", done.reused), ("n_dropped", done.dropped))})
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (quoted_ranges, incremental_rebuild)}
+def _least_words(text: Column) -> Column:
+    """A text's first three words in alphabetical order, of five letters or more."""
+    return F.slice(F.array_sort(F.filter(X.distinct_words(text), lambda w: F.length(w) >= 5)), 1, 3)
+
+
+def fuzzy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J17, F17, RT5: words of all documents that match words of part names and types, with their credit."""
+    words = read(spark, sf_dir, "documents").select(F.explode(X.distinct_words(F.col("text"))).alias("word"))
+    terms = read(spark, sf_dir, "part").select(F.explode(X.distinct_words(F.concat_ws(" ", "p_name", "p_type", F.lit("thered underest ingtion")))).alias("term"))
+    return fuzzy.matches(words, terms)
+
+
+def ranked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J16, RT7, AG18, RT6: every label's vectors as a page's chunks, ranked for two sub-queries with words, in one job.
+
+    A query is a vector whose id is divisible by 50, with the next one; words of a chunk's section and of a sub-query are
+    those of the document of the same number.
+    """
+    e = read(spark, sf_dir, "embeddings").select("vec_id", "label", quantize(F.col("embedding")).alias("q"))
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    chunks = e.select(F.col("label").alias("page"), F.col("vec_id").alias("sec"), F.col("vec_id").alias("ord"), F.floor(F.col("vec_id") / 2).alias("block"), "q")
+    sections = e.join(d, "vec_id").select(F.col("label").alias("page"), F.col("vec_id").alias("sec"), F.explode(X.distinct_words(F.col("text"))).alias("word"))
+    subs = e.filter("vec_id % 50 IN (0, 1)").join(d, "vec_id").select((F.col("vec_id") - F.col("vec_id") % 50).alias("query"), (F.col("vec_id") % 50).alias("sub"), "q", _least_words(F.col("text")).alias("terms"))
+    got = retrieval.rank_pages(chunks, subs, sections, 0.0, top=10)
+    return got.select("page", "query", "ord", "block", F.round("cosine", 6).alias("cosine"), F.round("lexical", 6).alias("lexical"), F.col("rank").cast("long").alias("rank"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (quoted_ranges, incremental_rebuild, fuzzy_terms, ranked_pages)}
+
+_WORDS = f"list_distinct(list_filter(regexp_split_to_array(lower(translate({{}}, '{_literal(_MARKED)}', '{_literal(_BARE)}')), '[^a-z0-9]+'), lambda x: length(x) >= 3))"
+_CREDIT = """CASE WHEN word = term THEN 1.0 WHEN length(term) >= 4 AND length(word) >= 4 AND (starts_with(word, term) OR starts_with(term, word)) THEN 0.85
+        WHEN abs(length(term) - length(word)) <= 2 AND levenshtein(term, word) <= CASE WHEN length(term) <= 5 THEN 1 ELSE 2 END THEN 0.7 ELSE 0.0 END"""
 
 ORACLE_SQL: dict[str, str] = {
     "quoted_ranges": "SELECT doc_id, length(coalesce(text, ''))::BIGINT AS n_chars, sha256(coalesce(text, '')) AS hash FROM documents",
     "incremental_rebuild": """WITH d AS (SELECT d.*, coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0 AS made FROM documents d LEFT JOIN labels USING (doc_id))
       SELECT doc_id, upper(lang) AS lang, length(text)::BIGINT AS n_chars, md5(text) AS page, CASE WHEN made THEN 2 ELSE 1 END::BIGINT AS made_in,
       count(*) FILTER (made) OVER ()::BIGINT AS n_computed, count(*) FILTER (NOT made) OVER ()::BIGINT AS n_reused, (SELECT count(*) FROM documents WHERE lang = 'es') AS n_dropped FROM d""",
+    "fuzzy_terms": f"""WITH w AS (SELECT DISTINCT unnest({_WORDS.format('text')}) AS word FROM documents), t AS (SELECT DISTINCT unnest({_WORDS.format("p_name || ' ' || p_type || ' thered underest ingtion'")}) AS term FROM part)
+      SELECT term, word, credit FROM (SELECT term, word, CAST({_CREDIT} AS DOUBLE) AS credit FROM w, t) WHERE credit > 0""",
+    "ranked_pages": f"""WITH e AS (SELECT vec_id, label, list_transform({_Q}, lambda x: x / 127) AS q FROM embeddings), d AS (SELECT doc_id AS vec_id, {_WORDS.format('text')} AS ws FROM documents),
+      s AS (SELECT vec_id - vec_id % 50 AS query, vec_id AS sub, q, list_sort(list_filter(ws, lambda x: length(x) >= 5))[1:3] AS ts FROM e JOIN d USING (vec_id) WHERE vec_id % 50 IN (0, 1)),
+      t AS (SELECT query, sub, unnest(ts) AS term FROM s), w AS (SELECT vec_id, unnest(ws) AS word FROM e JOIN d USING (vec_id)),
+      c AS (SELECT * FROM (SELECT term, word, CAST({_CREDIT} AS DOUBLE) AS credit FROM (SELECT DISTINCT term FROM t), (SELECT DISTINCT word FROM w)) WHERE credit > 0),
+      b AS (SELECT vec_id, term, max(credit) AS credit FROM w JOIN c USING (word) GROUP BY ALL), n AS (SELECT sub, count(*) AS n FROM t GROUP BY sub),
+      l AS (SELECT vec_id, query, sum(credit / n) / (SELECT count(*) FROM s WHERE s.query = t.query) AS lexical FROM b JOIN t USING (term) JOIN n USING (sub) GROUP BY vec_id, query),
+      p AS (SELECT label AS page, query, e.vec_id AS ord, e.vec_id // 2 AS block, round(avg(list_dot_product(e.q, s.q)), 8) AS cosine FROM e, s GROUP BY ALL HAVING cosine >= 0.0),
+      r AS (SELECT p.*, coalesce(lexical, 0) AS lexical, round(cosine + 0.15 * coalesce(lexical, 0), 8) AS score FROM p LEFT JOIN l ON l.vec_id = p.ord AND l.query = p.query QUALIFY row_number() OVER (PARTITION BY page, p.query, block ORDER BY score DESC, ord) = 1)
+      SELECT page, query, ord, block, round(cosine, 6) AS cosine, round(lexical, 6) AS lexical, row_number() OVER (PARTITION BY page, query ORDER BY score DESC, ord) AS rank FROM r QUALIFY rank <= 10""",
 }

@@ -42,7 +42,7 @@ def test_oracle(spark, name):
 def test_queries_over_all_documents(spark, tmp_path):
     docs = [(1, "Únder the thered élève"), (2, "under eleve"), (3, None), (4, "Übung, über")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r["token"]: r["n_docs"] for r in catalog_queries.QUERIES["token_frequency_all"](spark, str(tmp_path)).collect()}
+    got = {r["token"]: r["n_docs"] for r in catalog_queries.QUERIES["token_frequency"](spark, str(tmp_path)).collect()}
     assert got == {"UNDER": 2, "THE": 1, "THERED": 1, "ELEVE": 2, "UBUNG": 1, "UBER": 1}
-    got = {r["doc_id"]: r["lexical"] for r in catalog_queries.QUERIES["word_credit_all"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["lexical"] for r in catalog_queries.QUERIES["word_credit"](spark, str(tmp_path)).collect()}
     assert got == {1: 0.666667, 2: 0.333333, 3: 0.0, 4: 0.0}
