@@ -19,6 +19,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +33,8 @@ MAX_STATES, MAX_PIECES, MAX_PAIRS, LOOK = 250_000, 120_000, 200_000, 48
 PAIR_BITS = 19
 #: Characters of text whose pieces are held at a time.
 GROUP_CHARS = 1 << 19
+#: Characters of text that are encoded and handed on at a time, unless one text has more.
+PART_CHARS = 1 << 20
 #: What ends at a state instead of a token: the start of the text, and nothing.
 START, NONE = -1, -2
 _BASE = 0x9E3779B97F4A7C15
@@ -424,24 +428,45 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", out
     return df.withColumn(out, ids(F.col(text)))
 
 
-def encode_checked(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", out: tuple[str, str] = ("token_ids", "round_trip")) -> DataFrame:
+def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Rows from and to, of some PART_CHARS characters together; a longer text is a part of its own."""
+    ends = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART_CHARS, "right")))
+        yield at, to
+        at = to
+
+
+def encode_checked(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", out: tuple[str, str] = ("token_ids", "round_trip"), keep: list[str] | None = None) -> DataFrame:
     """Add the columns ``out``: the ids, as :func:`encode` does, and whether decoding them as a stream gives the text back.
 
-    One function in one worker does both, so that a task holds one vocabulary and the decoded text stays where it is made.
+    One function in one worker does both, a part of a batch at a time, whose ids are one flat array with offsets: a task holds the
+    vocabulary and a part, however long its texts are together. Columns of these names are replaced. Of the other columns all
+    pass through, or those of ``keep``: texts that are not among them don't come back from the workers.
     """
+    kept = [c for c in (df.columns if keep is None else keep) if c not in out]
+    plain = df.select(*kept)
 
-    @F.pandas_udf("ids array<int>, same boolean")
-    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, pieces = _coder(vocabulary, pattern)
         try:
-            for texts in batches:
-                ids = list(encode_texts(texts, coder, pieces))
-                yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "same": [decode_ids(i, coder) == (t or "") for i, t in zip(ids, texts, strict=True)]})
+            for b in batches:
+                for lo, hi in _parts(b.column(0)):
+                    texts, *part = (c.slice(lo, hi - lo) for c in b.columns)
+                    texts = texts.to_pylist()
+                    ids, same = [], []
+                    for t, i in zip(texts, encode_texts(texts, coder, pieces), strict=True):
+                        ids.append(i)
+                        same.append(decode_ids(i, coder) == (t or ""))
+                    offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
+                    listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+                    yield pa.RecordBatch.from_arrays([*part, listed, pa.array(same)], [*kept, *out])
         finally:
             coder.clear()
 
-    named = df.withColumn("_folio_coded", both(F.col(text)))
-    return named.withColumns({out[0]: F.col("_folio_coded.ids"), out[1]: F.col("_folio_coded.same")}).drop("_folio_coded")
+    schema = T.StructType([*plain.schema.fields, T.StructField(out[0], T.ArrayType(T.IntegerType())), T.StructField(out[1], T.BooleanType())])
+    return df.select(F.col(text).alias("_folio_text"), *kept).mapInArrow(both, schema)
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:

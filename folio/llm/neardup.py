@@ -10,6 +10,7 @@ than there are texts. Classes are the connected components of the links.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,8 +37,9 @@ ROUNDS = ((0, 4), (4, BANDS))
 #: Texts of a block, which one task compares. Where more than SPLIT texts of a bucket stand beside its largest class,
 #: the bucket is split by each further band; after LEVELS bands all blocks of what is left meet.
 GROUP, SPLIT, LEVELS = 512, 16 * 512, 3
-#: Texts whose ids are broadcast to the shingles at most; more of them meet by shuffle.
-BROADCAST_TEXTS = 300_000
+#: Rows that are dropped and broadcast at most; more of them meet the documents by shuffle. The same in bytes for texts with the
+#: places in which they are compared, some PLACE_BYTES each.
+BROADCAST_TEXTS, BROADCAST_BYTES, PLACE_BYTES = 300_000, 16 << 20, 32
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -125,8 +127,8 @@ def samples(ids: np.ndarray, weights: np.ndarray, offsets: np.ndarray) -> np.nda
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = [(rep, *shingles(t)) for rep, t in zip(b["rep"], b["text"], strict=True)]
-        yield pd.DataFrame([(rep, ids.tobytes(), counts.tobytes()) for rep, ids, counts in rows if len(ids)], columns=["rep", "ids", "counts"])
+        rows = [(rep, key, least, *shingles(t)) for rep, key, least, t in zip(b["rep"], b["key"], b["least"], b["text"], strict=True)]
+        yield pd.DataFrame([(*of, ids.tobytes(), counts.tobytes()) for *of, ids, counts in rows if len(ids)], columns=["rep", "key", "least", "ids", "counts"])
     give_back()
 
 
@@ -180,8 +182,9 @@ def _sampler(shared):
     return sample
 
 
-def _block_links(b: dict[str, np.ndarray], lo: int, hi: int, idf_share: np.ndarray) -> list[tuple[int, int]]:
-    """Of a block, the rows from lo to hi, or of its rows of side 0 with those of side 1: links of SIMILARITY or more that connect two classes."""
+def _block_links(b: dict[str, np.ndarray], lo: int, hi: int, idf_share: np.ndarray) -> list[tuple[int, int, float]]:
+    """Of a block, the rows from lo to hi, or of its rows of side 0 with those of side 1: links of SIMILARITY or more that connect
+    two classes, with their similarity."""
     n, reps, codes = hi - lo, b["rep"][lo:hi], np.frombuffer(b"".join(b["codes"][lo:hi]), np.uint8).reshape(hi - lo, -1)
     cut = int((b["side"][lo:hi] == 0).sum())
     twice, label = cut < n, b["comp"][lo:hi].copy()
@@ -207,10 +210,11 @@ def _block_links(b: dict[str, np.ndarray], lo: int, hi: int, idf_share: np.ndarr
         at = np.arange(int(length.sum())) + np.repeat(offsets[to] - first, length)
         least = np.add.reduceat(np.minimum(dense[place[at]], w[at]), first, dtype=np.float64)
         dense[place[own]] = 0
-        linked = to[least >= SIMILARITY * (sums[a] + sums[to] - least)]
-        if len(linked):
+        close = np.flatnonzero(least >= SIMILARITY * (sums[a] + sums[to] - least))
+        if len(close):
+            linked, alike = to[close], (least / (sums[a] + sums[to] - least))[close]
             met, at = np.unique(label[linked], return_index=True)
-            out += [(int(reps[a]), r) for r in reps[linked[at]].tolist()]
+            out += [(int(reps[a]), r, x) for r, x in zip(reps[linked[at]].tolist(), alike[at].tolist(), strict=True)]
             label[np.isin(label, met)] = label[a]
     return out
 
@@ -229,7 +233,7 @@ def _linker(shared):
                 new[1:] |= b[c][1:] != b[c][:-1]
             cuts = [0, *np.flatnonzero(new).tolist()]
             out = [x for lo, hi in zip(cuts[:-1], cuts[1:], strict=True) if hi - lo > 1 for x in _block_links(b, lo, hi, shared.value)]
-            return pd.DataFrame(out, columns=["src", "dst"], dtype=np.int64), cuts[-1]
+            return pd.DataFrame(out, columns=["src", "dst", "similarity"]).astype({"src": np.int64, "dst": np.int64, "similarity": np.float64}), cuts[-1]
 
         for b in batches:
             if not len(b):
@@ -257,6 +261,7 @@ class _Linking:
     def __init__(self, features: DataFrame, sampled: DataFrame, shared):
         self.spark, self.features, self.sampled, self.shared = features.sparkSession, features, sampled, shared
         self.classes: DataFrame | None = None  # (node, component) of linked texts
+        self.found: list[DataFrame] = []  # (src, dst, similarity)
 
     def joined(self, rows: DataFrame) -> DataFrame:
         """``rows`` (rep, ...) with comp, the class of a text so far."""
@@ -268,19 +273,43 @@ class _Linking:
         """Link the texts of ``tasks`` (rep, comp, key, i, j, side) that share (key, i, j); ``classes`` are brought up to date."""
         at = tasks.groupBy("rep").agg(F.first("comp").alias("comp"), F.collect_list(F.struct("key", "i", "j", "side")).alias("at"))
         at = materialize(at, "tasks")
-        near = F.broadcast(at) if small_enough(at, BROADCAST_TEXTS) else at
+        size = at.agg(F.sum(F.size("at") * PLACE_BYTES + PLACE_BYTES).alias("b")).first()["b"] or 0
+        near = F.broadcast(at) if size <= BROADCAST_BYTES else at
         # one row a text until it is copied to its tasks
         rows = self.features.join(near, "rep").join(self.sampled.select("rep", "codes"), "rep").select("rep", "comp", "codes", "ids", "counts", F.explode("at").alias("x")).select("*", "x.*").drop("x")
         # many blocks are small: they go through a task one after the other, without a frame for each
         rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "rep")
-        links = materialize(rows.mapInPandas(_linker(self.shared), "src long, dst long"), "links")
+        links = materialize(rows.mapInPandas(_linker(self.shared), "src long, dst long, similarity double"), "links")
         release_shuffles(self.spark)
-        before = self.classes
-        edges = links if before is None else links.union(before)
+        before, edges = self.classes, links.select("src", "dst")
         if links.limit(1).count():
-            self.classes = materialize(components(edges), "components")
+            self.classes = materialize(components(edges if before is None else edges.union(before)), "components")
+            self.found.append(links)
             drop_tables(*([before] if before is not None else []))
-        drop_tables(at, links)
+        else:
+            drop_tables(links)
+        drop_tables(at)
+
+    def named(self) -> DataFrame:
+        """(key, class_id, class_key, n_links, linked_id, similarity) of the linked texts.
+
+        A class is named by the least (doc_id, key) of its texts; of a text's links, which are as few as connect its class, the
+        one of the greatest similarity is given, by the least doc_id of the text at its other end.
+        """
+        texts = self.features.select("rep", "key", "least")
+        if self.classes is None:
+            none = texts.limit(0)
+            return none.select("key", F.col("least").alias("class_id"), F.col("key").alias("class_key"), F.lit(0).cast("long").alias("n_links"), F.col("least").alias("linked_id"), F.lit(0.0).alias("similarity"))
+        linked = materialize(texts.join(self.classes.withColumnRenamed("node", "rep"), "rep"), "linked")
+        heads = linked.groupBy("component").agg(F.min(F.struct("least", "key")).alias("head"))
+        links = reduce(DataFrame.union, self.found)
+        other = links.join(linked.select(F.col("rep").alias("dst"), F.col("least").alias("b")), "dst").join(linked.select(F.col("rep").alias("src"), F.col("least").alias("a")), "src")
+        both = other.select(F.col("src").alias("rep"), F.col("b").alias("to"), "similarity").union(other.select(F.col("dst").alias("rep"), F.col("a").alias("to"), "similarity"))
+        best = both.groupBy("rep").agg(F.count("*").alias("n_links"), F.max(F.struct("similarity", -F.col("to"))).alias("x"))
+        got = linked.join(heads, "component").join(best, "rep")
+        out = materialize(got.select("key", F.col("head.least").alias("class_id"), F.col("head.key").alias("class_key"), "n_links", (-F.col("x.col2")).alias("linked_id"), "x.similarity"), "named")
+        drop_tables(linked, self.classes, *self.found)
+        return out
 
     def resolve(self, buckets: DataFrame, level: int = 1) -> None:
         """Link all texts of ``buckets`` (rep, key, used) that share a key; ``used`` are the bands that a key is made of."""
@@ -316,47 +345,55 @@ class _Linking:
 
 
 def _classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, key, class_id): one row per row of ``docs``; key is the md5 of the text."""
+    """(doc_id, key, class_id, class_key, n_links, linked_id, similarity): one row per row of ``docs``.
+
+    key is the md5 of the text; the text that a class is named by has the keys class_id and class_key.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("key", F.md5(F.col("text").cast("binary")))
-    # copies are merged where they lie, then shuffled
-    texts = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("text").alias("text")).filter("rep IS NOT NULL")
-    features = materialize(texts.select("rep", "text").mapInPandas(_features, "rep long, ids binary, counts binary"), "shingles")
+    # copies are merged where they lie, then shuffled. A text gets a number of its own, as one id may have several texts
+    texts = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("text").alias("text")).filter("least IS NOT NULL").withColumn("rep", F.monotonically_increasing_id())
+    features = materialize(texts.select("rep", "key", "least", "text").mapInPandas(_features, "rep long, key string, least long, ids binary, counts binary"), "shingles")
     release_shuffles(spark)  # that of the texts
     shared = spark.sparkContext.broadcast(idf_shares(features))  # 2**DF_BITS numbers
-    sampled = materialize(features.mapInPandas(_sampler(shared), "rep long, bands array<long>, codes binary"), "samples")
+    sampled = materialize(features.select("rep", "ids", "counts").mapInPandas(_sampler(shared), "rep long, bands array<long>, codes binary"), "samples")
     linking = _Linking(features, sampled, shared)
     for lo, hi in ROUNDS:
         banded = sampled.select("rep", F.explode(F.slice("bands", lo + 1, hi - lo)).alias("key"))
         linking.resolve(banded.withColumn("used", F.array("key")))
+    named = linking.named()
     keys = rows.select("doc_id", "key")
-    reps = keys.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    reps = linking.joined(reps).select("key", "comp")
-    out = materialize(keys.join(reps, "key", "left").select("doc_id", "key", F.coalesce("comp", "doc_id").alias("class_id")), "classes")
-    drop_tables(features, sampled, *([linking.classes] if linking.classes is not None else []))
+    own = keys.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"))
+    own = own.join(named, "key", "left").select("key", F.coalesce("class_id", "least").alias("class_id"), F.coalesce("class_key", "key").alias("class_key"), "n_links", "linked_id", "similarity")
+    joined = keys.join(own, "key", "left")
+    out = materialize(joined.select("doc_id", "key", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "class_key", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "linked_id", "similarity"), "classes")
+    drop_tables(features, sampled, named)
     release_shuffles(spark)
     return out
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, class_id): one row per row of ``docs``; class_id is the least doc_id of its class.
+    """(doc_id, class_id, n_links, linked_id, similarity): one row per row of ``docs``; class_id is the least doc_id of its class.
 
     Equal texts are one class (empty ones too), and so are texts connected by links of 0.8 or more. A null text is a
     class of its own, whose class_id is its doc_id. Ids must be integers; rows with a null id get the class of their
-    text, which is null if no other row has it. Repeated rows stay; an empty table gives none; other columns play no part.
+    text, which is null if no other row has it. An id with several texts may be in several classes. Repeated rows stay; an empty
+    table gives none; other columns play no part. n_links counts the links of a row's text among those that were needed to connect
+    its class: a class of n different texts has at least n - 1. linked_id and similarity are those of the closest of them.
     """
-    return _classes(docs, doc_id, text).select("doc_id", "class_id")
+    return _classes(docs, doc_id, text).select("doc_id", "class_id", "n_links", "linked_id", "similarity")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each class: the rows of ``docs`` whose doc_id is the least of its class; all columns stay.
+    """One document of each class: that of the least doc_id, of several texts of that id in the class the one of least md5; all columns stay.
 
     Rows that repeat both doc_id and text count once; rows with a null id stay only where no row of their class has one.
     The rows to be dropped are brought to the documents, by broadcast where they are few, else by shuffle.
     """
-    each = _classes(docs).groupBy("doc_id", "key").agg(F.first("class_id").alias("class_id"), F.count("*").alias("n"))
-    marks = each.select(F.col("doc_id").alias("_folio_id"), F.col("key").alias("_folio_key"), F.col("doc_id").eqNullSafe(F.col("class_id")).alias("_folio_kept"), (F.col("n") > 1).alias("_folio_again"))
+    each = _classes(docs).groupBy("doc_id", "key").agg(F.first("class_id").alias("class_id"), F.first("class_key").alias("class_key"), F.count("*").alias("n"))
+    is_head = F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("key").eqNullSafe(F.col("class_key"))
+    marks = each.select(F.col("doc_id").alias("_folio_id"), F.col("key").alias("_folio_key"), is_head.alias("_folio_kept"), (F.col("n") > 1).alias("_folio_again"))
     gone = materialize(marks.filter("NOT _folio_kept OR _folio_again"), "dropped")
     on = docs["doc_id"].cast("long").eqNullSafe(F.col("_folio_id")) & F.md5(docs["text"].cast("binary")).eqNullSafe(F.col("_folio_key"))
     near = F.broadcast if small_enough(gone, BROADCAST_TEXTS) else (lambda df: df)

@@ -12,7 +12,8 @@ from __future__ import annotations
 import json
 import math
 import uuid
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -23,6 +24,8 @@ from folio.llm.common import drop_path, new_path, release_shuffles
 
 #: Arrivals that one call commits one by one; a table with more values of its key has them grouped into so many.
 MAX_ARRIVALS = 1000
+#: After so many versions a merge also looks for folders that a crash has left.
+ORPHANS_EVERY = 64
 
 
 @dataclass(frozen=True)
@@ -34,6 +37,8 @@ class Run:
     rows: int
     size: int
     arrivals: int
+    #: of the columns as they are stored, in JSON
+    schema: str = ""
 
 
 class ConflictError(RuntimeError):
@@ -79,10 +84,15 @@ class ShardStore:
             text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        return [Run(r["name"], tuple(r["parts"]), r["rows"], r["size"], r["arrivals"]) for r in json.loads(text)["runs"]]
+        return [Run(**r | {"parts": tuple(r["parts"])}) for r in json.loads(text)["runs"]]
 
     def commit(self, runs: list[Run], base: int) -> int:
-        """Make ``runs`` version ``base + 1``; ConflictError if that exists."""
+        """Make ``runs`` version ``base + 1``; ConflictError if there is one, or was.
+
+        Versions are forgotten in time, so that a free name alone says little: ``base`` must be the newest still.
+        """
+        if self.version() != base:
+            raise ConflictError(f"version {base} is no longer the newest")
         to, aside = self._manifest(base + 1), self._path(f"{self.root}/manifest/.{uuid.uuid4().hex}")
         out = self._fs.create(aside, False)
         try:
@@ -119,13 +129,35 @@ class ShardStore:
         seen = Observation()
         part = f"data/{name}-{uuid.uuid4().hex[:8]}"
         rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(F.expr(size)).alias("size")).write.parquet(f"{self.root}/{part}")
-        return Run(name, (part,), seen.get["rows"], int(seen.get["size"] or 0), arrivals)
+        return Run(name, (part,), seen.get["rows"], int(seen.get["size"] or 0), arrivals, rows.schema.json())
+
+    def _refuse_other_types(self, rows: DataFrame, runs: list[Run]) -> None:
+        """ValueError if a column of ``rows`` has another type in some run."""
+        new = {f.name: f.dataType for f in rows.schema}
+        for schema in {r.schema for r in runs if r.schema}:
+            for f in StructType.fromJson(json.loads(schema)):
+                if f.name in new and new[f.name] != f.dataType:
+                    raise ValueError(f"column {f.name} is {f.dataType.simpleString()} in the store, not {new[f.name].simpleString()}")
+
+    def _commit_arrival(self, run: Run) -> int:
+        """Commit a run that is written, after whatever other writers have committed meanwhile."""
+        while True:
+            base = self.version()
+            try:
+                return self.commit([*self.runs(base), replace(run, name=f"run-{base + 1:08d}")], base)
+            except ConflictError:  # an arrival goes with any version
+                continue
 
     def append(self, rows: DataFrame, size: str = "1", merge: bool = True) -> int:
-        """Add an arrival as an immutable run and commit it; then merge what is due. ``size`` is SQL for a row's bytes."""
+        """Add an arrival as an immutable run and commit it; then merge what is due. ``size`` is SQL for a row's bytes.
+
+        Runs may have different columns, of which a read fills those that a run lacks with nulls; a column of another type
+        than in the store is a ValueError, and nothing is stored. Any other error means that the arrival isn't in either, unless the
+        merge after it fails: other writers' commits are no error, an arrival goes in behind them and a merge is made anew.
+        """
         base = self.version()
-        name = f"run-{base + 1:08d}"
-        version = self.commit([*self.runs(base), self._write(rows, name, size, 1)], base)
+        self._refuse_other_types(rows, self.runs(base))
+        version = self._commit_arrival(self._write(rows, f"run-{base + 1:08d}", size, 1))
         return self.compact() if merge else version
 
     def append_all(self, rows: DataFrame, key: str, keys: list, size: str = "1") -> int:
@@ -134,6 +166,7 @@ class ShardStore:
         Each arrival is written as ceil(its size / target) files, its rows dealt among them at random.
         """
         folder = f"data/arrivals-{uuid.uuid4().hex[:8]}"
+        self._refuse_other_types(rows, self.runs())
         if not keys:
             return self.version()
         table = self.spark.createDataFrame([(k, i) for i, k in enumerate(keys)], StructType([StructField("_folio_key", rows.schema[key].dataType), StructField("_folio_arrival", IntegerType())]))
@@ -148,9 +181,7 @@ class ShardStore:
         version = self.version()
         for i in range(len(keys)):
             if i in sizes:
-                base = self.version()
-                run = Run(f"run-{base + 1:08d}", (f"{folder}/_folio_arrival={i}",), sizes[i]["rows"], int(sizes[i]["size"] or 0), 1)
-                self.commit([*self.runs(base), run], base)
+                self._commit_arrival(Run("", (f"{folder}/_folio_arrival={i}",), sizes[i]["rows"], int(sizes[i]["size"] or 0), 1, rows.schema.json()))
                 version = self.compact()
         return version
 
@@ -174,13 +205,20 @@ class ShardStore:
             part = f"data/{name}-{uuid.uuid4().hex[:8]}"
             # as many tasks as files, each of which reads whole splits; a file that gets too long goes on in another
             files, count = self._files(size), sum(r.rows for r in merge)
-            self._read(merge).coalesce(files).write.option("maxRecordsPerFile", max(1, math.ceil(count / files))).parquet(f"{self.root}/{part}")
-            run = Run(name, (part,), sum(r.rows for r in merge), size, sum(r.arrivals for r in merge))
+            rows = self._read(merge)
+            rows.coalesce(files).write.option("maxRecordsPerFile", max(1, math.ceil(count / files))).parquet(f"{self.root}/{part}")
+            run = Run(name, (part,), sum(r.rows for r in merge), size, sum(r.arrivals for r in merge), rows.schema.json())
             gone = {r.name for r in merge}
             at = next(i for i, r in enumerate(runs) if r.name in gone)
             kept = [r for r in runs if r.name not in gone]
-            self.commit([*kept[:at], run, *kept[at:]], base)
+            try:
+                version = self.commit([*kept[:at], run, *kept[at:]], base)
+            except ConflictError:  # another writer was first: what is due may be something else now
+                drop_path(self.spark, f"{self.root}/{part}")
+                continue
             self.vacuum(merge)
+            if version % ORPHANS_EVERY == 0:
+                self.vacuum()
         return self.version()
 
     def vacuum(self, runs: list[Run] | None = None) -> None:
@@ -207,7 +245,12 @@ class ShardStore:
             drop_path(self.spark, f"{self.root}/{part}")
 
     def _read(self, runs: list[Run]) -> DataFrame:
-        return self.spark.read.option("recursiveFileLookup", "true").parquet(*[f"{self.root}/{p}" for r in runs for p in r.parts])
+        """The rows of runs; a column that some of them lack is null there."""
+        read, by_schema = self.spark.read.option("recursiveFileLookup", "true"), {}
+        for r in runs:
+            by_schema.setdefault(r.schema, []).extend(f"{self.root}/{p}" for p in r.parts)
+        frames = [(read.schema(StructType.fromJson(json.loads(x))) if x else read).parquet(*parts) for x, parts in by_schema.items()]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
     def read(self, version: int | None = None, run: str = "run") -> DataFrame:
         """All rows of a version with the run that holds them (column ``run``); ValueError if the store is empty."""
@@ -215,10 +258,7 @@ class ShardStore:
         if not runs:
             raise ValueError("the store is empty")
         frames = [self._read([r]).withColumn(run, F.lit(r.name)) for r in runs]
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f)
-        return out
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 def shard(docs: DataFrame, arrival: str = "source", text: str = "text", fanout: int = 4, target_bytes: int = 128 << 20) -> DataFrame:

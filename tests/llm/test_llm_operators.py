@@ -241,6 +241,32 @@ def test_one_of_each_class_stays_where_ids_repeat(spark):
     assert got == Counter([(4, "a b c d e f"), (2, text), (None, None), (7, None)])
 
 
+def test_an_id_with_several_texts_loses_none(spark):
+    text = [f"w{i}" for i in range(60)]
+    a, b, c = " ".join(text), " ".join(f"x{i}" for i in range(60)), " ".join([*text, "more"])
+    rows = [(4, a), (4, b), (1, c), (9, a + " end"), (9, b + " end"), (9, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(tuple(r) for r in neardup.deduplicate(df).collect()) == Counter([(1, c), (4, b)])
+    two = spark.createDataFrame([(4, a), (4, c), (4, None)], "doc_id long, text string")
+    left = [tuple(r) for r in neardup.deduplicate(two).collect()]
+    assert len(left) == 2 and (4, None) in left  # of two alike texts of one id the one of least md5
+    got = neardup.classes(df).collect()
+    assert {(r["doc_id"], r["class_id"]) for r in got} == {(4, 1), (4, 4), (1, 1), (9, 1), (9, 4)}
+    assert all(r["n_links"] >= 1 and r["similarity"] >= 0.8 and r["linked_id"] in (1, 4, 9) for r in got)
+
+
+def test_links_connect_each_class(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    links = weighted_links([tuple(r) for r in docs.collect()])
+    rows = neardup.classes(docs).collect()
+    for r in rows:
+        if r["n_links"]:
+            assert links[min(r["doc_id"], r["linked_id"]), max(r["doc_id"], r["linked_id"])] == pytest.approx(r["similarity"], abs=1e-5) if (min(r["doc_id"], r["linked_id"]), max(r["doc_id"], r["linked_id"])) in links else r["similarity"] >= 0.8
+        else:
+            assert r["linked_id"] is None and r["similarity"] is None
+    assert any(r["n_links"] for r in rows)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = neardup.classes(odd(spark)).collect()
     assert len(got) == len(ODD) and {r["class_id"] for r in got if r["doc_id"] in (5, 6)} == {5}
@@ -347,7 +373,7 @@ def test_streamed_decoding(text, size):
     assert "".join(stream.feed(data[i : i + size]) for i in range(0, len(data), size)) + stream.close() == data.decode()
 
 
-def test_token_digests(spark, coder):
+def test_token_digests(spark, coder, monkeypatch):
     m, pieces, library = coder
     got = {(r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.digests(odd(spark), VOCAB, P.PATTERN).collect()}
     want = set()
@@ -357,6 +383,9 @@ def test_token_digests(spark, coder):
     assert got == want
     apart = bpe.decode(bpe.encode(odd(spark), VOCAB, P.PATTERN), VOCAB)
     assert apart.filter("decoded <> coalesce(text, '')").count() == 0
+    monkeypatch.setattr(bpe, "PART_CHARS", 30)
+    few = bpe.encode_checked(odd(spark).coalesce(1), VOCAB, P.PATTERN, keep=["doc_id", "n"])
+    assert few.columns == ["doc_id", "n", "token_ids", "round_trip"] and few.filter("round_trip").count() == len(ODD)
     checked = bpe.encode_checked(odd(spark), VOCAB, P.PATTERN)
     assert checked.filter("round_trip").count() == len(ODD) and [r["token_ids"] for r in checked.collect()] == [r["token_ids"] for r in apart.collect()]
     assert bpe.digests(empty(spark), VOCAB, P.PATTERN).count() == 0
@@ -487,6 +516,42 @@ def test_store(spark, tmp_path):
         sharding.ShardStore(spark, str(tmp_path / "e")).read()
 
 
+def test_runs_of_different_columns_merge(spark, tmp_path):
+    store = sharding.ShardStore(spark, str(tmp_path / "s"), fanout=2)
+    one = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    two = spark.createDataFrame([(2, "b", "en")], "doc_id long, text string, lang string")
+    three = spark.createDataFrame([("fr", 3)], "lang string, doc_id long")
+    want = {(1, "a", None), (2, "b", "en"), (3, None, "fr")}
+    store.append(one, merge=False)
+    store.append(two, merge=False)
+    rows = lambda: {tuple(r) for r in store.read().select("doc_id", "text", "lang").collect()}
+    assert rows() == {x for x in want if x[0] < 3}
+    store.compact()
+    assert len(store.runs()) == 1 and rows() == {x for x in want if x[0] < 3}
+    store.append(three)
+    assert rows() == want
+    version = store.version()
+    with pytest.raises(ValueError, match="doc_id is bigint in the store, not string"):
+        store.append(spark.createDataFrame([("x",)], "doc_id string"))
+    assert store.version() == version and rows() == want
+
+
+def test_a_writer_in_between_is_no_error(spark, tmp_path, monkeypatch):
+    a, b = (sharding.ShardStore(spark, str(tmp_path / "s"), fanout=2) for _ in range(2))
+    a.append(spark.range(1))
+    real, todo = sharding.ShardStore.commit, [5, 6, 7]
+
+    def commit(self, runs, base):  # before each of a's commits b appends
+        if self is a and todo:
+            b.append(spark.range(todo[0], todo.pop(0) + 1))
+        return real(self, runs, base)
+
+    monkeypatch.setattr(sharding.ShardStore, "commit", commit)
+    a.append(spark.range(1, 2))
+    assert sorted(r["id"] for r in a.read().collect()) == [0, 1, 5, 6, 7] and not todo
+    assert max(Counter(a.tier(r.size) for r in a.runs()).values()) == 1
+
+
 def test_store_keeps_its_last_versions(spark, tmp_path):
     store = sharding.ShardStore(spark, str(tmp_path / "s"), fanout=2, keep=2)
     for i in range(4):
