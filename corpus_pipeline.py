@@ -51,7 +51,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     small_batches(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = bpe.encode_checked(docs, path, public_tokenizers.PATTERN)
+    coded = bpe.encode_checked(docs, path, public_tokenizers.PATTERN, keep=["doc_id", "lang", "source", "n_chars"])
     return coded.select("doc_id", "lang", "source", "n_chars", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), "round_trip")
 
 
