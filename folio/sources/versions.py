@@ -120,7 +120,9 @@ class VersionedTable:
         return {int(n.split("=")[1]): f"{made}/{n}" for n, _ in self._names(made) if n.startswith("_bucket=")}
 
     def commit(self, base: Version | None, buckets: dict[int, str], schema: T.StructType, facts: dict[str, str] | None = None) -> Version:
-        """Make a version after ``base`` (None: the first one); StaleVersion if there is one already."""
+        """Make a version after ``base`` (None: the first one); StaleVersion if there is one already, or was before it expired."""
+        if self.numbers()[-1:] != ([base.number] if base else []):
+            raise StaleVersion(f"version {base.number if base else 0} is no longer the newest")
         new = Version((base.number if base else 0) + 1, buckets, json.dumps(schema.jsonValue()), facts or {})
         content = json.dumps({"buckets": new.buckets, "schema": new.schema, "facts": new.facts})
         hadoop(self.spark, self.root)[0].mkdirs(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/versions"))

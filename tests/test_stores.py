@@ -81,6 +81,8 @@ def test_versions_are_never_replaced(spark, tmp_path):
     assert rows(t.read(two)) == [(4, "4")] and t.read().count() == 0
     with pytest.raises(ValueError, match="not kept"):
         t.at(1)
+    with pytest.raises(StaleVersion):  # also where the name that it would take is free again
+        t.replace(df(9), None)
 
 
 def test_rebuild_computes_only_what_changed(spark, tmp_path):
