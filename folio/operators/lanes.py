@@ -76,6 +76,18 @@ def totals(log: DataFrame) -> DataFrame:
     return log.groupBy("lane").agg(*(n("outcome", v) for v in ("ok", "empty", "error")), *(n("source", v) for v in ("user", "auto", "crawl")), F.max("ts").alias("last"))
 
 
+def sessions(log: DataFrame, gap: str = "1 hour", late: str | None = None) -> DataFrame:
+    """(lane, began, ended, ok, empty, error, user, auto, crawl): the counters of each stretch of a lane's work without a pause of ``gap``.
+
+    A stream names with ``late`` how late its rows may come; a stretch is then given once it can't grow any more, and its state goes.
+    Counts are combined before they are shuffled, so that one busy lane is no burden to a task.
+    """
+    rows = log.filter("ts IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp"))
+    n = lambda c, v: F.count_if(F.col(c) == v).alias(v)
+    got = (rows.withWatermark("ts", late) if late else rows).groupBy("lane", F.session_window("ts", gap).alias("w"))
+    return got.agg(*(n("outcome", v) for v in ("ok", "empty", "error")), *(n("source", v) for v in ("user", "auto", "crawl"))).select("lane", F.col("w.start").alias("began"), F.col("w.end").alias("ended"), "ok", "empty", "error", "user", "auto", "crawl")
+
+
 def embedding_order(keys: DataFrame, seed: int = 0) -> DataFrame:
     """(key, place): keys in a random order that a seed fixes, so that the time left is estimated from a fair sample."""
     return keys.select("key").withColumn("place", F.xxhash64(F.lit(seed), "key")).orderBy("place", "key")

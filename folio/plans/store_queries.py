@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from folio.functions import text as X
 from folio.functions.vectors import quantize
-from folio.operators import fuzzy, incremental, retrieval
+from folio.operators import fuzzy, incremental, lanes, retrieval
 from folio.plans.catalog_queries import _BARE, _MARKED, _Q, Query, _literal, read
 from folio.sources import catalog
 from folio.sources.versions import VersionedTable
 from folio.staging import hadoop, stage_path, staged
+from folio.streaming import overlays
 
 
 def _forget(spark: SparkSession, path: str) -> None:
@@ -54,6 +55,48 @@ def incremental_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.lit(n).cast("long") for c, n in (("n_computed", done.computed), ("n_reused", done.reused), ("n_dropped", done.dropped))})
 
 
+def overlay_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK1, ST1, J1: labels as overlays that come as a stream of three batches, the last one repeated, over documents in which Spanish ones are missing.
+
+    First every labelled document gets a payload, then toxic ones an empty one, then those of low quality one that is too old.
+    """
+    label = read(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("key"), "quality", "toxic")
+    at = lambda day: F.lit(f"2024-01-0{day} 00:00:00").cast("timestamp").alias("ts")
+    parts = [label.select("key", F.lit("first").alias("payload"), at(2)), label.filter("toxic = 1").select("key", F.lit("").alias("payload"), at(3)), label.filter("quality = 0").select("key", F.lit("old").alias("payload"), at(1))]
+    base = stage_path(spark, "feed")
+    for i, part in enumerate(parts):
+        part.coalesce(1).write.parquet(f"{base}/in/{i}")
+    table = VersionedTable(spark, f"{base}/store", buckets=16)
+    stream = spark.readStream.schema(overlays.SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{base}/in")
+    stream.writeStream.foreachBatch(overlays.sink(table, "feed")).option("checkpointLocation", f"{base}/at").trigger(availableNow=True).start().awaitTermination()
+    overlays.upsert(table, parts[2], "feed", 2)  # as after a crash between the commit and the stream's own
+    docs = read(spark, sf_dir, "documents").filter("lang <> 'es'").select(F.col("doc_id").cast("string").alias("key"), F.col("text").alias("html"))
+    got = overlays.states(table, docs, F.lit("2022-01-01"))
+    state = F.when(F.col("archived"), "archived").when(F.col("html") == "first", "overlay").otherwise("baseline")
+    return got.select(F.col("key").cast("long").alias("doc_id"), state.alias("state"), "asof")
+
+
+def stored_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC7, SO1: documents' keys with text from a written file, of which the second call reads the snapshot alone."""
+    path, at = stage_path(spark, "quoted"), stage_path(spark, "presence")
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("Code"), F.when(F.col("lang") == "de", " ").otherwise(F.col("text")).alias("Text"))
+    d.write.option("sep", "\t").option("quoteAll", True).option("escape", '"').option("header", True).csv(path)
+    table = VersionedTable(spark, at, buckets=8)
+    catalog.present_in_baseline(spark, path, table)
+    got = catalog.present_in_baseline(spark, path, table)
+    _forget(spark, path)  # nothing reads it any more
+    return got.select(F.col("key").cast("long").alias("doc_id"), F.lit(table.current().number).cast("long").alias("version"))
+
+
+def lane_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST16, AG12: counters of each user's stretches of events without a pause of six hours."""
+    e = read(spark, sf_dir, "events")
+    outcome = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "view", "empty").otherwise("ok")
+    source = F.when(F.col("event_type") == "purchase", "user").when(F.col("event_type") == "click", "auto").otherwise("crawl")
+    got = lanes.sessions(e.select(F.col("user_id").alias("lane"), source.alias("source"), outcome.alias("outcome"), "ts"), "6 hours")
+    return got.withColumns({"began": F.unix_micros("began"), "ended": F.unix_micros("ended")})
+
+
 def _least_words(text: Column) -> Column:
     """A text's first three words in alphabetical order, of five letters or more."""
     return F.slice(F.array_sort(F.filter(X.distinct_words(text), lambda w: F.length(w) >= 5)), 1, 3)
@@ -81,7 +124,7 @@ def ranked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page", "query", "ord", "block", F.round("cosine", 6).alias("cosine"), F.round("lexical", 6).alias("lexical"), F.col("rank").cast("long").alias("rank"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (quoted_ranges, incremental_rebuild, fuzzy_terms, ranked_pages)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (quoted_ranges, incremental_rebuild, overlay_store, stored_presence, lane_sessions, fuzzy_terms, ranked_pages)}
 
 _WORDS = f"list_distinct(list_filter(regexp_split_to_array(lower(translate({{}}, '{_literal(_MARKED)}', '{_literal(_BARE)}')), '[^a-z0-9]+'), lambda x: length(x) >= 3))"
 _CREDIT = """CASE WHEN word = term THEN 1.0 WHEN length(term) >= 4 AND length(word) >= 4 AND (starts_with(word, term) OR starts_with(term, word)) THEN 0.85
@@ -92,6 +135,13 @@ ORACLE_SQL: dict[str, str] = {
     "incremental_rebuild": """WITH d AS (SELECT d.*, coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0 AS made FROM documents d LEFT JOIN labels USING (doc_id))
       SELECT doc_id, upper(lang) AS lang, length(text)::BIGINT AS n_chars, md5(text) AS page, CASE WHEN made THEN 2 ELSE 1 END::BIGINT AS made_in,
       count(*) FILTER (made) OVER ()::BIGINT AS n_computed, count(*) FILTER (NOT made) OVER ()::BIGINT AS n_reused, (SELECT count(*) FROM documents WHERE lang = 'es') AS n_dropped FROM d""",
+    "overlay_store": """SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'baseline' WHEN toxic = 1 THEN 'archived' ELSE 'overlay' END AS state, CASE WHEN coalesce(toxic, 1) = 1 THEN '2022-01-01' ELSE '2024-01-02' END AS "asof"
+      FROM (SELECT * FROM documents WHERE lang <> 'es') d FULL JOIN labels l USING (doc_id) WHERE coalesce(toxic, 1) = 0 OR length(trim(coalesce(text, ''))) > 0""",
+    "stored_presence": "SELECT doc_id, 1::BIGINT AS version FROM documents WHERE lang <> 'de' AND length(trim(text)) > 0",
+    "lane_sessions": """WITH e AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+      s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS s FROM e)
+      SELECT user_id AS lane, epoch_us(min(ts)) AS began, epoch_us(max(ts) + INTERVAL 6 HOUR) AS ended, count(*) FILTER (event_type NOT IN ('error', 'view')) AS ok, count(*) FILTER (event_type = 'view') AS empty, count(*) FILTER (event_type = 'error') AS error,
+      count(*) FILTER (event_type = 'purchase') AS "user", count(*) FILTER (event_type = 'click') AS auto, count(*) FILTER (event_type NOT IN ('purchase', 'click')) AS crawl FROM s GROUP BY user_id, s""",
     "fuzzy_terms": f"""WITH w AS (SELECT DISTINCT unnest({_WORDS.format('text')}) AS word FROM documents), t AS (SELECT DISTINCT unnest({_WORDS.format("p_name || ' ' || p_type || ' thered underest ingtion'")}) AS term FROM part)
       SELECT term, word, credit FROM (SELECT term, word, CAST({_CREDIT} AS DOUBLE) AS credit FROM w, t) WHERE credit > 0""",
     "ranked_pages": f"""WITH e AS (SELECT vec_id, label, list_transform({_Q}, lambda x: x / 127) AS q FROM embeddings), d AS (SELECT doc_id AS vec_id, {_WORDS.format('text')} AS ws FROM documents),

@@ -1,12 +1,11 @@
-"""Streaming forms: request admission with state, and upserts of overlays from micro-batches."""
+"""Request admission with state, as a stream and as a batch."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "key string, ts timestamp, source string, status string"
@@ -75,56 +74,3 @@ def admit_batch(requests: DataFrame, min_interval: float = 60.0, hourly: int = 3
         return pd.DataFrame(decide(rows, new_state(), min_interval, hourly, capacity), columns=["key", "ts", "source", "status"])
 
     return requests.groupBy("lane").applyInPandas(run, OUT)
-
-
-#: Parts of an upserted table, by the hash of the key; a batch rewrites those it has keys of.
-BUCKETS = 64
-
-
-def upsert_latest(target_path: str, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: each batch (key, payload, ts) brings the newest payload of each key into a table that :func:`latest` reads.
-
-    A batch writes new versions of the buckets that hold its keys and leaves the others alone; all of them count from
-    the moment the batch's folder is complete. A batch that is repeated replaces its own versions. Of equal times the greatest
-    payload stays; a null payload is one. Superseded versions stay for readers that are still on them.
-    """
-    newer = F.max_by(F.struct("payload", "ts"), F.struct("ts", "payload")).alias("x")
-    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket")
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        got = batch.select(bucket, "key", "payload", "ts").groupBy("bucket", "key").agg(newer).select("bucket", "key", "x.*")
-        touched = [r[0] for r in got.select("bucket").distinct().collect()]  # no more than there are buckets
-        old = _read(spark, target_path, [p for b, p in _versions(spark, target_path, batch_id).items() if b in touched])
-        if old is not None:
-            got = got.unionByName(old.select(bucket, "key", "payload", "ts")).groupBy("bucket", "key").agg(newer).select("bucket", "key", "x.*")
-        got.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target_path}/batch={batch_id:010d}")
-
-    return apply
-
-
-def _versions(spark: SparkSession, target_path: str, before: int | None) -> dict[int, str]:
-    """The folder of each bucket's newest version in a complete batch (older than ``before``)."""
-    new = spark._jvm.org.apache.hadoop.fs.Path
-    path = new(target_path)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return {}
-    done = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("batch=") and fs.exists(new(s.getPath(), "_SUCCESS"))]
-    out: dict[int, str] = {}
-    for p in sorted(done, key=lambda p: int(p.getName().split("=")[1])):
-        if before is None or int(p.getName().split("=")[1]) < before:
-            for s in fs.listStatus(p):
-                name = s.getPath().getName()
-                if name.startswith("bucket="):
-                    out[int(name.split("=")[1])] = s.getPath().toString()
-    return out
-
-
-def _read(spark: SparkSession, target_path: str, paths: list[str]) -> DataFrame | None:
-    return spark.read.option("basePath", target_path).parquet(*paths).select("key", "payload", "ts") if paths else None
-
-
-def latest(spark: SparkSession, target_path: str, before: int | None = None) -> DataFrame | None:
-    """(key, payload, ts): the table as of the newest complete batch (older than ``before``); None without a row."""
-    return _read(spark, target_path, list(_versions(spark, target_path, before).values()))

@@ -185,27 +185,3 @@ def test_admission_stream_equals_batch(spark, tmp_path):
     q = admission.admit_stream(stream, min_interval=60, hourly=2, capacity=10).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(admission.admit_batch(df, min_interval=60, hourly=2, capacity=10))
-
-
-def test_upsert(spark, tmp_path):
-    up = admission.upsert_latest(str(tmp_path / "t"))
-    up(spark.createDataFrame([("a", "1", 1), ("b", "1", 1)], "key string, payload string, ts int"), 0)
-    up(spark.createDataFrame([("a", "2", 2), ("b", "0", 0)], "key string, payload string, ts int"), 1)
-    up(spark.createDataFrame([("a", "2", 2), ("b", "0", 0)], "key string, payload string, ts int"), 1)
-    assert rows(admission.latest(spark, str(tmp_path / "t"))) == [("a", "2", 2), ("b", "1", 1)]
-
-
-def test_upserts_rewrite_touched_buckets_only(spark, tmp_path):
-    path = str(tmp_path / "t")
-    up = admission.upsert_latest(path, buckets=8)
-    batch = lambda *r: spark.createDataFrame(list(r), "key string, payload string, ts long")
-    up(batch(*[(str(i), "old", 1) for i in range(40)]), 0)
-    up(batch(("3", "new", 2), ("3", "late", 0), ("7", "stale", 0)), 1)
-    assert 1 <= len(list((tmp_path / "t" / "batch=0000000001").glob("bucket=*"))) <= 2
-    got = {r["key"]: (r["payload"], r["ts"]) for r in admission.latest(spark, path).collect()}
-    assert len(got) == 40 and got["3"] == ("new", 2) and got["7"] == ("old", 1)
-    up(batch(("3", "again", 3)), 1)  # the batch is repeated after a failure
-    assert {r["key"]: r["payload"] for r in admission.latest(spark, path).collect()}["3"] == "again"
-    up(batch(), 2)
-    assert admission.latest(spark, path).count() == 40
-    assert {r["key"]: r["payload"] for r in admission.latest(spark, path, before=1).collect()}["3"] == "old"
