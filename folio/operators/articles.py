@@ -7,14 +7,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from html import escape
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folio.functions.text import repair_cp1252, same_length_fold
+from folio.functions.text import html_escape, repair_cp1252
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Names that pages and articles use.
@@ -143,31 +143,36 @@ def denomination(html: str | None) -> str:
     return ""
 
 
-def with_links(html: str | None, terms: dict[str, str], fold: dict[int, str], budget: int = 15) -> tuple[str, list[str]]:
-    """A document with the first whole word of each of ``terms`` (folded word -> slug) as a link, and the slugs linked, in order.
+class _WordPlaces(HTMLParser):
+    """Where each folded word first stands in the text that may hold links: not within links, titles, the denomination, scripts or styles."""
 
-    The text of links, titles and the denomination, and comments, stay as they are.
-    """
-    out, used, slugs, quiet = [], set(), [], []
-    for kind, tag, a, source in events(html):
-        if kind == "open":
-            css = a.get("class", "")
-            quiet.append(tag == "a" or TITLE in css or NAME in css)
-        elif kind == "close" and quiet:
-            quiet.pop()
-        if kind == "text" and not (quiet and quiet[-1]) and len(used) < budget:
-            pieces, last = [], 0
-            for m in re.finditer(r"[A-Z0-9]+", source.translate(fold)):
-                if len(used) >= budget:
-                    break
-                if m[0] in terms and m[0] not in used:
-                    used.add(m[0])
-                    slugs += [terms[m[0]]] if terms[m[0]] not in slugs else []
-                    pieces += [source[last : m.start()], f'<a class="drug-xref" href="/rcp/{escape(terms[m[0]])}">{source[m.start() : m.end()]}</a>']
-                    last = m.end()
-            source = "".join(pieces) + source[last:]
-        out.append(source)
-    return "".join(out), slugs
+    def __init__(self, html: str, fold: dict[int, str]) -> None:
+        super().__init__(convert_charrefs=False)
+        self.first: dict[str, int] = {}
+        self.open: list[tuple[str, bool]] = []
+        self.fold, self.lines = fold, [0, *(m.end() for m in re.finditer("\n", html))]
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in _VOID:
+            css = next((v or "" for k, v in attrs if k == "class"), "")
+            closed = tag in ("a", "script", "style") or TITLE in css or NAME in css
+            self.open.append((tag, closed or bool(self.open and self.open[-1][1])))
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        pass
+
+    def handle_endtag(self, tag: str) -> None:
+        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), -1)
+        if at >= 0:
+            del self.open[at:]
+
+    def handle_data(self, data: str) -> None:
+        if not (self.open and self.open[-1][1]):
+            line, column = self.getpos()
+            for m in re.finditer(r"[A-Z0-9]+", data.translate(self.fold)):
+                self.first.setdefault(m[0], self.lines[line - 1] + column + m.start())
 
 
 def articles(pages: DataFrame) -> DataFrame:
@@ -189,27 +194,35 @@ BROADCAST_TERMS = 200_000
 def linked(docs: DataFrame, terms: DataFrame, budget: int = 15) -> DataFrame:
     """(key, html, slugs) of documents (key, html) with links to ``terms`` (term, key, slug) put into them, none to themselves.
 
-    The words of a document meet the dictionary by a join, so that a task holds the few terms of its documents and no more.
+    The first place of each term is linked, at most ``budget`` of them in the order of the text (the feature's own limit); slugs are
+    the distinct ones linked, in that order. What is not linked stays as it is. A worker gives a document's words with their places
+    alone; terms meet them by a join, and the links are put in by column functions. Keys must be unique; a null page is an empty one.
     """
     from folio.functions.text import ACCENT_GROUPS
 
     fold = {i: chr(i - 32) for i in range(97, 123)} | {ord(c): b for g, b in ACCENT_GROUPS for c in g + g.upper()}
-    near = F.broadcast if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else (lambda df: df)
-    words = docs.select("key", F.explode(F.array_distinct(F.split(same_length_fold(F.col("html")), "[^A-Z0-9]+"))).alias("term"))
-    own = words.join(near(terms.select("term", F.col("key").alias("target"), "slug")), "term").filter("NOT (key <=> target)")
-    by_page = own.groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("term", "slug"))).alias("terms"))
+    kind = docs.schema["key"].dataType.simpleString()
 
-    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [with_links(h, dict(t) if t is not None else {}, fold, budget) for h, t in zip(b["html"], b["terms"], strict=True)]
-            yield pd.DataFrame({"key": b["key"], "html": [x[0] for x in got], "slugs": [x[1] for x in got]})
+            rows = [(key, term, at) for key, html in zip(b["key"], b["html"], strict=True) for term, at in _WordPlaces(html or "", fold).first.items()]
+            yield pd.DataFrame(rows, columns=["key", "term", "at"])
 
-    kind = docs.schema["key"].dataType.simpleString()
-    return docs.select("key", "html").join(by_page, "key", "left").mapInPandas(put, f"key {kind}, html string, slugs array<string>")
+    near = F.broadcast if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else (lambda df: df)
+    words = docs.select("key", "html").mapInPandas(places, f"key {kind}, term string, at int")
+    hits = words.join(near(terms.select("term", F.col("key").alias("target"), "slug")), "term").filter("NOT (key <=> target)")
+    placed = hits.groupBy("key", "at", "term").agg(F.min("slug").alias("slug")).withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("at"))).filter(F.col("n") <= budget)
+    marks = placed.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", F.length("term").alias("n"), "slug"))).alias("m"))  # budget at most
+    html, m = F.coalesce("html", F.lit("")), F.coalesce("m", F.array().cast("array<struct<at:int,n:int,slug:string>>"))
+    end = lambda i: F.coalesce(F.get(m, i)["at"] + F.get(m, i)["n"], F.lit(0))
+    link = lambda x: F.concat(F.lit('<a class="drug-xref" href="/rcp/'), html_escape(x["slug"]), F.lit('">'), F.substring(html, x["at"] + 1, x["n"]), F.lit("</a>"))
+    parts = F.transform(m, lambda x, i: F.concat(F.substring(html, end(i - 1) + 1, x["at"] - end(i - 1)), link(x)))
+    tail = F.substring(html, end(F.size(m) - 1) + 1, F.length(html))
+    return docs.select("key", "html").join(marks, "key", "left").select("key", F.concat(F.array_join(parts, ""), tail).alias("html"), F.array_distinct(F.transform(m, lambda x: x["slug"])).alias("slugs"))
 
 
 def cleaned(docs: DataFrame, terms: DataFrame, budget: int = 15) -> DataFrame:
-    """(key, name, html, toc, slugs) of articles (key, html): the whole way from an article to what a page shows."""
+    """(key, name, html, toc, slugs) of articles (key, html): the whole way from an article to what a page shows. Keys must be unique."""
     from folio.operators.html_blocks import blocks, table_of_contents
 
     toc = table_of_contents(blocks(docs))
