@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folio.functions.text import html_escape
+
+#: Class names of headings and folded groups.
+TITLE_CLASS, GROUP_CLASS = "AmmAnnexeTitre", "ema-annexe"
 #: Markers that wait for a title, and dividers that open a group.
 MARKER_TOP, MARKER_SUB, MARKER_LETTER = r"^\d{1,2}\.$", r"^\d{1,2}\.\d{1,2}$", r"^[A-E]\.$"
 DIVIDER = r"(?i)^ANNEXE\s+[IVX]+|^(RÉSUMÉ DES CARACTÉRISTIQUES|ÉTIQUETAGE ET NOTICE|ÉTIQUETAGE|NOTICE)\b"
@@ -72,3 +76,65 @@ def table_html(rows: Column) -> Column:
     cells = lambda r, tag: F.concat(F.lit("<tr>"), F.array_join(F.transform(r, lambda c: F.concat(F.lit(f"<{tag}>"), F.coalesce(c, F.lit("")), F.lit(f"</{tag}>"))), ""), F.lit("</tr>"))
     body = F.array_join(F.transform(rows, lambda r, i: F.when(i == 0, cells(r, "th")).otherwise(cells(r, "td"))), "")
     return F.concat(F.lit("<table>"), body, F.lit("</table>"))
+
+
+def reading_order(lines: DataFrame, tables: DataFrame, images: DataFrame) -> DataFrame:
+    """(doc, ord, kind, grp, sid, label, html): what a document holds, in the order that it is read in.
+
+    ``lines`` (doc, page, block, line, x0, y0, x1, y1, text, bold), the box being the block's and ``line`` its order within it,
+    ``tables`` (doc, page, x0, y0, x1, y1, rows: arrays of escaped cells), ``images`` (doc, page, y, xref, width, height, src). The
+    three are one sequence by page and upper edge, of equal edges tables, then figures, then blocks. A table stands in for the
+    blocks within it. Kinds are group, heading1, heading2, text (a block's lines up to a heading, as one paragraph), table and figure.
+
+    A bold marker waits for the next line, its title; a figure does not end the wait, a table does. A divider, or a titled
+    marker that names one, opens a group, dividers with nothing in between one group together. What comes before the first is in group
+    0. A lone page number at the top is dropped, and a blank line. Each document is one ordered pass.
+    """
+    none = lambda t: F.lit(None).cast(t)
+    at = ["doc", "page", "y", "rank", "block", "line"]
+    text = outside_tables(lines, tables).filter((F.trim("text") != "") & ~((F.trim("text") == F.col("page").cast("string")) & (F.col("y0") < 90)))
+    rows = text.select("doc", "page", F.col("y0").cast("double").alias("y"), F.lit(2).alias("rank"), F.col("block").cast("long").alias("block"), F.col("line").cast("long").alias("line"), F.trim("text").alias("text"), "bold", none("string").alias("html"))
+    rows = rows.unionByName(tables.select("doc", "page", F.col("y0").cast("double").alias("y"), F.lit(0).alias("rank"), F.xxhash64("x0", "y0", "x1", "y1").alias("block"), F.lit(0).cast("long").alias("line"), none("string").alias("text"), F.lit(False).alias("bold"), table_html(F.col("rows")).alias("html")))
+    shown = F.concat(F.lit('<figure><img src="'), html_escape(F.col("src")), F.lit('" alt=""></figure>'))
+    rows = rows.unionByName(figures(images).select("doc", "page", F.col("y").cast("double").alias("y"), F.lit(1).alias("rank"), F.col("xref").cast("long").alias("block"), F.lit(0).cast("long").alias("line"), none("string").alias("text"), F.lit(False).alias("bold"), shown.alias("html")))
+    w = W.partitionBy("doc").orderBy(*at[1:])
+    so_far = w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    marker = (F.col("rank") == 2) & F.col("bold") & F.col("text").rlike(f"{MARKER_TOP}|{MARKER_SUB}|{MARKER_LETTER}")
+    # figures are passed over; whatever else stands before a line says whether a marker waits for it
+    rows = rows.withColumn("marker", marker).withColumn("last", F.last(F.when(F.col("rank") != 1, F.struct("marker", "text")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)))
+    rows = rows.withColumn("before", F.when((F.col("rank") == 2) & F.col("last.marker") & ~F.col("marker"), F.col("last.text")))
+    titled, sub = F.col("before").isNotNull(), F.coalesce(F.col("before").rlike(MARKER_SUB), F.lit(False))
+    label = F.when(titled, F.concat_ws(" ", "before", "text")).otherwise(F.col("text"))
+    kind = (
+        F.when(F.col("rank") == 0, "table").when(F.col("rank") == 1, "figure").when(F.col("marker"), "marker").when(titled & ~sub & label.rlike(GROUP_LABEL), "group")
+        .when(titled & sub, "heading2").when(titled, "heading1").when(F.col("bold") & F.col("text").rlike(DIVIDER), "group").otherwise("text")
+    )
+    rows = rows.select(*at, kind.alias("kind"), label.alias("label"), "html")
+    # a paragraph goes on while text follows text of its block
+    goes_on = (F.col("kind") == "text") & (F.lag("kind").over(w) == "text") & (F.lag("block").over(w) == F.col("block")) & (F.lag("page").over(w) == F.col("page"))
+    parts = rows.withColumn("part", F.sum((~F.coalesce(goes_on, F.lit(False))).cast("int")).over(so_far)).filter("kind <> 'marker'")
+    parts = parts.groupBy("doc", "part", "kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "label"))), lambda x: x["label"]), " ").alias("label"), F.first("html").alias("html"))
+    w = W.partitionBy("doc").orderBy("part")
+    opens = (F.col("kind") == "group") & ~F.coalesce(F.lag("kind").over(w) == "group", F.lit(False))
+    parts = parts.withColumn("opens", opens.cast("int"))
+    numbered = parts.select("doc", F.row_number().over(w).alias("ord"), "kind", F.sum("opens").over(w).alias("grp"), F.when(F.col("kind") == "heading1", F.concat(F.lit("sec-"), F.sum((F.col("kind") == "heading1").cast("int")).over(w))).alias("sid"), "label", "html")
+    shape = lambda tag, level, sid: F.concat(F.lit(f'<{tag} class="{TITLE_CLASS}{level}"'), sid, F.lit(">"), html_escape(F.col("label")), F.lit(f"</{tag}>"))
+    own = F.when(F.col("kind") == "heading1", shape("h2", 1, F.concat(F.lit(' id="'), F.col("sid"), F.lit('"')))).when(F.col("kind") == "heading2", shape("h3", 2, F.lit("")))
+    return numbered.withColumn("label", F.when(F.col("kind").isin("table", "figure"), none("string")).otherwise(F.col("label"))).withColumn("html", F.coalesce("html", own, F.when(F.col("kind") == "text", F.concat(F.lit("<p>"), html_escape(F.col("label")), F.lit("</p>")))))
+
+
+def assembled(rows: DataFrame) -> DataFrame:
+    """(doc, html, toc) of :func:`reading_order`: each group a folded part, that of the main text open; empty groups go.
+
+    toc holds (sid, label, subs): the groups, with the first-level headings of the open one below it. A document without parts has none.
+    """
+    inner = rows.filter("kind <> 'group'").groupBy("doc", "grp").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.coalesce("html", F.lit("")).alias("html")))), lambda x: x["html"]), "").alias("inner"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "heading1", F.struct("ord", "sid", "label")))), lambda x: F.struct(x["sid"].alias("sid"), x["label"].alias("label"))).alias("subs"),
+    )
+    named = groups(rows).join(inner, ["doc", "grp"])
+    fold = F.concat(F.lit(f'<details class="{GROUP_CLASS}"'), F.when(F.col("open"), " open").otherwise(""), F.lit('><summary id="'), "sid", F.lit('">'), html_escape(F.col("title")), F.lit("</summary>"), "inner", F.lit("</details>"))
+    no_subs = F.array().cast("array<struct<sid:string,label:string>>")
+    entry = F.struct("grp", fold.alias("html"), F.struct("sid", F.col("title").alias("label"), F.when(F.col("open"), F.col("subs")).otherwise(no_subs).alias("subs")).alias("toc"))
+    whole = named.groupBy("doc").agg(F.array_sort(F.collect_list(entry)).alias("g"))
+    return whole.select("doc", F.concat(F.lit('<div id="textDocument">'), F.array_join(F.transform("g", lambda x: x["html"]), ""), F.lit("</div>")).alias("html"), F.transform("g", lambda x: x["toc"]).alias("toc"))

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.functions import text as X
 from folio.functions.vectors import quantize
-from folio.operators import fuzzy, incremental, lanes, retrieval
+from folio.operators import fuzzy, incremental, lanes, pdf_lines, retrieval
 from folio.plans.catalog_queries import _BARE, _MARKED, _Q, Query, _literal, read
 from folio.sources import catalog
 from folio.sources.versions import VersionedTable
@@ -97,6 +98,23 @@ def lane_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumns({"began": F.unix_micros("began"), "ended": F.unix_micros("ended")})
 
 
+def paged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DO9, DO11, DO15, SC21: orders as paged documents; their lines in blocks, a table over one block of finished ones, suppliers as figures."""
+    l, o = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
+    block, mark = F.floor(F.col("l_linenumber") / 2), F.pmod("l_suppkey", F.lit(7))
+    text = F.when(mark == 0, "4.").when(mark == 1, "4.1").when(mark == 2, "ANNEXE II").when(mark == 3, "RÉSUMÉ DES CARACTÉRISTIQUES").otherwise(F.concat_ws(" & ", "l_returnflag", "l_partkey"))
+    y = (100 + 50 * block).cast("double")
+    place = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"))
+    box = [F.lit(50.0).alias("x0"), y.alias("y0"), F.lit(500.0).alias("x1"), (y + 30).alias("y1")]
+    lines = l.select(F.col("l_orderkey").alias("doc"), F.lit(1).alias("page"), block.alias("block"), place.alias("line"), *box, text.alias("text"), (mark < 4).alias("bold"))
+    tables = o.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("doc"), F.lit(1).alias("page"), F.lit(49.0).alias("x0"), F.lit(149.0).alias("y0"), F.lit(501.0).alias("x1"), F.lit(181.0).alias("y1"), F.array(F.array(F.lit("p"), F.lit("s")), F.array("o_orderpriority", "o_orderstatus")).alias("rows"))
+    images = l.select(F.col("l_orderkey").alias("doc"), F.lit(1).alias("page"), (y + 40).alias("y"), F.pmod("l_partkey", F.lit(5)).alias("xref"), F.col("l_quantity").alias("width"), F.lit(300).alias("height"), F.lit("u").alias("src")).filter("xref < 2")
+    rows = pdf_lines.reading_order(lines, tables, images)
+    html = pdf_lines.assembled(rows).select("doc", F.md5(F.col("html").cast("binary")).alias("html"), F.size("toc").cast("long").alias("groups"), F.aggregate("toc", F.lit(0).cast("long"), lambda a, x: a + F.size(x["subs"])).alias("subs"))
+    kinds = rows.groupBy("doc").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("group", "heading1", "heading2", "text", "table", "figure")])
+    return kinds.join(html, "doc", "left")
+
+
 def _least_words(text: Column) -> Column:
     """A text's first three words in alphabetical order, of five letters or more."""
     return F.slice(F.array_sort(F.filter(X.distinct_words(text), lambda w: F.length(w) >= 5)), 1, 3)
@@ -124,7 +142,7 @@ def ranked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page", "query", "ord", "block", F.round("cosine", 6).alias("cosine"), F.round("lexical", 6).alias("lexical"), F.col("rank").cast("long").alias("rank"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (quoted_ranges, incremental_rebuild, overlay_store, stored_presence, lane_sessions, fuzzy_terms, ranked_pages)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (quoted_ranges, incremental_rebuild, overlay_store, stored_presence, lane_sessions, paged_documents, fuzzy_terms, ranked_pages)}
 
 _WORDS = f"list_distinct(list_filter(regexp_split_to_array(lower(translate({{}}, '{_literal(_MARKED)}', '{_literal(_BARE)}')), '[^a-z0-9]+'), lambda x: length(x) >= 3))"
 _CREDIT = """CASE WHEN word = term THEN 1.0 WHEN length(term) >= 4 AND length(word) >= 4 AND (starts_with(word, term) OR starts_with(term, word)) THEN 0.85
@@ -142,6 +160,27 @@ ORACLE_SQL: dict[str, str] = {
       s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS s FROM e)
       SELECT user_id AS lane, epoch_us(min(ts)) AS began, epoch_us(max(ts) + INTERVAL 6 HOUR) AS ended, count(*) FILTER (event_type NOT IN ('error', 'view')) AS ok, count(*) FILTER (event_type = 'view') AS empty, count(*) FILTER (event_type = 'error') AS error,
       count(*) FILTER (event_type = 'purchase') AS "user", count(*) FILTER (event_type = 'click') AS auto, count(*) FILTER (event_type NOT IN ('purchase', 'click')) AS crawl FROM s GROUP BY user_id, s""",
+    "paged_documents": r"""WITH l AS (SELECT l_orderkey AS doc, l_linenumber // 2 AS block, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS line, l_suppkey % 7 AS mark, l_partkey, l_returnflag FROM lineitem),
+      f AS (SELECT o_orderkey AS doc, o_orderpriority AS p FROM orders WHERE o_orderstatus = 'F'),
+      i AS (SELECT l_orderkey AS doc, 140 + 50 * (l_linenumber // 2) AS y, l_partkey % 5 AS xref FROM lineitem WHERE l_partkey % 5 < 2 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_partkey % 5 ORDER BY l_linenumber // 2) = 1),
+      u AS (SELECT doc, 100 + 50 * block AS y, 2 AS rank, block, line, CASE mark WHEN 0 THEN '4.' WHEN 1 THEN '4.1' WHEN 2 THEN 'ANNEXE II' WHEN 3 THEN 'RÉSUMÉ DES CARACTÉRISTIQUES' ELSE l_returnflag || ' & ' || l_partkey END AS text, mark, NULL AS html FROM l WHERE NOT (block = 1 AND doc IN (SELECT doc FROM f))
+        UNION ALL SELECT doc, 149, 0, 0, 0, NULL, 9, '<table><tr><th>p</th><th>s</th></tr><tr><td>' || p || '</td><td>F</td></tr></table>' FROM f
+        UNION ALL SELECT doc, y, 1, xref, 0, NULL, 9, '<figure><img src="u" alt=""></figure>' FROM i),
+      n AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY y, rank, block, line) AS r FROM u), b AS (SELECT *, last_value(CASE WHEN rank <> 1 THEN r END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pr FROM n),
+      t AS (SELECT b.*, CASE WHEN b.rank = 2 AND p.mark < 2 AND b.mark > 1 THEN p.text END AS before FROM b LEFT JOIN n p ON p.doc = b.doc AND p.r = b.pr),
+      k AS (SELECT *, CASE WHEN before IS NULL THEN text ELSE before || ' ' || text END AS label, CASE WHEN rank = 0 THEN 'table' WHEN rank = 1 THEN 'figure' WHEN mark < 2 THEN 'marker' WHEN before = '4.' AND mark IN (2, 3) THEN 'group'
+        WHEN before = '4.1' THEN 'heading2' WHEN before = '4.' THEN 'heading1' WHEN mark IN (2, 3) THEN 'group' ELSE 'text' END AS kind FROM t),
+      g AS (SELECT *, CASE WHEN kind = 'text' AND lag(kind) OVER w = 'text' AND lag(block) OVER w = block THEN 0 ELSE 1 END AS new FROM k WINDOW w AS (PARTITION BY doc ORDER BY r)),
+      h AS (SELECT *, sum(new) OVER (PARTITION BY doc ORDER BY r) AS part FROM g), q AS (SELECT doc, part, kind, string_agg(label, ' ' ORDER BY r) AS label, min(html) AS html FROM h WHERE kind <> 'marker' GROUP BY doc, part, kind),
+      o AS (SELECT *, CASE WHEN kind = 'group' AND coalesce(lag(kind) OVER (PARTITION BY doc ORDER BY part) <> 'group', true) THEN 1 ELSE 0 END AS opens FROM q),
+      s AS (SELECT *, sum(opens) OVER (PARTITION BY doc ORDER BY part) AS grp, sum(CASE WHEN kind = 'heading1' THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY part) AS sec, replace(label, '&', '&amp;') AS e FROM o),
+      x AS (SELECT doc, grp, string_agg(label, ' - ' ORDER BY part) FILTER (kind = 'group') AS title, count(*) FILTER (kind = 'heading1') AS heads, count(*) FILTER (kind <> 'group') AS parts, string_agg(coalesce(html, CASE kind WHEN 'heading1' THEN '<h2 class="AmmAnnexeTitre1" id="sec-' || sec || '">' || e || '</h2>'
+        WHEN 'heading2' THEN '<h3 class="AmmAnnexeTitre2">' || e || '</h3>' ELSE '<p>' || e || '</p>' END), '' ORDER BY part) FILTER (kind <> 'group') AS inner_ FROM s GROUP BY doc, grp),
+      y AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY grp) AS gn, coalesce(title, 'Document') AS name, contains(coalesce(title, ''), 'RÉSUMÉ') AS op FROM x WHERE parts > 0),
+      z AS (SELECT doc, md5('<div id="textDocument">' || string_agg('<details class="ema-annexe"' || CASE WHEN op THEN ' open' ELSE '' END || '><summary id="grp-' || gn || '">' || replace(name, '&', '&amp;') || '</summary>' || inner_ || '</details>', '' ORDER BY grp) || '</div>') AS html,
+        count(*) AS groups, sum(CASE WHEN op THEN heads ELSE 0 END)::BIGINT AS subs FROM y GROUP BY doc)
+      SELECT doc, count(*) FILTER (kind = 'group') AS n_group, count(*) FILTER (kind = 'heading1') AS n_heading1, count(*) FILTER (kind = 'heading2') AS n_heading2, count(*) FILTER (kind = 'text') AS n_text, count(*) FILTER (kind = 'table') AS n_table,
+      count(*) FILTER (kind = 'figure') AS n_figure, any_value(z.html) AS html, any_value(groups) AS groups, any_value(subs) AS subs FROM s LEFT JOIN z USING (doc) GROUP BY doc""",
     "fuzzy_terms": f"""WITH w AS (SELECT DISTINCT unnest({_WORDS.format('text')}) AS word FROM documents), t AS (SELECT DISTINCT unnest({_WORDS.format("p_name || ' ' || p_type || ' thered underest ingtion'")}) AS term FROM part)
       SELECT term, word, credit FROM (SELECT term, word, CAST({_CREDIT} AS DOUBLE) AS credit FROM w, t) WHERE credit > 0""",
     "ranked_pages": f"""WITH e AS (SELECT vec_id, label, list_transform({_Q}, lambda x: x / 127) AS q FROM embeddings), d AS (SELECT doc_id AS vec_id, {_WORDS.format('text')} AS ws FROM documents),

@@ -58,3 +58,37 @@ def test_structured_data_cannot_leave_its_script(spark):
     assert json.loads(d.select(pages.breadcrumb_json("https://x", trail)).first()[0])["itemListElement"][1] == {"@type": "ListItem", "position": 2, "name": "B&", "item": "https://x/b"}
     assert d.select(pages.breadcrumb(trail)).first()[0] == '<ol><li><a href="/">A</a></li><li aria-current="page">B&amp;</li></ol>'
     assert d.select(pages.date_banner(F.col("r"), F.lit(True))).first()[0] == '<p class="asof">Document archivé, version du 1er janvier 2024</p>'
+
+
+def test_reading_order_of_lines_tables_and_figures(spark):
+    from folio.operators import pdf_lines
+
+    box = lambda y: (50.0, y, 500.0, y + 20.0)
+    lines = [
+        ("d", 1, 1, 1, *box(50.0), "1", False), ("d", 1, 2, 1, *box(60.0), "before any group", False),
+        ("d", 1, 3, 1, *box(100.0), "ANNEXE I", True), ("d", 1, 4, 1, *box(120.0), "RÉSUMÉ DES CARACTÉRISTIQUES", True),
+        ("d", 1, 5, 1, *box(150.0), "4.", True), ("d", 1, 6, 1, *box(300.0), "DONNÉES <x>", False), ("d", 1, 6, 2, *box(300.0), "a first line", False), ("d", 1, 6, 3, *box(300.0), "and a second", False), ("d", 1, 6, 4, *box(300.0), " ", False),
+        ("d", 1, 7, 1, *box(400.0), "4.1", True), ("d", 2, 1, 1, *box(95.0), "Indications", False), ("d", 2, 2, 1, *box(210.0), "within the table", False),
+        ("d", 2, 3, 1, *box(300.0), "5.", True), ("d", 2, 4, 1, *box(400.0), "no title, as a table came", False), ("d", 2, 5, 1, *box(500.0), "B.", True), ("d", 2, 6, 1, *box(600.0), "NOTICE", False), ("d", 2, 7, 1, *box(700.0), "2", False),
+    ]
+    tables = [("d", 2, 49.0, 209.0, 501.0, 231.0, [["h", "i"], ["1", None]]), ("d", 2, 0.0, 350.0, 9.0, 360.0, [["t"]])]
+    images = [("d", 1, 200.0, 7, 300, 10, "u'\""), ("d", 2, 10.0, 7, 300, 300, "again"), ("d", 2, 20.0, 8, 10, 10, "small")]
+    make = spark.createDataFrame
+    rows = pdf_lines.reading_order(
+        make(lines, "doc string, page int, block int, line int, x0 double, y0 double, x1 double, y1 double, text string, bold boolean"), make(tables, "doc string, page int, x0 double, y0 double, x1 double, y1 double, rows array<array<string>>"), make(images, "doc string, page int, y double, xref int, width int, height int, src string")
+    )
+    got = [(r["kind"], r["grp"], r["sid"], r["label"]) for r in rows.orderBy("ord").collect()]
+    assert got == [
+        ("text", 0, None, "before any group"), ("group", 1, None, "ANNEXE I"), ("group", 1, None, "RÉSUMÉ DES CARACTÉRISTIQUES"), ("figure", 1, None, None), ("heading1", 1, "sec-1", "4. DONNÉES <x>"),
+        ("text", 1, None, "a first line and a second"), ("heading2", 1, None, "4.1 Indications"), ("table", 1, None, None), ("table", 1, None, None), ("text", 1, None, "no title, as a table came"), ("group", 2, None, "B. NOTICE"), ("text", 2, None, "2"),
+    ]
+    html, toc = pdf_lines.assembled(rows).select("html", "toc").first()
+    assert html == (
+        '<div id="textDocument"><details class="ema-annexe"><summary id="grp-1">Document</summary><p>before any group</p></details>'
+        '<details class="ema-annexe" open><summary id="grp-2">ANNEXE I - RÉSUMÉ DES CARACTÉRISTIQUES</summary><figure><img src="u\'&quot;" alt=""></figure><h2 class="AmmAnnexeTitre1" id="sec-1">4. DONNÉES &lt;x&gt;</h2>'
+        '<p>a first line and a second</p><h3 class="AmmAnnexeTitre2">4.1 Indications</h3><table><tr><th>h</th><th>i</th></tr><tr><td>1</td><td></td></tr></table><table><tr><th>t</th></tr></table><p>no title, as a table came</p></details>'
+        '<details class="ema-annexe"><summary id="grp-3">B. NOTICE</summary><p>2</p></details></div>'
+    )
+    assert [(t["sid"], t["label"], [tuple(s) for s in t["subs"]]) for t in toc] == [("grp-1", "Document", []), ("grp-2", "ANNEXE I - RÉSUMÉ DES CARACTÉRISTIQUES", [("sec-1", "4. DONNÉES <x>")]), ("grp-3", "B. NOTICE", [])]
+    none = rows.limit(0)
+    assert pdf_lines.assembled(none).count() == 0
