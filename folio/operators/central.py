@@ -39,8 +39,10 @@ def unlinked_groups(entries: DataFrame, links: DataFrame) -> DataFrame:
 def seed_links(entries: DataFrame, links: DataFrame, index: DataFrame) -> DataFrame:
     """(key, url): for one entry of each group without a link, the address of the brand in ``index`` (brand, url, ord) that it matches.
 
-    A brand matches if it equals the entry's folded brand root, or one is the other's first words; equal ones come first.
+    A brand matches if it equals the entry's folded brand root, or one is the other's first words; equal ones come first. Of a
+    brand that the index holds twice the row of least ord counts, of equal ones the least address.
     """
+    index = index.groupBy("brand").agg(F.min(F.struct("ord", "url")).alias("x")).select("brand", "x.*")
     need = unlinked_groups(entries, links).select("key", trimmed_fold(brand_root(F.col("name"))).alias("brand"))
     found = word_prefix_join(need.select(F.col("brand").alias("name")).distinct(), index.select(F.col("brand").alias("name"), "ord"))
     return need.join(found, need["brand"] == found["l"]).join(index.select(F.col("brand").alias("r"), "url"), "r").select("key", "url")

@@ -50,8 +50,10 @@ def incremental_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rows.select("key", "hash", F.upper("lang").alias("lang"), F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("page"))
 
     table = VersionedTable(spark, stage_path(spark, "pages"), buckets=16)
-    incremental.rebuild(table, records(before.unionByName(gone)), render, "templates 1")
-    done = incremental.rebuild(table, records(d), render, "templates 1")
+    part = read(spark, sf_dir, "part")
+    shared = incremental.global_key(F.lit("1"), F.lit("<p>"), part.select(F.col("p_partkey").alias("key"), F.col("p_type").alias("text")), part.select(F.col("p_name").alias("term"), F.col("p_brand").alias("slug"))).first()["key"]
+    incremental.rebuild(table, records(before.unionByName(gone)), render, shared)
+    done = incremental.rebuild(table, records(d), render, shared)
     out = table.read(done.version).select(F.col("key").alias("doc_id"), "lang", "n_chars", "page", F.col("made_in").cast("long").alias("made_in"))
     return out.withColumns({c: F.lit(n).cast("long") for c, n in (("n_computed", done.computed), ("n_reused", done.reused), ("n_dropped", done.dropped))})
 
@@ -115,6 +117,15 @@ def paged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds.join(html, "doc", "left")
 
 
+def search_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FP17, SK4: search rows of parts, whose substance is left out where the folded name holds it: the name's first word for some, the type for others."""
+    p = read(spark, sf_dir, "part").withColumn("key", F.col("p_partkey").cast("string"))
+    first = F.concat(F.lit("É"), F.split_part("p_name", F.lit(" "), F.lit(1)))
+    text = F.when(F.col("p_size") % 3 == 0, F.upper(F.split_part("p_name", F.lit(" "), F.lit(1)))).when(F.col("p_size") % 3 == 1, first).otherwise(F.col("p_type"))
+    entries = p.select("key", F.concat(F.lit("é"), "p_name").alias("name"))
+    return incremental.search_index(entries, p.filter("p_size > 5").select("key", text.alias("text"))).select("key", "name", "slug", "sub")
+
+
 def _least_words(text: Column) -> Column:
     """A text's first three words in alphabetical order, of five letters or more."""
     return F.slice(F.array_sort(F.filter(X.distinct_words(text), lambda w: F.length(w) >= 5)), 1, 3)
@@ -142,7 +153,7 @@ def ranked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page", "query", "ord", "block", F.round("cosine", 6).alias("cosine"), F.round("lexical", 6).alias("lexical"), F.col("rank").cast("long").alias("rank"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (quoted_ranges, incremental_rebuild, overlay_store, stored_presence, lane_sessions, paged_documents, fuzzy_terms, ranked_pages)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (quoted_ranges, incremental_rebuild, overlay_store, stored_presence, lane_sessions, paged_documents, search_lines, fuzzy_terms, ranked_pages)}
 
 _WORDS = f"list_distinct(list_filter(regexp_split_to_array(lower(translate({{}}, '{_literal(_MARKED)}', '{_literal(_BARE)}')), '[^a-z0-9]+'), lambda x: length(x) >= 3))"
 _CREDIT = """CASE WHEN word = term THEN 1.0 WHEN length(term) >= 4 AND length(word) >= 4 AND (starts_with(word, term) OR starts_with(term, word)) THEN 0.85
@@ -160,6 +171,8 @@ ORACLE_SQL: dict[str, str] = {
       s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS s FROM e)
       SELECT user_id AS lane, epoch_us(min(ts)) AS began, epoch_us(max(ts) + INTERVAL 6 HOUR) AS ended, count(*) FILTER (event_type NOT IN ('error', 'view')) AS ok, count(*) FILTER (event_type = 'view') AS empty, count(*) FILTER (event_type = 'error') AS error,
       count(*) FILTER (event_type = 'purchase') AS "user", count(*) FILTER (event_type = 'click') AS auto, count(*) FILTER (event_type NOT IN ('purchase', 'click')) AS crawl FROM s GROUP BY user_id, s""",
+    "search_lines": """WITH p AS (SELECT *, split_part(p_name, ' ', 1) AS f FROM part), s AS (SELECT p_partkey::VARCHAR AS key, 'é' || p_name AS name, CASE WHEN p_size <= 5 THEN NULL WHEN p_size % 3 = 0 THEN upper(f) WHEN p_size % 3 = 1 THEN 'É' || f ELSE p_type END AS t FROM p)
+      SELECT key, name, key || '-' || trim(left(trim(regexp_replace(lower('e' || substr(name, 2)), '[^a-z0-9]+', '-', 'g'), '-'), 80), '') AS slug, CASE WHEN NOT contains(lower('e' || substr(name, 2)), lower(replace(t, 'É', 'E'))) THEN t END AS sub FROM s""",
     "paged_documents": r"""WITH l AS (SELECT l_orderkey AS doc, l_linenumber // 2 AS block, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS line, l_suppkey % 7 AS mark, l_partkey, l_returnflag FROM lineitem),
       f AS (SELECT o_orderkey AS doc, o_orderpriority AS p FROM orders WHERE o_orderstatus = 'F'),
       i AS (SELECT l_orderkey AS doc, 140 + 50 * (l_linenumber // 2) AS y, l_partkey % 5 AS xref FROM lineitem WHERE l_partkey % 5 < 2 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_partkey % 5 ORDER BY l_linenumber // 2) = 1),

@@ -148,24 +148,40 @@ def _gunzip(content: pd.Series) -> pd.Series:
     return content.map(lambda b: gzip.decompress(bytes(b)).decode("utf-8", "replace") if b and bytes(b[:2]) == b"\x1f\x8b" else "")
 
 
-def _empty_files(spark: SparkSession, path: str, lane: str) -> DataFrame:
-    """Overlay files of zero bytes, which scans of file contents pass over; only names and times are listed."""
+#: Keys that a point lookup asks for at most.
+LOOKUP_KEYS = 1000
+
+
+def _empty_files(spark: SparkSession, path: str, lane: str, keys: list[str] | None) -> DataFrame:
+    """Overlay files of zero bytes, which scans of file contents pass over; only names and times are listed, of ``keys`` only theirs."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files, found = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatusIterator(p), []
-    while files.hasNext():
-        f = files.next()
+    fs, found = p.getFileSystem(spark._jsc.hadoopConfiguration()), []
+    if keys is None:
+        listed = fs.listStatusIterator(p)
+        files = iter(lambda: listed.next() if listed.hasNext() else None, None)
+    else:
+        files = iter([s for k in keys for end in (".html", ".html.gz") if fs.exists(one := spark._jvm.org.apache.hadoop.fs.Path(p, f"{k}{end}")) for s in (fs.getFileStatus(one),)])
+    for f in files:
         if f.isFile() and f.getLen() == 0 and (m := re.fullmatch(r"(\d{8})\.html(\.gz)?", f.getPath().getName())):
             found.append((lane, m[1], f.getPath().toString(), f.getModificationTime()))
     df = spark.createDataFrame(found, "lane string, key string, path string, ms long")
     return df.select("lane", "key", "path", F.timestamp_millis("ms").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
 
 
-def overlays(spark: SparkSession, path: str, lane: str) -> DataFrame:
-    """(lane, key, html, mtime, archived): the newest file of each eight-digit key; zero bytes are an empty payload."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html*").load(path)
+def overlays(spark: SparkSession, path: str, lane: str, keys: list[str] | None = None) -> DataFrame:
+    """(lane, key, html, mtime, archived): the newest file of each eight-digit key; zero bytes are an empty payload.
+
+    With ``keys``, at most LOOKUP_KEYS of them, no other key's file is opened; others than eight digits are in no file.
+    """
+    if keys is not None:
+        keys = sorted({k for k in keys if re.fullmatch(r"\d{8}", k)})
+        if len(keys) > LOOKUP_KEYS:
+            raise ValueError(f"a lookup takes {LOOKUP_KEYS} keys at most; join the overlays for more")
+    names = "*.html*" if keys is None else "{" + ",".join([*keys, "-"]) + "}.html*"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", names).load(path)
     key = F.regexp_extract("path", r"/(\d{8})\.html(\.gz)?$", 1)
     rows = files.select(F.lit(lane).alias("lane"), key.alias("key"), "path", "modificationTime", "length", "content").filter("key <> ''")
-    rows = rows.unionByName(_empty_files(spark, path, lane))
+    rows = rows.unionByName(_empty_files(spark, path, lane, keys))
     newest = rows.groupBy("lane", "key").agg(F.max_by(F.struct("path", "length", "content"), F.struct("modificationTime", "path")).alias("f"), F.max("modificationTime").alias("mtime"))
     html = F.when(F.col("f.length") == 0, F.lit("")).when(F.col("f.path").endswith(".gz"), _gunzip(F.col("f.content"))).otherwise(F.decode(F.col("f.content"), "UTF-8"))
     return newest.select("lane", "key", html.alias("html"), "mtime", (F.col("f.length") == 0).alias("archived"))

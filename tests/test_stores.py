@@ -137,3 +137,23 @@ def test_global_key_ends_hits(spark):
     base = key(s, t)
     assert base == key(s.orderBy(F.desc("key")).repartition(3), t.union(t))  # order and repeats play no part
     assert len({base, key(s, t, "2"), key(s.limit(1), t), key(s, t.limit(0))}) == 4
+
+
+def test_a_lookup_opens_its_keys_files_alone(spark, tmp_path):
+    for name, content in (("00000001.html", b"a"), ("00000002.html", b""), ("00000003.html", b"c"), ("00000003.html.gz", b""), ("00000004.html", b"d"), ("x.html", b"x")):
+        (tmp_path / name).write_bytes(content)
+    got = catalog.overlays(spark, str(tmp_path), "rcp", ["00000001", "00000002", "99999999", "x"])
+    assert rows(got.select("key", "html", "archived")) == [("00000001", "a", False), ("00000002", "", True)]
+    assert {p.rsplit("/", 1)[1] for p in got.inputFiles() if p.endswith(".html")} <= {"00000001.html", "00000002.html"}
+    assert catalog.overlays(spark, str(tmp_path), "rcp", []).count() == 0 and catalog.overlays(spark, str(tmp_path), "rcp").count() == 4
+    with pytest.raises(ValueError, match="at most"):
+        catalog.overlays(spark, str(tmp_path), "rcp", [f"{i:08d}" for i in range(1001)])
+
+
+def test_a_brand_twice_in_the_index_gives_one_link(spark):
+    from folio.operators import central
+
+    entries = spark.createDataFrame([("1", "Abilify 5 mg", "EU/1")], "key string, name string, eu string")
+    index = spark.createDataFrame([("abilify", "u2", 1), ("abilify", "u1", 1), ("abilify", "u0", 2)], "brand string, url string, ord int")
+    none = spark.createDataFrame([], "key string, url string")
+    assert rows(central.seed_links(entries, none, index)) == [("1", "u1")]
