@@ -62,6 +62,10 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
     return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), joint / distinct_count(a, k)))
 
 
+#: Text of a range of documents, at most about so much however large the table; smaller tables have a range a shuffle partition.
+RANGE_BYTES = 64 << 20
+
+
 def _part_of(doc_id: Column, bounds: list) -> Column:
     """The number of bounds that are not above an id, looked up in two steps; 0 for null."""
     step = max(1, math.isqrt(max(len(bounds), 1)))
@@ -86,7 +90,8 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     after = firsts.select("part", F.coalesce(F.lead("part").over(W.orderBy("part")), F.min("part").over(W.partitionBy(F.lit(0)))).alias("after"))
     heads = placed.alias("d").join(F.broadcast(firsts.alias("f")), (F.col("d.part") == F.col("f.part")) & F.col("d.doc_id").eqNullSafe(F.col("f.first"))).groupBy(F.col("d.part").alias("after")).agg(F.min("text").alias("edge_text"))
     edges = materialize(after.join(heads, "after").select("part", "edge_text", bottom_k(shingle_hashes(F.col("edge_text"))).alias("edge_fingerprint")), "edges")
-    own = placed.repartition(parts, "part").withColumn("fingerprint", bottom_k(shingle_hashes(F.col("text"))))
+    # a range goes to the task of its number, so that none is dealt two while another has none
+    own = placed.withColumn("part", F.col("part").cast("int")).repartitionById(parts, "part").withColumn("fingerprint", bottom_k(shingle_hashes(F.col("text"))))
     w = W.partitionBy("part").orderBy("doc_id", "text")
     own = own.withColumn("lead_text", F.lead("text").over(w)).withColumn("lead_fingerprint", F.lead("fingerprint").over(w))
     quarter = F.floor(F.length("text") / 4).cast("int")
@@ -108,7 +113,8 @@ def neighbours(docs: DataFrame) -> DataFrame:
     repeated, follow each other; the last row is followed by the first, and a single one by itself.
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    row = with_next(texts, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    size = texts.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    row = with_next(texts, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES)))
     row = row.withColumn("n_chars", F.length("text").cast("long"))
     row = row.withColumn("edited", F.concat(F.expr("left(text, cast(n_chars - floor(n_chars / 4) as int))"), F.col("next_head")))
     row = row.withColumn("edited_fingerprint", F.when(F.col("edited") == F.col("text"), F.col("fingerprint")).otherwise(bottom_k(shingle_hashes(F.col("edited")))))

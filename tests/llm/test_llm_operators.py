@@ -394,6 +394,12 @@ def test_token_digests(spark, coder, monkeypatch):
 # 6
 
 
+def test_ranges_are_dealt_evenly(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words here "), 5).alias("text"))
+    placed = fingerprint.with_next(docs, 16).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(placed) == 16 and max(r["count"] for r in placed) < 1.2 * 4000 / 16
+
+
 def test_fingerprints_merge_and_estimate(spark):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(3000)]
@@ -644,3 +650,12 @@ def test_sharding_is_as_simulated(spark):
     where, version = _simulated(sizes)
     got = sharding.shard(docs).select("arrival", "run", "version").distinct().collect()
     assert {r["arrival"]: r["run"] for r in got} == where and {r["version"] for r in got} == {version}
+
+
+def test_components_of_a_large_hub(spark):
+    """A hub of 100,000 edges with a chain behind it, and a second one, are two components."""
+    hub = spark.range(1, 100_001).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
+    chain = spark.range(100_000, 100_040).select("id", (F.col("id") + 1).alias("dst"))
+    other = spark.range(300_000, 350_000).select(F.lit(299_999).cast("long").alias("src"), F.col("id").alias("dst"))
+    got = graph.components(hub.union(chain).union(other)).groupBy("component").count().collect()
+    assert {(r["component"], r["count"]) for r in got} == {(0, 100_041), (299_999, 50_001)}
