@@ -86,15 +86,14 @@ def distinct_words(c: Column, least: int = 3) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Distinct runs of A-Z and digits of the folded upper-case text, in no order; null has none.
+    """Distinct runs of A-Z and digits of the folded upper-case text, in order of their first place; null has none.
 
-    The text is cut at the ASCII characters that no fold changes; of its distinct parts only those beyond ASCII are folded, all at once.
+    A text beyond ASCII is first cut at the ASCII characters that no fold changes, and only its distinct parts are folded, all at once.
     """
     text = F.coalesce(c, F.lit(""))
-    both = lambda p: F.concat_ws(" ", F.upper(F.array_join(F.filter(p, _is_plain), " ")), ascii_fold(F.upper(F.array_join(F.filter(p, lambda x: ~_is_plain(x)), " "))))
-    # a variable of a lambda, so that the parts are made once
-    mixed = F.get(F.transform(F.array(F.array_distinct(F.split(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))), both), F.lit(0))
-    return F.array_remove(F.array_distinct(F.split(F.when(_is_plain(text), F.upper(text)).otherwise(mixed), "[^A-Z0-9]+")), "")
+    parts = F.array_distinct(F.split(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+    folded = F.when(_is_plain(text), F.upper(text)).otherwise(ascii_fold(F.upper(F.array_join(parts, " "))))
+    return F.array_remove(F.array_distinct(F.split(folded, "[^A-Z0-9]+")), "")
 
 
 def slug(c: Column, limit: int = 80, empty: str = "rcp") -> Column:
