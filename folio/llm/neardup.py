@@ -364,11 +364,14 @@ def _classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         linking.resolve(banded.withColumn("used", F.array("key")))
     named = linking.named()
     keys = rows.select("doc_id", "key")
-    own = keys.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"))
-    own = own.join(named, "key", "left").select("key", F.coalesce("class_id", "least").alias("class_id"), F.coalesce("class_key", "key").alias("class_key"), "n_links", "linked_id", "similarity")
+    own = keys.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    own = own.join(named, "key", "left").filter("n > 1 OR n_links > 0").select("key", F.coalesce("class_id", "least").alias("class_id"), F.coalesce("class_key", "key").alias("class_key"), "n_links", "linked_id", "similarity", F.lit(True).alias("shared"))
+    # as a table of its own it leaves bare shuffles to the join, which Spark splits where one text has very many rows
+    own = materialize(own, "shared")
     joined = keys.join(own, "key", "left")
-    out = materialize(joined.select("doc_id", "key", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "class_key", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "linked_id", "similarity"), "classes")
-    drop_tables(features, sampled, named)
+    class_id = F.when(F.col("shared"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")
+    out = materialize(joined.select("doc_id", "key", class_id, F.coalesce("class_key", "key").alias("class_key"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "linked_id", "similarity"), "classes")
+    drop_tables(features, sampled, named, own)
     release_shuffles(spark)
     return out
 
