@@ -29,6 +29,8 @@ from folio.llm.common import give_back, small_batches
 
 #: Bounds of what a worker remembers, and the bytes read before tokens are emitted (more where the vocabulary needs it).
 MAX_STATES, MAX_PIECES, MAX_PAIRS, LOOK = 250_000, 120_000, 200_000, 48
+#: Multiple of these bounds where only digests return and a worker has the room; encoded columns beside other stages have one.
+ROOM = 2
 #: The pairs last met, by their hash, for lookups of many at once.
 PAIR_BITS = 19
 #: Characters of text whose pieces are held at a time.
@@ -49,7 +51,9 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class MergeTransducer:
     """Tokens of one piece of text, left to right, one byte at a time."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], room: int = 1):
+        #: what it remembers at most, in multiples of the bounds above
+        self.room = room
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.digits = {i: str(i) for i in self.tokens}
@@ -57,7 +61,7 @@ class MergeTransducer:
         self.longest = max(map(len, ranks), default=1)
         self.powers = np.array([pow(_BASE, n, 1 << 64) for n in range(LOOK + 1)], np.uint64)
         self.hashed = [self._hashed([t for t in ranks if len(t) == n]) for n in range(min(self.longest, LOOK) + 1)]
-        self.token, self.begin, self.back, self.depth = (np.zeros(MAX_STATES + 1024 * LOOK, np.int32) for _ in range(4))
+        self.token, self.begin, self.back, self.depth = (np.zeros(room * MAX_STATES + 1024 * LOOK, np.int32) for _ in range(4))
         self.hash = np.zeros(len(self.token), np.uint64)
         self.forget()
         self.split: dict[bytes, tuple[bytes, bytes]] = {}
@@ -246,7 +250,7 @@ class MergeTransducer:
     def learn(self, pieces: set[str]) -> None:
         """Make sure that ``self.pieces`` has the packed ids of all these; what was met least of late may go."""
         new = [p for p in pieces if p not in self.pieces]
-        if len(self.pieces) + len(new) > MAX_PIECES and self.pieces:  # what is met again comes back from the older half
+        if len(self.pieces) + len(new) > self.room * MAX_PIECES and self.pieces:  # what is met again comes back from the older half
             self.older, self.pieces, new = self.pieces, {}, list(pieces)
         unknown = []
         for p in new:
@@ -262,7 +266,7 @@ class MergeTransducer:
                 self.pieces[p] = self.piece(p)
         for lo in range(0, len(short), 1024):
             part = [p.encode() for p in short[lo : lo + 1024]]
-            if self.count + sum(map(len, part)) > MAX_STATES:
+            if self.count + sum(map(len, part)) > self.room * MAX_STATES:
                 self.forget()
             self.pieces.update(zip(short[lo : lo + 1024], self.walk(part), strict=True))
 
@@ -299,7 +303,7 @@ class MergeTransducer:
     def piece(self, text: str) -> bytes:
         """The ids of a piece of any length, packed as 32-bit integers; tokens are emitted as soon as they are final."""
         data = text.encode()
-        if self.count >= MAX_STATES:
+        if self.count >= self.room * MAX_STATES:
             self.forget()
         moves, final, root, state = self.moves, self.final, 0, 0
         out = array("i")
@@ -370,17 +374,17 @@ class Pieces:
         return self.ascii(text) if text.isascii() else self.whole(text)
 
 
-_loaded: dict[tuple[str, str], tuple] = {}
+_loaded: dict[tuple[str, str, int], tuple] = {}
 
 
-def _coder(path: str, pattern: str) -> tuple:
+def _coder(path: str, pattern: str, room: int = 1) -> tuple:
     """The transducer and the piece pattern, once per Python worker."""
-    if (path, pattern) not in _loaded:
+    if (path, pattern, room) not in _loaded:
         import regex
 
         gc.set_threshold(200_000, 100, 100)  # the tables hold no cycles; looking for some takes a quarter of the time
-        _loaded[path, pattern] = MergeTransducer(load_ranks(path)), Pieces(regex.compile(pattern), ascii_pattern(pattern))
-    return _loaded[path, pattern]
+        _loaded[path, pattern, room] = MergeTransducer(load_ranks(path), room), Pieces(regex.compile(pattern), ascii_pattern(pattern))
+    return _loaded[path, pattern, room]
 
 
 def encode_texts(texts: Iterable[str | None], coder: MergeTransducer, pieces) -> Iterator[np.ndarray]:
@@ -493,7 +497,7 @@ def digests(df: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        coder, pieces = _coder(vocabulary, pattern)
+        coder, pieces = _coder(vocabulary, pattern, ROOM)
         sha, digits = lambda t: hashlib.sha256(t.encode()).hexdigest(), coder.digits.__getitem__
         try:
             for texts in batches:
