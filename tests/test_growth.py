@@ -1,8 +1,10 @@
 """What large inputs need: rows that a query moves and memory that its Python holds grow no faster than its input."""
 
 import numpy as np
+from pyspark.sql.classic.dataframe import DataFrame
 
-from folio.operators import retrieval
+from folio.functions import batches
+from folio.operators import html_blocks, retrieval
 
 
 def moved(spark, run):
@@ -43,3 +45,28 @@ def test_a_block_that_goes_on_in_the_next_batch_counts_once(spark):
     finally:
         spark.conf.set(key, before)
     assert [(r["ord"], r["block"]) for r in got] == [(29, 1), (39, 39), (38, 38), (37, 37)]
+
+
+def test_a_worker_takes_documents_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(batches, "PIECE_BYTES", 100)
+    b = pa.RecordBatch.from_pydict({"key": list(range(9)), "html": ["x" * 40, None, "x" * 40, "y" * 30, "z" * 500, "é" * 40, "", "x" * 30, "x" * 90]})
+    got = list(batches.pieces(b.slice(1), 1))
+    assert [len(p) for p in got] == [3, 1, 2, 1, 1] and [k for p in got for k in p.column(0).to_pylist()] == list(range(1, 9))
+    assert list(batches.pieces(b.slice(0, 0), 1)) == []
+
+
+def test_blocks_of_many_documents_come_back_in_parts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda df, run, schema: seen.append(run) or df)
+    docs = spark.createDataFrame([], "key string, html string")
+    html_blocks.blocks(docs)
+    import pyarrow as pa
+
+    page = "<p>" + "</p><p>".join(f"word{i}" for i in range(2000)) + "</p>"
+    b = pa.RecordBatch.from_pydict({"key": [str(i) for i in range(300)], "html": [page] * 300})
+    largest = rows = 0
+    for out in seen[0](iter([b])):
+        largest, rows = max(largest, len(out)), rows + len(out)
+    assert rows == 300 * 2000 and largest <= batches.PIECE_ROWS
