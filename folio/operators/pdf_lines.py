@@ -123,18 +123,38 @@ def reading_order(lines: DataFrame, tables: DataFrame, images: DataFrame) -> Dat
     return numbered.withColumn("label", F.when(F.col("kind").isin("table", "figure"), none("string")).otherwise(F.col("label"))).withColumn("html", F.coalesce("html", own, F.when(F.col("kind") == "text", F.concat(F.lit("<p>"), html_escape(F.col("label")), F.lit("</p>")))))
 
 
+#: Kinds of the rows of :func:`reading_order`.
+KINDS = ("group", "heading1", "heading2", "text", "table", "figure")
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """(doc, n_KIND..., html, toc) of :func:`reading_order`: how many rows of each kind a document has beside what :func:`assembled`
+    makes of it, in one pass over ``rows``; html and toc are null for a document without parts."""
+    part = F.col("kind") != "group"
+    ordered = lambda kept, value: F.transform(F.array_sort(F.collect_list(F.when(kept, F.struct("ord", *value)))), lambda x: x.dropFields("ord"))
+    per_group = rows.groupBy("doc", "grp").agg(
+        F.array_join(F.transform(ordered(~part, ["label"]), lambda x: x["label"]), " - ").alias("title"),
+        F.array_join(F.transform(ordered(part, [F.coalesce("html", F.lit("")).alias("html")]), lambda x: x["html"]), "").alias("inner"),
+        ordered(F.col("kind") == "heading1", ["sid", "label"]).alias("subs"),
+        *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS],
+    )
+    n_parts = sum((F.col(f"n_{k}") for k in KINDS[1:]), F.lit(0))
+    whole = per_group.groupBy("doc").agg(
+        *[F.sum(f"n_{k}").alias(f"n_{k}") for k in KINDS],
+        F.array_sort(F.collect_list(F.when(n_parts > 0, F.struct("grp", F.coalesce(F.nullif("title", F.lit("")), F.lit("Document")).alias("title"), F.col("title").rlike(OPEN_GROUP).alias("open"), "inner", "subs")))).alias("g"),
+    )
+    sid = lambda i: F.concat(F.lit("grp-"), i + 1)
+    fold = lambda x, i: F.concat(F.lit(f'<details class="{GROUP_CLASS}"'), F.when(x["open"], " open").otherwise(""), F.lit('><summary id="'), sid(i), F.lit('">'), html_escape(x["title"]), F.lit("</summary>"), x["inner"], F.lit("</details>"))
+    no_subs = F.array().cast("array<struct<sid:string,label:string>>")
+    entry = lambda x, i: F.struct(sid(i).alias("sid"), x["title"].alias("label"), F.when(x["open"], x["subs"]).otherwise(no_subs).alias("subs"))
+    html = F.concat(F.lit('<div id="textDocument">'), F.array_join(F.transform("g", fold), ""), F.lit("</div>"))
+    some = F.size("g") > 0
+    return whole.select("doc", *[f"n_{k}" for k in KINDS], F.when(some, html).alias("html"), F.when(some, F.transform("g", entry)).alias("toc"))
+
+
 def assembled(rows: DataFrame) -> DataFrame:
     """(doc, html, toc) of :func:`reading_order`: each group a folded part, that of the main text open; empty groups go.
 
     toc holds (sid, label, subs): the groups, with the first-level headings of the open one below it. A document without parts has none.
     """
-    inner = rows.filter("kind <> 'group'").groupBy("doc", "grp").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.coalesce("html", F.lit("")).alias("html")))), lambda x: x["html"]), "").alias("inner"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "heading1", F.struct("ord", "sid", "label")))), lambda x: F.struct(x["sid"].alias("sid"), x["label"].alias("label"))).alias("subs"),
-    )
-    named = groups(rows).join(inner, ["doc", "grp"])
-    fold = F.concat(F.lit(f'<details class="{GROUP_CLASS}"'), F.when(F.col("open"), " open").otherwise(""), F.lit('><summary id="'), "sid", F.lit('">'), html_escape(F.col("title")), F.lit("</summary>"), "inner", F.lit("</details>"))
-    no_subs = F.array().cast("array<struct<sid:string,label:string>>")
-    entry = F.struct("grp", fold.alias("html"), F.struct("sid", F.col("title").alias("label"), F.when(F.col("open"), F.col("subs")).otherwise(no_subs).alias("subs")).alias("toc"))
-    whole = named.groupBy("doc").agg(F.array_sort(F.collect_list(entry)).alias("g"))
-    return whole.select("doc", F.concat(F.lit('<div id="textDocument">'), F.array_join(F.transform("g", lambda x: x["html"]), ""), F.lit("</div>")).alias("html"), F.transform("g", lambda x: x["toc"]).alias("toc"))
+    return counted(rows).filter("html IS NOT NULL").select("doc", "html", "toc")

@@ -112,9 +112,10 @@ def paged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = o.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("doc"), F.lit(1).alias("page"), F.lit(49.0).alias("x0"), F.lit(149.0).alias("y0"), F.lit(501.0).alias("x1"), F.lit(181.0).alias("y1"), F.array(F.array(F.lit("p"), F.lit("s")), F.array("o_orderpriority", "o_orderstatus")).alias("rows"))
     images = l.select(F.col("l_orderkey").alias("doc"), F.lit(1).alias("page"), (y + 40).alias("y"), F.pmod("l_partkey", F.lit(5)).alias("xref"), F.col("l_quantity").alias("width"), F.lit(300).alias("height"), F.lit("u").alias("src")).filter("xref < 2")
     rows = pdf_lines.reading_order(lines, tables, images)
-    html = pdf_lines.assembled(rows).select("doc", F.md5(F.col("html").cast("binary")).alias("html"), F.size("toc").cast("long").alias("groups"), F.aggregate("toc", F.lit(0).cast("long"), lambda a, x: a + F.size(x["subs"])).alias("subs"))
-    kinds = rows.groupBy("doc").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("group", "heading1", "heading2", "text", "table", "figure")])
-    return kinds.join(html, "doc", "left")
+    html = F.md5(F.col("html").cast("binary")).alias("html")
+    subs = F.aggregate("toc", F.lit(0).cast("long"), lambda a, x: a + F.size(x["subs"])).alias("subs")
+    groups = F.when(F.col("toc").isNotNull(), F.size("toc")).cast("long").alias("groups")
+    return pdf_lines.counted(rows).select("doc", *[f"n_{k}" for k in pdf_lines.KINDS], html, groups, subs)
 
 
 def search_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

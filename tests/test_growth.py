@@ -70,3 +70,12 @@ def test_blocks_of_many_documents_come_back_in_parts(spark, monkeypatch):
     for out in seen[0](iter([b])):
         largest, rows = max(largest, len(out)), rows + len(out)
     assert rows == 300 * 2000 and largest <= batches.PIECE_ROWS
+
+
+def test_paged_documents_are_read_once(spark, tmp_path):
+    from folio.plans import store_queries
+
+    spark.range(400).selectExpr("id div 4 AS l_orderkey", "cast(id % 4 + 1 AS int) AS l_linenumber", "id AS l_partkey", "id * 3 AS l_suppkey", "1.0D AS l_extendedprice", "300 AS l_quantity", "'N' AS l_returnflag").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(100).selectExpr("id AS o_orderkey", "if(id % 2 = 0, 'F', 'O') AS o_orderstatus", "'1-URGENT' AS o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    got, rows = moved(spark, lambda: store_queries.paged_documents(spark, str(tmp_path)).collect())
+    assert len(got) == 100 and rows < 3 * 400  # lines, then lines, tables and figures
