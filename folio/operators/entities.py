@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from folio.functions.text import auth_key, linkable_words, slug, tokens
 from folio.functions.word_lists import LINK_STOP
 from folio.operators.selection import exact_percentile
+from folio.staging import staged
 
 
 def signals(entries: DataFrame, *pools: DataFrame) -> DataFrame:
@@ -60,22 +63,31 @@ def link_terms(entries: DataFrame, comp: DataFrame, scores: DataFrame, whitelist
     return best.join(names.filter("name <> ''"), "key").select("term", "key", F.concat_ws("-", "key", slug(F.col("name"))).alias("slug"), "name")
 
 
-#: Link terms that are broadcast at most; more of them meet the words by shuffle.
-BROADCAST_TERMS = 200_000
+#: Bytes of link terms that are broadcast at once, and of a term beside its letters; more of them take more passes over the documents.
+BROADCAST_BYTES, TERM_BYTES = 128 << 20, 96
 
 
 def links_in_text(docs: DataFrame, terms: DataFrame, budget: int = 15) -> DataFrame:
     """(key, ord, term, target): the first whole-word occurrence of each term in (key, text), without links to itself.
 
     Words are runs of letters and digits of the folded text. At most ``budget`` links a document, in order of their first
-    place (the feature's own limit). Only words that are terms leave the row that holds them.
+    place (the feature's own limit). Only words that are terms leave the row that holds them, and of these the first ``budget``.
     """
     words = docs.select("key", F.posexplode(linkable_words(F.col("text"))).alias("ord", "term"))
-    named = terms.select("term", F.col("key").alias("target"))
-    if named.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        named = F.broadcast(named)
-    hits = words.join(named, "term").filter("key <> target")
-    return hits.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("ord"))).filter(F.col("n") <= budget).select("key", F.col("n").alias("ord"), "term", "target")
+    named = staged(terms.select("term", F.col("key").alias("target")), "terms")
+    passes = max(1, -(-(named.agg(F.sum(F.length("term") + TERM_BYTES).alias("b")).first()["b"] or 0) // BROADCAST_BYTES))
+
+    def first(part: DataFrame) -> DataFrame:
+        hits = words.join(F.broadcast(part), "term").filter("key <> target")
+        return hits.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("ord"))).filter(F.col("n") <= budget)
+
+    if passes == 1:
+        got = first(named)
+    else:
+        share = F.pmod(F.xxhash64("term"), F.lit(passes))
+        each = [staged(first(named.filter(share == i)).drop("n"), "links") for i in range(passes)]
+        got = reduce(DataFrame.unionAll, each).withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("ord"))).filter(F.col("n") <= budget)
+    return got.select("key", F.col("n").alias("ord"), "term", "target")
 
 
 def linked_targets(links: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql.classic.dataframe import DataFrame
 
 from folio.functions import batches
-from folio.operators import html_blocks, retrieval
+from folio.operators import entities, html_blocks, retrieval
 
 
 def moved(spark, run):
@@ -79,3 +79,15 @@ def test_paged_documents_are_read_once(spark, tmp_path):
     spark.range(100).selectExpr("id AS o_orderkey", "if(id % 2 = 0, 'F', 'O') AS o_orderstatus", "'1-URGENT' AS o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
     got, rows = moved(spark, lambda: store_queries.paged_documents(spark, str(tmp_path)).collect())
     assert len(got) == 100 and rows < 3 * 400  # lines, then lines, tables and figures
+
+
+def test_many_terms_leave_words_where_they_are(spark, monkeypatch):
+    for name, value in (("BROADCAST_BYTES", 20 * 102), ("BROADCAST_TERMS", 20)):  # the earlier code counted terms
+        monkeypatch.setattr(entities, name, value, raising=False)
+    word = lambda n: "TERM" + chr(65 + n // 26) + chr(65 + n % 26)
+    docs = spark.createDataFrame([(k, " ".join(word((i * 7 + k) % 60) + f" other{k}x{i}" for i in range(60))) for k in range(40)], "key long, text string")
+    terms = spark.createDataFrame([(word(n), n) for n in range(60)], "term string, key long")
+    got, rows = moved(spark, lambda: entities.links_in_text(docs, terms, 5).collect())
+    want = {(k, n + 1, word(t), t) for k in range(40) for n, t in enumerate([t for t in ((i * 7 + k) % 60 for i in range(60)) if t != k][:5])}
+    assert {tuple(r) for r in got} == want and len(got) == 200
+    assert rows < 40 * 120 / 2  # words of the documents
