@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql.classic.dataframe import DataFrame
 
-from folio.functions import batches
+from folio.functions import batches, chunking
 from folio.operators import entities, html_blocks, retrieval
 
 
@@ -72,6 +72,25 @@ def test_blocks_of_many_documents_come_back_in_parts(spark, monkeypatch):
     assert rows == 300 * 2000 and largest <= batches.PIECE_ROWS
 
 
+def test_sentences_of_many_texts_are_cut_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    taken = []
+    monkeypatch.setattr(chunking, "sentence_chunks", lambda t, cut=chunking.sentence_chunks: taken.append(len(t)) or cut(t))
+    texts = [f"Text {i} ends here. " * 100 if i % 7 else None for i in range(2000)]
+    outs, before = [], 0
+    for out in html_blocks._sentences.func(iter([pa.array(texts[:1500]), pa.array([], pa.string()), pa.array(texts[1500:])])):
+        assert sum(taken[before:]) <= batches.PIECE_BYTES
+        outs, before = outs + out.to_pylist(), len(taken)
+    assert outs == [chunking.sentence_chunks(t or "") for t in texts] and sum(taken[:before]) > 3 * batches.PIECE_BYTES
+
+
+def test_sentences_stay_with_their_texts(spark):
+    texts = [f"Text {i} ends here. " * 60 if i % 7 else None for i in range(3000)]
+    got = spark.createDataFrame(list(enumerate(texts)), "key int, text string").coalesce(1).select("key", html_blocks._sentences("text").alias("pieces")).collect()
+    assert {r["key"]: r["pieces"] for r in got} == {i: chunking.sentence_chunks(t or "") for i, t in enumerate(texts)}
+
+
 def test_paged_documents_are_read_once(spark, tmp_path):
     from folio.plans import store_queries
 
