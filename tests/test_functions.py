@@ -54,6 +54,14 @@ def test_text(spark, fn, value, want):
     assert one(spark, fn, value) == want
 
 
+def test_a_paragraph_is_folded_once_to_judge_it(spark):
+    df = spark.createDataFrame([(None,), ("",), (" \u00a0",), ("aa bb",), ("deux mots",), ("  SANS\u00a0objet : ",), ("À compléter  ultérieurement par lui",), ("sans objet pour eux",)], "c string")
+    got = df.select("c", X.is_filler(F.col("c")).alias("r"))
+    assert [r["r"] for r in got.collect()] == [True] * 7 + [False]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("coalesce(c") == 1 and plan.count("translate(") == 1
+
+
 def test_hash_is_parted_by_nul(spark):
     import hashlib
 
