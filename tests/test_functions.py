@@ -106,3 +106,9 @@ def test_table_lines():
     assert C.table_lines(rows) == ["Population: Adulte; Dose: 500 mg; x", "Population: Enfant"]
     assert C.table_lines([["a"], ["b"]]) == []
     assert C.table_lines([["", ""], ["b", "c"]]) == []
+
+
+def test_table_lines_keep_every_row():
+    rows = [["Dose", "Effet"], *([f"{i} mg", "" if i % 3 else "aucun"] for i in range(1000))]
+    assert C.table_lines(rows) == [f"Dose: {i} mg" + ("" if i % 3 else "; Effet: aucun") for i in range(1000)]
+    assert C.table_lines([["a", "b"], ["", ""]]) == []

@@ -72,6 +72,28 @@ def test_blocks_of_many_documents_come_back_in_parts(spark, monkeypatch):
     assert rows == 300 * 2000 and largest <= batches.PIECE_ROWS
 
 
+def test_lines_that_repeat_a_long_header_come_back_in_parts(spark, monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    seen = []
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda df, run, schema: seen.append(run) or df)
+    html_blocks.blocks(spark.createDataFrame([], "key string, html string"))
+    page = f"<table><tr><th>{'h' * 50_000}</th><th>x</th></tr>" + "".join(f"<tr><td>{i}</td></tr>" for i in range(2000)) + "</table>"
+    largest = rows = 0
+    tracemalloc.start()
+    try:
+        for out in seen[0](iter([pa.RecordBatch.from_pydict({"key": ["a"], "html": [page]})])):
+            assert out.column("text")[0].as_py().endswith(f"h: {rows}") and set(out.column("kind").to_pylist()) == {"row"}
+            largest, rows = max(largest, out.nbytes), rows + len(out)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 2000  # 100 MB of lines
+    assert largest < 2 * batches.PIECE_BYTES and peak < 10 * batches.PIECE_BYTES
+
+
 def test_sentences_of_many_texts_are_cut_in_pieces(monkeypatch):
     import pyarrow as pa
 

@@ -41,6 +41,17 @@ def test_long_sections_lose_no_tail(spark):
     assert " ".join(c["chunk"].split("\n", 1)[1] for c in got) == body
 
 
+def test_long_tables_lose_no_row(spark):
+    n = {"a": 10_100, "b": 61, "c": 60}  # lines of a page; the earlier code kept 60 a table, and 10,000 chunks a page
+    table = lambda k: "".join(f"<tr><td>patient {k}{i}</td><td>{i} mg par jour</td></tr>" for i in range(n[k]))
+    pages = [(k, f"<h1>A</h1><table><tr><th>Population</th><th>Dose</th></tr>{table(k)}</table><p>Texte {k} derrière le tableau.</p>") for k in n]
+    got = html_blocks.chunks(spark.createDataFrame(pages, "key string, html string")).orderBy("key", "ord").collect()
+    for k in n:
+        mine = [r for r in got if r["key"] == k]
+        assert [r["ord"] for r in mine] == list(range(n[k] + 1)) and {r["sec"] for r in mine} == {"sec-0"}
+        assert [r["chunk"] for r in mine] == [f"A\nTexte {k} derrière le tableau.", *(f"A\nPopulation: patient {k}{i}; Dose: {i} mg par jour" for i in range(n[k]))]
+
+
 def test_small_pieces_join_the_one_before(spark):
     cases = {("a" * 159, "b" * 300): ["a" * 159 + " " + "b" * 300], ("a" * 160, "b" * 300): ["a" * 160, "b" * 300], ("a" * 900, "b" * 100): ["a" * 900, "b" * 100], (): []}
     for pieces, want in cases.items():
